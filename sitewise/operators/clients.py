@@ -68,6 +68,32 @@ def shuffled(cohort: DataFrame, column: str, min_size: int = 500, seed: int = 42
             .join(placed, "_key").drop("_key"))
 
 
+def dirichlet_shares(labels: Sequence[int], n_clients: int, alpha: float,
+                     seed: int = 42) -> list[tuple[int, int, float]]:
+    """(label, client, cumulative share) drawn on the driver: labels x clients numbers."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    out = []
+    for label in labels:
+        cuts = np.cumsum(rng.dirichlet([alpha] * n_clients))
+        out += [(int(label), i, float(c)) for i, c in enumerate(cuts)]
+    return out
+
+
+def dirichlet(cohort: DataFrame, shares: Sequence[tuple[int, int, float]], label: str = "label",
+              key: str = "stay_id", seed: int = 42) -> DataFrame:
+    """Label-skewed clients: the shuffled rows of each label are cut at given shares."""
+    ranked = hash_rank(cohort, [key], seed, [label], "_rank", "_n")
+    client: Column = F.lit(None).cast("int")
+    for lab in sorted({s[0] for s in shares}):
+        cuts = sorted((i, c) for y, i, c in shares if y == lab)
+        inner = F.array(*[F.floor(F.lit(c) * F.col("_n")) for _, c in cuts[:-1]])
+        client = F.when(F.col(label) == lab, position_in(inner, F.col("_rank"))).otherwise(client)
+    return (ranked.withColumn("client", F.concat(F.lit("client_"), client.cast("string")))
+            .drop("_rank", "_n"))
+
+
 # --- splits -----------------------------------------------------------------------
 
 def _split_at(rank: Column, n_test: Column, n_val: Column) -> Column:

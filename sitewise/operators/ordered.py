@@ -55,12 +55,13 @@ def balanced_cuts(df: DataFrame, value: str, n_buckets: int) -> Column:
 
 def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
                    by: Sequence[str] = (), descending: bool = False,
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None, index: str | None = None) -> DataFrame:
     """Prefix sums along ``value`` inside each group.
 
     One row per (by, value) with, for every name in ``sums``: ``name`` (the sum at
     this value), ``name_before`` (over all values ordered strictly before it) and
-    ``name_total`` (over the group). Rows whose value or group is null have no
+    ``name_total`` (over the group). ``index`` adds the 0-based position of the value
+    among the group's distinct values, and their number as ``<index>_total``. Rows whose value or group is null have no
     place in an order and take no part.
     """
     by = list(by)
@@ -69,6 +70,9 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
     for c in [*by, value]:
         df = df.where(F.col(c).isNotNull())
     flat = df.groupBy(*by, value).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    if index is not None:
+        flat = flat.withColumn("_one", F.lit(1).cast("long"))
+        names.append("_one")
     cut = (flat.withColumn("_cuts", balanced_cuts(df, value, n))
            .withColumn("_b", position_in(F.col("_cuts"), F.col(value))).drop("_cuts"))
     if descending:
@@ -86,11 +90,12 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = (Window.partitionBy(*by, "_b").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return cut.join(offsets, [*by, "_b"]).select(
-        *by, value, *names,
-        *[(F.col(f"_{k}_off") + F.coalesce(F.sum(k).over(inside), F.lit(0))).alias(f"{k}_before")
-          for k in names],
-        *[f"{k}_total" for k in names])
+    done = cut.join(offsets, [*by, "_b"])
+    before = {k: F.col(f"_{k}_off") + F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in names}
+    cols = [c for k in sums for c in (F.col(k), before[k].alias(f"{k}_before"), F.col(f"{k}_total"))]
+    if index is not None:
+        cols += [before["_one"].alias(index), F.col("_one_total").alias(f"{index}_total")]
+    return done.select(*by, value, *cols)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float] | Mapping[str, float],

@@ -1,6 +1,6 @@
 """All registered queries; importing the parts fills the registry."""
 
-from sitewise.plans import catalog_clients, catalog_cohort  # noqa: F401
+from sitewise.plans import catalog_clients, catalog_cohort, catalog_metrics, catalog_stats  # noqa: F401
 from sitewise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

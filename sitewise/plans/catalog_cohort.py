@@ -352,7 +352,7 @@ def dense_grid(spark, sf):
 
 
 @query("observed_mask", """
-    SELECT feature, hr, sum(observed) AS n_observed, count(*) AS n FROM fx_grid GROUP BY ALL""")
+    SELECT feature, hr, CAST(sum(observed) AS BIGINT) AS n_observed, count(*) AS n FROM fx_grid GROUP BY ALL""")
 def observed_mask(spark, sf):
     return fx.grid(spark, sf).groupBy("feature", "hr").agg(
         F.sum("observed").alias("n_observed"), F.count(F.lit(1)).alias("n"))

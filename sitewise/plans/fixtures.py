@@ -128,3 +128,30 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
             .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(k.alias("id"), F.col("n_name").alias("client"), y.alias("y"),
                     bounded(p1).alias("p1"), bounded(F.col("o_totalprice") / 600000.0).alias("p2")))
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """An experiment table: arms are event types, seeds are user groups."""
+    v, seed = F.avg("value"), F.col("user_id") % 25
+    return (table(spark, sf, "events").groupBy(F.col("event_type").alias("arm"), seed.alias("seed")).agg(
+        F.round(v / 100, 6).alias("auprc"), F.round(v / 200 + 0.5, 6).alias("auroc"),
+        F.round(v / 100 - 0.24, 6).alias("fl_gain"), (F.count(F.lit(1)) % 7).alias("best_round"))
+        .withColumn("n_param", F.length("arm") * 1000 + F.col("seed") % 5 * 100))
+
+
+def parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameter vectors: the mean embedding of every label, with its row count."""
+    e = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("c"), F.col("label").cast("string")).alias("client"), F.posexplode("embedding").alias("pos", "x"))
+    return e.groupBy("client", "pos").agg(F.avg(F.col("x").cast("double")).alias("value"),
+                                          F.count(F.lit(1)).alias("weight"))
+
+
+def shared_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    return parameters(spark, sf).groupBy("pos").agg(F.avg("value").alias("value"))
+
+
+def round_history(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy(
+        F.col("event_type").alias("run"), F.dayofmonth("ts").alias("round")).agg(
+        F.round(F.avg("value"), 6).alias("metric"))

@@ -94,4 +94,17 @@ VIEWS = {
                  + 0.4::DOUBLE * ((o_orderkey * 104729) % 997) / 997.0::DOUBLE)), 3) AS p1,
                round(least(0.999::DOUBLE, greatest(0.001::DOUBLE, o_totalprice / 600000.0::DOUBLE)), 3) AS p2
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "fx_runs": """
+        SELECT event_type AS arm, user_id % 25 AS seed, round(avg(value) / 100, 6) AS auprc,
+               round(0.5 + avg(value) / 200, 6) AS auroc, round(avg(value) / 100 - 0.24, 6) AS fl_gain,
+               length(event_type) * 1000 + user_id % 25 % 5 * 100 AS n_param, count(*) % 7 AS best_round
+        FROM events GROUP BY event_type, user_id % 25""",
+    "fx_vec": """
+        SELECT 'c' || label AS client, i - 1 AS pos, avg(embedding[i]) AS value, count(*) AS weight
+        FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i""",
+    "fx_global": """
+        SELECT pos, avg(value) AS value FROM fx_vec GROUP BY pos""",
+    "fx_rounds": """
+        SELECT event_type AS run, day(ts) AS round, round(avg(value), 6) AS metric
+        FROM events GROUP BY event_type, day(ts)""",
 }
