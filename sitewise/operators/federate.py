@@ -185,10 +185,17 @@ def early_stop(history: DataFrame, patience: int, metric: str, run: str = "run",
 
 # --- a linear model trained the federated way -------------------------------------------------
 
-def _weights_frame(spark: SparkSession, weights: dict[str, list[float]]) -> DataFrame:
-    """Client weights held by the driver; broadcast while they are known to be small."""
-    df = spark.createDataFrame([(c, [float(x) for x in w]) for c, w in weights.items()],
-                               "client string, _w array<double>")
+def weights_frame(spark: SparkSession, weights: dict, pos_weight: dict | None = None) -> DataFrame:
+    """Client weights held by the driver, broadcast while they are known to be small.
+
+    Keys are clients, or (arm, client) pairs for several models side by side.
+    """
+    pairs = any(isinstance(k, tuple) for k in weights)
+    rows = [((*k,) if pairs else (k,)) + ([float(x) for x in w], (pos_weight or {}).get(k))
+            for k, w in weights.items()]
+    df = spark.createDataFrame(rows, ("arm string, " if pairs else "") + "client string, _w array<double>, _pw double")
+    if pos_weight is None:
+        df = df.drop("_pw")
     cells = sum(len(w) for w in weights.values())
     return F.broadcast(df) if cells <= MAX_BROADCAST_CELLS else df
 
@@ -201,19 +208,16 @@ def linear_score(features: Sequence[str], w: Column) -> Column:
     return z
 
 
-def client_gradients(rows: DataFrame, weights: DataFrame, features: Sequence[str], label: str = "label",
-                     pos_weight: bool = True) -> DataFrame:
+def client_gradients(rows: DataFrame, weights: DataFrame, features: Sequence[str],
+                     label: str = "label") -> DataFrame:
     """Mean logistic gradient of every client at its current weights: (client, n, grad).
 
-    One aggregation for all clients; each client is a group, not a task, so a very
-    large client is split like any other data.
+    ``weights``: client, _w (array), and optionally _pw, the weight of a positive
+    row. One aggregation serves all clients; a client is a group, not a task, so a
+    very large one is split like any other data.
     """
-    if pos_weight:
-        pw = client_weights(rows, label).select("client", "pos_weight")
-        rows = rows.join(pw, "client")
-        importance = F.when(F.col(label) == 1, F.col("pos_weight")).otherwise(1.0)
-    else:
-        importance = F.lit(1.0)
+    importance = (F.when(F.col(label) == 1, F.col("_pw")).otherwise(1.0) if "_pw" in weights.columns
+                  else F.lit(1.0))
     err = (sigmoid(linear_score(features, F.col("_w"))) - F.col(label)) * importance
     scored = rows.join(weights, "client").withColumn("_e", err)
     parts = [F.sum("_e"), *[F.sum(F.col("_e") * F.coalesce(F.col(f), F.lit(0.0))) for f in features]]
@@ -241,6 +245,7 @@ def fit_federated(rows: DataFrame, features: Sequence[str], *, rounds: int = 10,
     try:
         sizes = client_weights(rows, label).collect()
         share = {r["client"]: r[f"w_{weight}"] for r in sizes}
+        boost = {r["client"]: r["pos_weight"] for r in sizes} if pos_weight else None
         total = sum(share.values())
         dim = len(features) + 1
         shared = np.zeros(dim)
@@ -250,8 +255,8 @@ def fit_federated(rows: DataFrame, features: Sequence[str], *, rounds: int = 10,
             if algorithm != "local":
                 local = {c: shared.copy() for c in share}
             for _ in range(local_steps):
-                frame = _weights_frame(spark, {c: list(w) for c, w in local.items()})
-                for r in client_gradients(rows, frame, features, label, pos_weight).collect():
+                frame = weights_frame(spark, local, boost)
+                for r in client_gradients(rows, frame, features, label).collect():
                     g = np.array(r["grad"])
                     if algorithm == "fedprox":
                         g = g + mu * (local[r["client"]] - shared)
@@ -271,10 +276,13 @@ def fit_federated(rows: DataFrame, features: Sequence[str], *, rounds: int = 10,
         rows.unpersist()
 
 
-def score(rows: DataFrame, weights: DataFrame | dict[str, list[float]], features: Sequence[str],
+def score(rows: DataFrame, weights: DataFrame | dict, features: Sequence[str],
           keep: Sequence[str] = ("stay_id", "client", "label")) -> DataFrame:
-    """Every client's rows scored with its own parameters, pooled in one frame: z and p."""
+    """Every client's rows scored with its own parameters, pooled in one frame: z and p.
+
+    Weights of several arms score all arms in one pass; add 'arm' to ``keep``.
+    """
     if isinstance(weights, dict):
-        weights = _weights_frame(rows.sparkSession, weights)
+        weights = weights_frame(rows.sparkSession, weights)
     z = linear_score(features, F.col("_w"))
     return rows.join(weights, "client").select(*keep, z.alias("z"), sigmoid(z).alias("p"))

@@ -10,6 +10,7 @@ from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.catalog_metrics import _rounded
 from sitewise.plans.registry import query
+from sitewise.session import cut_lineage
 
 # --- experiment tables ------------------------------------------------------------------
 
@@ -407,7 +408,8 @@ _MODEL = """mr AS (SELECT stay_id, client, label, split, (age - 50) / 20.0 AS x_
 def fed_logreg_step(spark, sf):
     train = _model_rows(spark, sf).where(F.col("split") == "train")
     start = [0.1, 0.2, -0.3]
-    w = train.select("client").distinct().withColumn("_w", F.array(*[F.lit(x) for x in start]))
+    w = K.client_weights(train).select("client", F.array(*[F.lit(x) for x in start]).alias("_w"),
+                                       F.col("pos_weight").alias("_pw"))
     g = K.client_gradients(train, w, _FEATS)
     n = F.col("n")
     return _rounded(g.agg(*[(F.sum(n * (s - 0.5 * F.get("grad", F.lit(i)))) / F.sum(n)).alias(f"w{i}")
@@ -416,18 +418,16 @@ def fed_logreg_step(spark, sf):
 
 @query("fed_logreg")
 def fed_logreg(spark, sf):
-    rows = _model_rows(spark, sf)
+    rows = cut_lineage(_model_rows(spark, sf))
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     fits = {a: K.fit_federated(train, _FEATS, rounds=3, local_steps=1, algorithm=a)
             for a in ("fedavg", "fedprox", "fedadam", "local")}
-    pooled = K.fit_federated(train.withColumn("client", F.lit("all")), _FEATS, rounds=3, local_steps=1)
-    fits["pooled"] = {c: pooled["all"] for c in fits["fedavg"]}
-    out = None
-    for name, w in fits.items():
-        part = K.score(test, w, _FEATS).withColumn("arm", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    everyone = K.fit_federated(train.withColumn("client", F.lit("all")), _FEATS, rounds=3, local_steps=1)
+    fits["pooled"] = {c: everyone["all"] for c in fits["fedavg"]}
+    weights = {(arm, c): w for arm, by_client in fits.items() for c, w in by_client.items()}
     d = F.col("p") - F.col("label")
-    return out.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("brier"))
+    return (K.score(test, weights, _FEATS, ("arm", "label")).groupBy("arm")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("brier")))
 
 
 @query("score_pooled", f"""WITH {_MODEL},
