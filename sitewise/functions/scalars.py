@@ -163,5 +163,5 @@ def poisson_cdf(mean: float = 1.0, upto: int = 12) -> list[float]:
 
 
 def poisson_weight(u: Column, mean: float = 1.0) -> Column:
-    """Poisson draw by inversion of a uniform."""
-    return sum((F.when(u >= c, 1).otherwise(0) for c in poisson_cdf(mean)), F.lit(0))
+    """Poisson draw by inversion of a uniform (plain sums, so that u is computed once)."""
+    return sum(((u >= c).cast("int") for c in poisson_cdf(mean)), F.lit(0))

@@ -12,6 +12,7 @@ from sitewise.functions.scalars import hash_hex, hash_uniform, poisson_weight, r
 from sitewise.operators.joins import salted_join
 from sitewise.operators.metrics import auprc_of, auroc_of, score_curve, threshold_metrics
 from sitewise.operators.ordered import hash_rank, running_totals
+from sitewise.session import cut_lineage
 
 BOOT_METRICS = ("auroc", "auprc", "f1", "sensitivity", "specificity", "ppv", "npv", "brier",
                 "accuracy", "balanced_accuracy")
@@ -39,19 +40,27 @@ def draw_exact(pred: DataFrame, n_boot: int, seed: int = 0, key: str = "id",
 
 
 def draw_poisson(pred: DataFrame, n_boot: int, seed: int = 0, key: str = "id") -> DataFrame:
-    """Poisson(1) resampling weights ``w`` for rows x replicate ``b``.
+    """Poisson(1) resampling weights ``w`` (possibly 0) for rows x replicate ``b``.
 
     Needs no shuffle and no sizes, which is what makes thousands of replicates of a
     large test set practical; the replicate sizes vary around n.
     """
     rows = pred.select("*", _replicates(n_boot).alias("b"))
-    return rows.withColumn("w", poisson_weight(hash_uniform(seed, "b", key))).where(F.col("w") > 0)
+    # no filter on w here: pushed down, it would compute the hash many times over
+    return (rows.withColumn("_u", hash_uniform(seed, "b", key))
+            .withColumn("w", poisson_weight(F.col("_u"))).drop("_u"))
+
+
+def _merge(drawn: DataFrame, *keys: str) -> DataFrame:
+    """Counts per replicate, score(s) and outcome, stored once: the draws are the costly
+    part and everything after them reads this much smaller table several times."""
+    merged = drawn.groupBy(*keys).agg(F.sum("w").cast("long").alias("w")).where(F.col("w") > 0)
+    return cut_lineage(merged)
 
 
 def replicate_metrics(drawn: DataFrame, threshold: float, p: str = "p", y: str = "y") -> DataFrame:
     """All bootstrap metrics, one row per replicate; calibration is left out on purpose."""
-    # rows are merged to (replicate, score, outcome) counts before anything is ordered
-    merged = drawn.groupBy("b", p, y).agg(F.sum("w").alias("w"))
+    merged = _merge(drawn, "b", p, y)
     curve = score_curve(merged, p, y, ["b"], F.col("w"))
     rank = curve.groupBy("b").agg(auroc_of().alias("auroc"), auprc_of().alias("auprc"))
     at = threshold_metrics(merged, threshold, p, y, ["b"], F.col("w"))
@@ -85,6 +94,7 @@ def bootstrap_auprc_diff(pred: DataFrame, n_boot: int = 1000, seed: int = 0, key
     rows = pred.select(key, y, p1, p2)
     drawn = (draw_exact(rows.withColumn("_all", F.lit(0)), n_boot, seed, key, ["_all"]).drop("_all")
              if method == "exact" else draw_poisson(rows, n_boot, seed, key))
+    drawn = _merge(drawn, "b", p1, p2, y)
 
     def ap(frame: DataFrame, p: str, by: Sequence[str], name: str, w: Column) -> DataFrame:
         merged = frame.groupBy(*by, p, y).agg(F.sum(w).alias("_w"))

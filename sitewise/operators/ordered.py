@@ -28,29 +28,34 @@ def bucket_count(df: DataFrame, n_buckets: int | None = None) -> int:
 def position_in(cuts: Column, value: Column, depth: int = 11) -> Column:
     """Number of entries of the ascending array ``cuts`` that are <= value.
 
-    Binary search with ``depth`` steps; enough for 2**depth - 1 entries.
+    Binary search with ``depth`` steps; enough for 2**depth - 1 entries. Never null:
+    as a join key a nullable position would bring a filter that Spark moves below the
+    aggregation, where the search would run for every raw row.
     """
     steps = F.array(*[F.lit(2 ** i) for i in reversed(range(depth))])
-    return F.aggregate(
+    found = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(
             (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= value),
             at + step).otherwise(at))
+    return F.coalesce(found, F.lit(0))
 
 
-def balanced_cuts(df: DataFrame, value: str, n_buckets: int) -> Column:
+def balanced_cuts(flat: DataFrame, value: str, by: Sequence[str], sums: Sequence[str],
+                  n_buckets: int) -> Column:
     """Ascending cut values as a scalar subquery.
 
-    The cuts come from the values with the smallest hashes: a uniform sample that
-    is the same in every evaluation, bounded by n_buckets * 16 rows. It only
-    steers the balance of the buckets; every row is still processed.
+    The cuts come from the (group, value) rows with the smallest hashes: a uniform
+    sample that is the same in every evaluation, bounded by n_buckets * 16 rows. It
+    only steers the balance of the buckets; every row is still processed. The sums
+    ride along unused so that this branch needs exactly the shuffle of the main
+    branch, which Spark then runs once for both.
     """
-    n = n_buckets * _SAMPLES_PER_BUCKET
-    sample = (df.select(F.col(value).alias("_v")).distinct()
-              .orderBy(F.xxhash64("_v"), "_v").limit(n))
-    ordered = F.array_sort(F.collect_list("_v"))
-    return sample.agg(
-        F.filter(ordered, lambda _, i: (i + 1) % _SAMPLES_PER_BUCKET == 0).alias("c")).scalar()
+    sample = (flat.select(F.col(value).alias("_v"), *by, *sums)
+              .orderBy(F.xxhash64(*by, "_v"), "_v", *by).limit(n_buckets * _SAMPLES_PER_BUCKET))
+    ordered = F.array_sort(F.collect_list(F.struct("_v", *sums)))
+    every = F.filter(ordered, lambda _, i: (i + 1) % _SAMPLES_PER_BUCKET == 0)
+    return sample.agg(F.transform(every, lambda r: r["_v"]).alias("c")).scalar()
 
 
 def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
@@ -73,7 +78,7 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
     if index is not None:
         flat = flat.withColumn("_one", F.lit(1).cast("long"))
         names.append("_one")
-    cut = (flat.withColumn("_cuts", balanced_cuts(df, value, n))
+    cut = (flat.withColumn("_cuts", balanced_cuts(flat, value, by, list(sums), n))
            .withColumn("_b", position_in(F.col("_cuts"), F.col(value))).drop("_cuts"))
     if descending:
         cut = cut.withColumn("_b", -F.col("_b"))

@@ -189,7 +189,8 @@ def unpack_series(packed: DataFrame) -> DataFrame:
 
 def trajectories(grid: DataFrame, switches: Sequence[str] = ()) -> DataFrame:
     """Display form per stay and feature: values to one decimal (gaps null), or ever-on."""
-    rounded = grid.withColumn("value", F.round("value", 1))
+    # means wobble in their last digit with the order of summing: settle that before halves round
+    rounded = grid.withColumn("value", F.round(F.round("value", 6), 1))
     return pack_series(rounded).withColumn(
         "ever_on", F.when(F.col("feature").isin(*switches),
                           (F.coalesce(F.array_max("series"), F.lit(0.0)) > 0).cast("int"))

@@ -414,9 +414,9 @@ def series_roundtrip(spark, sf):
 
 
 @query("trajectory", """
-    SELECT stay_id, feature, string_agg(CASE WHEN value IS NULL THEN '-' ELSE printf('%.1f', round(value, 1)) END,
+    SELECT stay_id, feature, string_agg(CASE WHEN value IS NULL THEN '-' ELSE printf('%.1f', round(round(value, 6), 1)) END,
            ' ' ORDER BY hr) AS points,
-           CASE WHEN feature IN ('error', 'signup') THEN CAST(max(round(value, 1)) > 0 AS INTEGER) END AS ever_on
+           CASE WHEN feature IN ('error', 'signup') THEN CAST(max(round(round(value, 6), 1)) > 0 AS INTEGER) END AS ever_on
     FROM fx_filled GROUP BY stay_id, feature""")
 def trajectory(spark, sf):
     t = series.trajectories(fx.grid(spark, sf), fx.SWITCHES)
