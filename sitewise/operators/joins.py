@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hours_between, in_window
 from sitewise.operators.ordered import running_totals
+from sitewise.session import cut_lineage
 
 MAX_RULE_ROWS = 10_000
 
@@ -60,6 +61,8 @@ def history_totals(history: DataFrame, probes: DataFrame, by: str, ended: str, a
     names = list(sums)
     hist = (history.withColumnRenamed(ended, "_t")
             .groupBy(by, own, "_t").agg(*[F.sum(c).alias(k) for k, c in sums.items()]))
+    # read twice below and usually the end of a long plan, so it is stored once
+    hist = cut_lineage(hist)
     marks = probes.select(by, F.col(at).alias("_t"), F.lit(None).alias(own),
                           *[F.lit(0).cast("long").alias(k) for k in names])
     line = hist.select(by, "_t", own, *names).unionByName(

@@ -79,7 +79,7 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
         flat = flat.withColumn("_one", F.lit(1).cast("long"))
         names.append("_one")
     cut = (flat.withColumn("_cuts", balanced_cuts(flat, value, by, list(sums), n))
-           .withColumn("_b", position_in(F.col("_cuts"), F.col(value))).drop("_cuts"))
+           .withColumn("_b", position_in(F.col("_cuts"), F.col(value), n.bit_length())).drop("_cuts"))
     if descending:
         cut = cut.withColumn("_b", -F.col("_b"))
 

@@ -9,6 +9,7 @@ from sitewise.operators.ordered import exact_quantiles
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.registry import query
+from sitewise.session import cut_lineage
 
 
 # --- assignment -------------------------------------------------------------------------
@@ -22,7 +23,7 @@ def client_careunit(spark, sf):
     SELECT stay_id, year_group AS client FROM fx_cohort WHERE year_group IN (
         SELECT year_group FROM fx_cohort GROUP BY 1 HAVING count(*) >= 500)""")
 def client_year_group(spark, sf):
-    return clients.by_category(fx.visit_cohort(spark, sf), "year_group", 500).select("stay_id", "client")
+    return clients.by_category(fx.stored_cohort(spark, sf), "year_group", 500).select("stay_id", "client")
 
 
 @query("client_source_only", """
@@ -34,14 +35,14 @@ def client_source_only(spark, sf):
 
 
 @query("client_shuffled", """
-    WITH sz AS (SELECT unit AS client, count(*) AS n FROM fx_cohort GROUP BY 1 HAVING count(*) >= 50),
+    WITH sz AS (SELECT unit AS client, count(*) AS n FROM fx_cohort GROUP BY 1 HAVING count(*) >= 150),
     tg AS (SELECT client, sum(n) OVER (ORDER BY n DESC, client) AS stop, n FROM sz),
     pt AS (SELECT subject_id, count(*) AS k FROM fx_cohort GROUP BY 1),
     cm AS (SELECT subject_id, sum(k) OVER (ORDER BY md5('42-' || subject_id)) - k AS at FROM pt)
     SELECT c.stay_id, t.client FROM fx_cohort c JOIN cm ON cm.subject_id = c.subject_id
     JOIN tg t ON cm.at >= t.stop - t.n AND cm.at < t.stop""")
 def client_shuffled(spark, sf):
-    return clients.shuffled(fx.visit_cohort(spark, sf), "unit", fx.MIN_CLIENT).select("stay_id", "client")
+    return clients.shuffled(fx.stored_cohort(spark, sf), "unit", fx.MIN_CLIENT).select("stay_id", "client")
 
 
 # (label, client, cumulative share): one draw with alpha 0.3, kept so that SQL can repeat it
@@ -57,7 +58,7 @@ _SHARES = tuple((y, i, c) for y, cuts in (
     SELECT stay_id, label, 'client_' || (SELECT count(*) FROM sh
            WHERE sh.y = rk.label AND sh.i < 7 AND floor(sh.c * rk.n) <= rk.r) AS client FROM rk""")
 def client_dirichlet(spark, sf):
-    return clients.dirichlet(fx.visit_cohort(spark, sf), _SHARES).select("stay_id", "label", "client")
+    return clients.dirichlet(fx.stored_cohort(spark, sf), _SHARES).select("stay_id", "label", "client")
 
 
 # --- splits -----------------------------------------------------------------------------
@@ -101,7 +102,7 @@ _HET = """
     WITH {_HET} SELECT client, n, round(outcome_pct, 4) AS outcome_pct, round(mean_age, 4) AS mean_age,
                        round(median_los_h, 4) AS median_los_h, round(js, 5) AS js_divergence FROM rep""")
 def heterogeneity_report(spark, sf):
-    c = fx.visit_cohort(spark, sf)
+    c = fx.stored_cohort(spark, sf)
     r = clients.heterogeneity(clients.by_category(c, "unit", fx.MIN_CLIENT), c)
     return r.select("client", "n", *[F.round(k, d).alias(k) for k, d in (
         ("outcome_pct", 4), ("mean_age", 4), ("median_los_h", 4), ("js_divergence", 5))])
@@ -112,7 +113,7 @@ def heterogeneity_report(spark, sf):
                        round(max(outcome_pct) - min(outcome_pct), 4) AS range_pp,
                        round(avg(js), 5) AS mean_js, CAST(sum(n) AS BIGINT) AS n_rows FROM rep""")
 def client_rate_spread(spark, sf):
-    c = fx.visit_cohort(spark, sf)
+    c = fx.stored_cohort(spark, sf)
     r = clients.rate_spread(clients.heterogeneity(clients.by_category(c, "unit", fx.MIN_CLIENT), c))
     return r.select(*[F.round(k, 4).alias(k) for k in ("min_pct", "max_pct", "range_pp")],
                     F.round("mean_js", 5).alias("mean_js"), "n_rows")
@@ -153,7 +154,7 @@ def cohort_quartiles(spark, sf):
 
 def _site_grid(spark, sf):
     """Filled grid with a site per entity: the user's number modulo 3."""
-    return (fx.grid(spark, sf).withColumn(
+    return cut_lineage(fx.grid(spark, sf).withColumn(
         "client", F.concat(F.lit("s"), (F.floor(F.col("stay_id") / 100) % 3).cast("string")))
         .withColumn("train", (F.col("stay_id") % 7) < 5))
 
@@ -274,7 +275,7 @@ def prefix_cutoff(spark, sf):
     WITH k AS (SELECT max(subject_id) AS c FROM fx_cohort WHERE subject_id < (SELECT max(subject_id) FROM fx_cohort))
     SELECT count(*) AS n_stays, count(DISTINCT subject_id) AS n_subjects FROM fx_cohort, k WHERE subject_id <= c""")
 def prefix_survivors(spark, sf):
-    c = fx.visit_cohort(spark, sf)
+    c = fx.stored_cohort(spark, sf)
     cutoff = quality.prefix_stats(c, "subject_id").select("cutoff").scalar()
     return c.where(F.col("subject_id") <= cutoff).agg(
         F.count(F.lit(1)).alias("n_stays"), F.countDistinct("subject_id").alias("n_subjects"))
@@ -291,7 +292,7 @@ def _tree_sql():
 
 @query("cohort_fingerprint", _tree_sql())
 def cohort_fingerprint(spark, sf):
-    return quality.fingerprint(fx.visit_cohort(spark, sf))
+    return quality.fingerprint(fx.stored_cohort(spark, sf))
 
 
 @query("partition_membership", """
@@ -302,7 +303,7 @@ def cohort_fingerprint(spark, sf):
            (SELECT count(*) FROM fx_cohort) AS n_cohort
     FROM fx_split s LEFT JOIN u ON u.unit = s.client WHERE split = 'test' GROUP BY s.client""")
 def partition_membership(spark, sf):
-    m = quality.membership(fx.splits(spark, sf), fx.visit_cohort(spark, sf))
+    m = quality.membership(fx.splits(spark, sf), fx.stored_cohort(spark, sf))
     return m.select(*[r6(c).alias(c) if c in ("test_rate", "own_share", "unit_rate") else c for c in m.columns])
 
 
@@ -354,7 +355,7 @@ _BAND = """CASE WHEN {e} IS NULL THEN 'n/a' WHEN abs({e}) < 0.1 THEN 'negligible
            round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df,
            round(d, 6) AS cohens_d, {_BAND.format(e='d')} AS magnitude FROM e""")
 def welch_effect(spark, sf):
-    w = quality.welch_effect(fx.visit_cohort(spark, sf), F.expr(_KEPT), ["age", "los_hours"])
+    w = quality.welch_effect(fx.stored_cohort(spark, sf), F.expr(_KEPT), ["age", "los_hours"])
     return w.select("characteristic", "n_kept", "n_excluded", *[r6(c).alias(c) for c in (
         "mean_kept", "mean_excluded", "sd_kept", "sd_excluded", "t")],
         F.round("df", 4).alias("df"), r6("cohens_d").alias("cohens_d"), "magnitude")
@@ -375,7 +376,7 @@ def welch_effect(spark, sf):
            round(h, 6) AS cohens_h, CASE WHEN h IS NULL THEN 'not testable' ELSE {_BAND.format(e='h')} END AS magnitude
     FROM h""")
 def prop_effect(spark, sf):
-    p = quality.proportion_effect(fx.visit_cohort(spark, sf), F.expr(_KEPT), {
+    p = quality.proportion_effect(fx.stored_cohort(spark, sf), F.expr(_KEPT), {
         "died": F.col("label"), "male": F.col("gender") == "M",
         "urgent": F.col("admission_type").contains("URGENT"), "always": F.lit(1)})
     return p.select("characteristic", *[r6(c).alias(c) for c in ("p_kept", "p_excluded", "chi2", "cohens_h")],
@@ -390,4 +391,4 @@ def prop_effect(spark, sf):
                      + pow(b - (a + b) * sb / n, 2) / ((a + b) * sb / n)), 6) AS chi2,
            count(*) - 1 AS df, CAST(any_value(n) AS BIGINT) AS n FROM c, t""")
 def composition_chi2(spark, sf):
-    return quality.composition_chi2(fx.visit_cohort(spark, sf), F.expr(_KEPT), "unit").withColumn("chi2", r6("chi2"))
+    return quality.composition_chi2(fx.stored_cohort(spark, sf), F.expr(_KEPT), "unit").withColumn("chi2", r6("chi2"))

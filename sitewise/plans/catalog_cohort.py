@@ -193,7 +193,7 @@ def prior_history_join(spark, sf):
         F.count(F.lit(1)).alias("n_dx"), F.count(F.when(F.col("icd_version") == 10, 1)).alias("n_v10"))
     hist = hist.join(fx.admissions(spark, sf).select("hadm_id", "subject_id", "dischtime"), "hadm_id")
     return joins.history_totals(
-        hist, fx.visit_cohort(spark, sf), "subject_id", "dischtime", "intime",
+        hist, fx.stored_cohort(spark, sf), "subject_id", "dischtime", "intime",
         {"n_prior": F.col("n_dx"), "n_prior_v10": F.col("n_v10")}, "hadm_id", "stay_id")
 
 
@@ -555,14 +555,14 @@ def _cci_cols(alias, tag):
     FROM pr JOIN prn ON pr.stay_id = prn.stay_id""")
 def comorbidity_index(spark, sf):
     return features.prior_comorbidities(fx.diagnoses(spark, sf), fx.admissions(spark, sf),
-                                        fx.visit_cohort(spark, sf), fx.CODE_RULES)
+                                        fx.stored_cohort(spark, sf), fx.CODE_RULES)
 
 
 @query("comorbidity_current", f"""
     WITH {_dx_hits()}, {_CURRENT} SELECT cu.stay_id, {_cci_cols('cu', '')}
     FROM cu JOIN cun ON cu.stay_id = cun.stay_id""")
 def comorbidity_current(spark, sf):
-    return features.current_comorbidities(fx.diagnoses(spark, sf), fx.visit_cohort(spark, sf), fx.CODE_RULES)
+    return features.current_comorbidities(fx.diagnoses(spark, sf), fx.stored_cohort(spark, sf), fx.CODE_RULES)
 
 
 @query("comorbidity_both", f"""
@@ -571,7 +571,7 @@ def comorbidity_current(spark, sf):
     JOIN cun ON cun.stay_id = pr.stay_id""")
 def comorbidity_both(spark, sf):
     return features.both_comorbidities(fx.diagnoses(spark, sf), fx.admissions(spark, sf),
-                                       fx.visit_cohort(spark, sf), fx.CODE_RULES)
+                                       fx.stored_cohort(spark, sf), fx.CODE_RULES)
 
 
 @query("feature_table", f"""
@@ -589,7 +589,7 @@ def comorbidity_both(spark, sf):
     FROM fx_cohort c LEFT JOIN w ON w.stay_id = c.stay_id
     JOIN cu ON cu.stay_id = c.stay_id JOIN cun ON cun.stay_id = c.stay_id""")
 def feature_table(spark, sf):
-    c = fx.visit_cohort(spark, sf)
+    c = fx.stored_cohort(spark, sf)
     ev = fx.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("stay_id"), F.col("l_returnflag").alias("feature"),
         F.col("l_quantity").alias("value"))

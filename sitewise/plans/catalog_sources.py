@@ -87,7 +87,7 @@ def latest_run(spark, sf):
 
 @query("assignment_roundtrip", "SELECT stay_id, client, split FROM fx_split")
 def assignment_roundtrip(spark, sf):
-    cohort = fx.visit_cohort(spark, sf)
+    cohort = fx.stored_cohort(spark, sf)
     path = scratch_path(spark, "assignment")
     sinks.write_assignment(clients.grouped_split(clients.by_category(cohort, "unit", fx.MIN_CLIENT)), cohort, path)
     return sinks.read_assignment(spark, path, cohort)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hours_between, plus_hours
 from sitewise.operators import clients, cohort, series
+from sitewise.session import cut_lineage
 
 FEATURES = ("click", "view", "purchase", "error", "signup")
 SUMS = ("purchase",)
 SWITCHES = ("error", "signup")
 STEPS, WIDTH_H = 4, 6
-MIN_CLIENT = 50
+MIN_CLIENT = 150
 # (condition, weight, code version, code prefix)
 CODE_RULES = (("a", 1, 9, "ECONOMY"), ("b", 2, 10, "SMALL"), ("c", 3, 10, "PROMO1"),
               ("c", 3, 9, "PROMO2"))
@@ -63,6 +64,11 @@ def visit_cohort(spark: SparkSession, sf: str) -> DataFrame:
                                admissions(spark, sf), patients(spark, sf))
 
 
+def stored_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    """The cohort as a stored table, for jobs that read it several times."""
+    return cut_lineage(visit_cohort(spark, sf))
+
+
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "event_id", (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("stay_id"), "user_id",
@@ -106,7 +112,7 @@ def diagnoses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def site_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return clients.by_category(visit_cohort(spark, sf), "unit", MIN_CLIENT)
+    return clients.by_category(stored_cohort(spark, sf), "unit", MIN_CLIENT)
 
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:

@@ -78,7 +78,7 @@ VIEWS = {
         AS t(condition, weight, version, prefix)""",
     "fx_clients": """
         SELECT c.*, c.unit AS client FROM fx_cohort c
-        WHERE unit IN (SELECT unit FROM fx_cohort GROUP BY unit HAVING count(*) >= 50)""",
+        WHERE unit IN (SELECT unit FROM fx_cohort GROUP BY unit HAVING count(*) >= 150)""",
     "fx_split": """
         WITH pat AS (SELECT client, subject_id, max(label) AS any_pos FROM fx_clients GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY client, any_pos

@@ -74,12 +74,18 @@ def read_csv_tolerant(spark: SparkSession, path: str,
     schema = csv_schema(spark, path, types or {})
     names = schema.names
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("columnPruning", False)      # otherwise short rows look complete
-           .option("columnNameOfCorruptRecord", CORRUPT).schema(full).csv(path))
-    good = raw.where(F.col(CORRUPT).isNull()).select(*names)
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("row_text"), *names)
-    return good, bad
+    # line by line, so that a broken line cannot swallow its neighbours
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in names))
+    header = F.lit(True)
+    for c in names:
+        header = header & F.coalesce(cells[c] == c, F.lit(False))
+    row = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.fields),
+                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    raw = lines.where(~header).select("value", row.alias("r"))
+    fields = [F.col("r").getField(c).alias(c) for c in names]
+    broken = F.col("r").getField(CORRUPT).isNotNull()
+    return raw.where(~broken).select(*fields), raw.where(broken).select(F.col("value").alias("row_text"), *fields)
 
 
 def read_table(spark: SparkSession, root: str, name: str, module: str | None = None,
