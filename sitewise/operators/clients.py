@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import half_even, hash_hex, js_divergence
+from sitewise.operators.joins import lookup_join, salted_join
 from sitewise.operators.ordered import exact_quantiles, hash_rank, position_in, running_totals
 
 SPLITS = ("train", "val", "test")
@@ -23,7 +24,7 @@ def client_sizes(cohort: DataFrame, column: str, min_size: int) -> DataFrame:
 def by_category(cohort: DataFrame, column: str, min_size: int = 500) -> DataFrame:
     """Clients are the values of a column; values with too few rows are left out."""
     sizes = client_sizes(cohort, column, min_size)
-    return (cohort.join(sizes.select(column), column, "left_semi")
+    return (lookup_join(cohort, sizes.select(column), [column], cohort.columns, "left_semi")
             .withColumn("client", F.col(column)))
 
 
@@ -64,8 +65,8 @@ def shuffled(cohort: DataFrame, column: str, min_size: int = 500, seed: int = 42
                                             depth=16))
               .select("_key", F.get("_plan", F.col("_i"))["client"].alias("client"))
               .where(F.col("client").isNotNull()))
-    return (cohort.withColumn("_key", F.col("subject_id").cast("string"))
-            .join(placed, "_key").drop("_key"))
+    keyed = cohort.withColumn("_key", F.col("subject_id").cast("string"))
+    return salted_join(keyed, placed, ["_key"], ["stay_id"], salts=4).drop("_key")
 
 
 def dirichlet_shares(labels: Sequence[int], n_clients: int, alpha: float,
@@ -101,7 +102,7 @@ def _split_at(rank: Column, n_test: Column, n_val: Column) -> Column:
 
 
 def grouped_split(assigned: DataFrame, test: float = 0.15, val: float = 0.15, seed: int = 42,
-                  group: str = "subject_id", label: str = "label") -> DataFrame:
+                  group: str = "subject_id", label: str = "label", key: str = "stay_id") -> DataFrame:
     """Train/val/test by patient inside each client, stratified by any-positive.
 
     All stays of a patient land in one split of a client. Sizes are rounded half
@@ -112,7 +113,7 @@ def grouped_split(assigned: DataFrame, test: float = 0.15, val: float = 0.15, se
     n_test = half_even(F.col("_n") * F.lit(test))
     n_val = half_even(F.col("_n") * F.lit(val))
     placed = ranked.select("client", group, _split_at(F.col("_rank"), n_test, n_val).alias("split"))
-    return assigned.join(placed, ["client", group])
+    return salted_join(assigned, placed, ["client", group], [key], salts=4)
 
 
 def row_split(assigned: DataFrame, test: float = 0.15, val: float = 0.15, seed: int = 42,
@@ -236,7 +237,7 @@ def apply_normaliser(rows: DataFrame, stats: DataFrame, by: Sequence[str] = ("cl
     after scaling (static columns).
     """
     by = list(by)
-    joined = rows.join(stats.select(*by, "median", "mean", "sd"), by, "left")
+    joined = lookup_join(rows, stats.select(*by, "median", "mean", "sd"), by, [value], "left")
     x = F.coalesce(F.col(value), F.col("median")) if impute else F.col(value)
     z = (x - F.col("mean")) / F.col("sd")
     return (joined.withColumn("z", z if impute else F.coalesce(z, F.lit(0.0)))

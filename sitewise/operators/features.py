@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import contains_flag, equals_flag
-from sitewise.operators.joins import history_totals, prefix_hits
+from sitewise.operators.joins import history_totals, prefix_hits, salted_join
 
 STATS = ("v_min", "v_max", "v_mean", "v_count")
 
@@ -81,7 +81,7 @@ def current_comorbidities(dx: DataFrame, cohort: DataFrame, rules: Rules, tag: s
     These codes are assigned at discharge: fine for description, a leak for prediction.
     dx: hadm_id, icd_code, icd_version.
     """
-    mine = dx.join(cohort.select("hadm_id", "stay_id"), "hadm_id")
+    mine = salted_join(dx, cohort.select("hadm_id", "stay_id"), ["hadm_id"], ["icd_code", "icd_version"])
     counts = mine.groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_dx"))
     flags = _flags(prefix_hits(mine, rules), "stay_id", rules)
     return _scored(cohort.select("stay_id").join(counts, "stay_id", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_hex, sigmoid
+from sitewise.operators.joins import lookup_join
 from sitewise.operators.ordered import hash_rank
 
 MAX_BROADCAST_CELLS = 5_000_000
@@ -33,7 +34,8 @@ def client_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Row weights 1 / (size of the row's class inside its client)."""
     sizes = rows.groupBy("client", label).agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(sizes, ["client", label]).withColumn("weight", 1.0 / F.col("_n")).drop("_n")
+    sized = lookup_join(rows, sizes, ["client", label], rows.columns)
+    return sized.withColumn("weight", 1.0 / F.col("_n")).drop("_n")
 
 
 def balanced_resample(rows: DataFrame, key: str = "stay_id", label: str = "label", seed: int = 42) -> DataFrame:
@@ -44,7 +46,7 @@ def balanced_resample(rows: DataFrame, key: str = "stay_id", label: str = "label
     """
     ranked = hash_rank(rows, [key], f"{seed}pos", ["client", label], "_at", "_n")
     classes = ranked.groupBy("client").agg(F.array_sort(F.collect_set(F.struct(label, "_n"))).alias("_c"))
-    drawn = rows.select("client", key).join(classes, "client")
+    drawn = lookup_join(rows.select("client", key), classes, ["client"], [key])
     head = F.conv(F.substring(hash_hex(f"{seed}class", key), 1, 8), 16, 10).cast("long")
     chosen = F.get("_c", F.pmod(head, F.size("_c")).cast("int"))
     place = F.conv(F.substring(hash_hex(f"{seed}row", key), 1, 8), 16, 10).cast("long")
@@ -282,7 +284,9 @@ def score(rows: DataFrame, weights: DataFrame | dict, features: Sequence[str],
 
     Weights of several arms score all arms in one pass; add 'arm' to ``keep``.
     """
-    if isinstance(weights, dict):
-        weights = weights_frame(rows.sparkSession, weights)
     z = linear_score(features, F.col("_w"))
-    return rows.join(weights, "client").select(*keep, z.alias("z"), sigmoid(z).alias("p"))
+    if isinstance(weights, dict):
+        joined = rows.join(weights_frame(rows.sparkSession, weights), "client")
+    else:
+        joined = lookup_join(rows, weights, ["client"], list(features))
+    return joined.select(*keep, z.alias("z"), sigmoid(z).alias("p"))

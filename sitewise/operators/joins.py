@@ -12,6 +12,7 @@ from sitewise.operators.ordered import running_totals
 from sitewise.session import cut_lineage
 
 MAX_RULE_ROWS = 10_000
+MAX_LOOKUP_ROWS = 200_000
 
 
 def rule_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -35,6 +36,19 @@ def salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequ
     return f.join(d, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_join(rows: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str],
+                how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """Join rows to an aggregated table (per site, per class) without moving the rows.
+
+    The table is stored and counted first. Up to ``max_rows`` it is broadcast, so a
+    site with most of the rows is never gathered; beyond that the join is salted.
+    """
+    stored = cut_lineage(dim)
+    if stored.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(stored), list(on), how)
+    return salted_join(rows, stored, on, spread, how)
+
+
 def window_join(events: DataFrame, cohort: DataFrame, on: str, time: str, hours: int,
                 start: str = "intime", entity: str = "stay_id", keep: Sequence[str] = (),
                 salts: int = 16) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import logit, ratio
-from sitewise.operators.joins import rule_frame
+from sitewise.operators.joins import lookup_join, rule_frame
 from sitewise.operators.ordered import exact_quantiles, hash_rank, position_in, running_totals
 
 FEW_EVENTS = 15
@@ -329,7 +329,7 @@ def fit_logistic(points: DataFrame, z: str = "z", y: str = "y", by: Sequence[str
     finally:
         merged.unpersist()
     rows = [(*key(r), *at.get(key(r), (None, None))) for r in sizes]
-    return spark.createDataFrame(rows, out_schema)
+    return rule_frame(spark, rows, out_schema)
 
 
 def calibration_slope(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
@@ -372,7 +372,7 @@ def metric_report(pred: DataFrame, thresholds: DataFrame | float | None = None,
         cut = thresholds.select("scope", "threshold")
     else:
         cut = rank.select("scope", F.lit(float(thresholds)).alias("threshold"))
-    at = threshold_metrics(rows.join(cut, "scope"), F.col("threshold"), p, y, ["scope", "threshold"])
+    at = threshold_metrics(lookup_join(rows, cut, ["scope"], [p]), F.col("threshold"), p, y, ["scope", "threshold"])
     return (rank.select("scope", "n", "n_pos", "prevalence", "auroc", "auprc", "lift")
             .join(at, "scope").join(ece(rows, p, y, ["scope"]), "scope")
             .join(calibration_intercept(rows, p, y, ["scope"]), "scope")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewise.operators.joins import rule_frame
+from sitewise.operators.joins import rule_frame, salted_join
 
 EVENT_SCHEMA = "stay_id bigint, feature string, value double, hours_in double"
 
@@ -63,7 +63,7 @@ def unpivot_measures(wide: DataFrame, ids: Sequence[str], columns: Mapping[str,
 def offset_events(events: DataFrame, cohort: DataFrame, minutes: str, hours: int) -> DataFrame:
     """Events of cohort members with 0 <= offset < hours, offsets in minutes."""
     inside = events.where((F.col(minutes) >= 0) & (F.col(minutes) < hours * 60))
-    return (inside.join(cohort.select("stay_id").distinct(), "stay_id", "left_semi")
+    return (salted_join(inside, cohort.select("stay_id").distinct(), ["stay_id"], [minutes], "left_semi")
             .withColumn("hours_in", F.col(minutes) / 60.0))
 
 
@@ -79,8 +79,9 @@ def union_events(*parts: DataFrame) -> DataFrame:
 
 def coverage(events: DataFrame, cohort: DataFrame, features: Sequence[str]) -> DataFrame:
     """Share of the cohort with any event and with each named feature (one row)."""
-    seen = events.join(cohort.select("stay_id"), "stay_id", "left_semi").groupBy("stay_id").agg(
-        *[F.max((F.col("feature") == f).cast("int")).alias(f) for f in features])
+    # one row per stay before the join
+    seen = (events.groupBy("stay_id").agg(*[F.max((F.col("feature") == f).cast("int")).alias(f) for f in features])
+            .join(cohort.select("stay_id"), "stay_id", "left_semi"))
     n = cohort.agg(F.count(F.lit(1)).alias("n")).scalar()
     return seen.agg(F.count(F.lit(1)).alias("_any"), *[F.sum(f).alias(f) for f in features]).select(
         n.alias("n_stays"), (F.col("_any") / F.greatest(n, F.lit(1))).alias("any_share"),
