@@ -59,10 +59,9 @@ def shuffled(cohort: DataFrame, column: str, min_size: int = 500, seed: int = 42
     order = patients.withColumn("_h", F.concat_ws("-", hash_hex(seed, "subject_id"),
                                                   F.col("subject_id").cast("string")))
     laid = running_totals(order, "_h", {"n_stays": F.col("n_stays")})
-    placed = (laid.select(F.substr("_h", F.lit(34)).alias("_key"), F.col("n_stays_before").alias("_at"))
-              .withColumn("_plan", plan)
-              .withColumn("_i", position_in(F.transform("_plan", lambda t: t["stop"]), F.col("_at"),
-                                            depth=16))
+    at = (laid.select(F.substr("_h", F.lit(34)).alias("_key"), F.col("n_stays_before").alias("_at"))
+          .withColumn("_plan", plan).withColumn("_stops", F.transform("_plan", lambda t: t["stop"])))
+    placed = (at.withColumn("_i", position_in(F.col("_stops"), F.col("_at"), depth=16))
               .select("_key", F.get("_plan", F.col("_i"))["client"].alias("client"))
               .where(F.col("client").isNotNull()))
     keyed = cohort.withColumn("_key", F.col("subject_id").cast("string"))
@@ -86,13 +85,15 @@ def dirichlet(cohort: DataFrame, shares: Sequence[tuple[int, int, float]], label
               key: str = "stay_id", seed: int = 42) -> DataFrame:
     """Label-skewed clients: the shuffled rows of each label are cut at given shares."""
     ranked = hash_rank(cohort, [key], seed, [label], "_rank", "_n")
-    client: Column = F.lit(None).cast("int")
+    cuts: Column = F.lit(None).cast("array<bigint>")
     for lab in sorted({s[0] for s in shares}):
-        cuts = sorted((i, c) for y, i, c in shares if y == lab)
-        inner = F.array(*[F.floor(F.lit(c) * F.col("_n")) for _, c in cuts[:-1]])
-        client = F.when(F.col(label) == lab, position_in(inner, F.col("_rank"))).otherwise(client)
-    return (ranked.withColumn("client", F.concat(F.lit("client_"), client.cast("string")))
-            .drop("_rank", "_n"))
+        own = sorted((i, c) for y, i, c in shares if y == lab)
+        inner = F.array(*[F.floor(F.lit(c) * F.col("_n")) for _, c in own[:-1]])
+        cuts = F.when(F.col(label) == lab, inner).otherwise(cuts)
+    placed = ranked.withColumn("_i", position_in(cuts, F.col("_rank")))
+    client = F.when(F.col(label).isin([int(y) for y, _, _ in shares]),
+                    F.concat(F.lit("client_"), F.col("_i").cast("string")))
+    return placed.withColumn("client", client).drop("_rank", "_n", "_i")
 
 
 # --- splits -----------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import logit, ratio
 from sitewise.operators.joins import lookup_join, rule_frame
-from sitewise.operators.ordered import exact_quantiles, hash_rank, position_in, running_totals
+from sitewise.operators.ordered import exact_quantiles, hash_rank, running_totals, with_position
 
 FEW_EVENTS = 15
 
@@ -144,7 +144,7 @@ def counts_at(pred: DataFrame, thresholds: Sequence[float], p: str = "p", y: str
     """
     by = list(by)
     cuts = F.array(*[F.lit(float(t)) for t in thresholds])
-    slots = pred.groupBy(*by, position_in(cuts, F.col(p)).alias("_k")).agg(
+    slots = with_position(pred, "_k", cuts, F.col(p), len(thresholds).bit_length()).groupBy(*by, "_k").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"))
     packed = slots.groupBy(*by).agg(
         F.collect_list(F.struct("_k", "_n", "_pos")).alias("_s"),
@@ -260,8 +260,9 @@ def quantile_edges(pred: DataFrame, p: str, n_bins: int) -> Column:
 def calibration_curve(pred: DataFrame, p: str = "p", y: str = "y", n_bins: int = 10) -> DataFrame:
     """Reliability by quantile bins [lo, hi), the last one closed."""
     binned = pred.withColumn("_e", quantile_edges(pred, p, n_bins)).where(F.size("_e") > 1)
-    slot = F.least(position_in(F.col("_e"), F.col(p)) - 1, F.size("_e") - 2)
-    g = binned.groupBy(slot.alias("bin")).agg(
+    slot = F.least(F.col("_k") - 1, F.size("_e") - 2)
+    g = with_position(binned, "_k", F.col("_e"), F.col(p), (n_bins + 1).bit_length())
+    g = g.groupBy(slot.alias("bin")).agg(
         F.min(F.get("_e", slot)).alias("bin_lo"), F.min(F.get("_e", slot + 1)).alias("bin_hi"),
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg(y).alias("observed_rate"))
     return g

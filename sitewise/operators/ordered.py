@@ -26,11 +26,9 @@ def bucket_count(df: DataFrame, n_buckets: int | None = None) -> int:
 
 
 def position_in(cuts: Column, value: Column, depth: int = 11) -> Column:
-    """Number of entries of the ascending array ``cuts`` that are <= value.
+    """Number of entries of the ascending array ``cuts`` that are <= value, as one expression.
 
-    Binary search with ``depth`` steps; enough for 2**depth - 1 entries. Never null:
-    as a join key a nullable position would bring a filter that Spark moves below the
-    aggregation, where the search would run for every raw row.
+    Interpreted per row; for results that callers may filter on. See ``with_position``.
     """
     steps = F.array(*[F.lit(2 ** i) for i in reversed(range(depth))])
     found = F.aggregate(
@@ -41,6 +39,24 @@ def position_in(cuts: Column, value: Column, depth: int = 11) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def with_position(df: DataFrame, name: str, cuts: Column, value: Column, depth: int = 11) -> DataFrame:
+    """Add ``name``: how many entries of the ascending array ``cuts`` are <= value.
+
+    A binary search unrolled into ``depth`` projections, enough for 2**depth - 1
+    entries. Each one is a plain generated comparison; a higher-order function would
+    be interpreted for every row. The result is never null: as a join key a nullable
+    position would bring a filter that Spark moves below the aggregation, where the
+    search would run for every raw row. For positions that end in a grouping or a join
+    only: a filter on them would be moved through the projections, doubling each time.
+    """
+    df = df.withColumn("_cuts", cuts).withColumn("_v", value).withColumn(name, F.lit(0))
+    at = F.col(name)
+    for step in (2 ** i for i in reversed(range(depth))):
+        passed = F.get("_cuts", at + F.lit(step - 1)) <= F.col("_v")
+        df = df.withColumn(name, at + F.when(F.coalesce(passed, F.lit(False)), step).otherwise(0))
+    return df.drop("_cuts", "_v")
+
+
 def balanced_cuts(flat: DataFrame, value: str, by: Sequence[str], sums: Sequence[str],
                   n_buckets: int) -> Column:
     """Ascending cut values as a scalar subquery.
@@ -78,8 +94,7 @@ def running_totals(df: DataFrame, value: str, sums: Mapping[str, Column],
     if index is not None:
         flat = flat.withColumn("_one", F.lit(1).cast("long"))
         names.append("_one")
-    cut = (flat.withColumn("_cuts", balanced_cuts(flat, value, by, list(sums), n))
-           .withColumn("_b", position_in(F.col("_cuts"), F.col(value), n.bit_length())).drop("_cuts"))
+    cut = with_position(flat, "_b", balanced_cuts(flat, value, by, list(sums), n), F.col(value), n.bit_length())
     if descending:
         cut = cut.withColumn("_b", -F.col("_b"))
 

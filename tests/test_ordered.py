@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_hex
 from sitewise.operators.joins import history_totals, prefix_hits, salted_join
-from sitewise.operators.ordered import exact_quantiles, hash_rank, midranks, position_in, running_totals
+from sitewise.operators.ordered import exact_quantiles, hash_rank, midranks, running_totals, with_position
 
 
 @pytest.fixture(scope="module")
@@ -70,9 +70,9 @@ def test_hash_rank_is_a_seeded_permutation(skewed):
 
 
 @pytest.mark.parametrize("cuts,value,want", [([1, 2, 2, 5], 2, 3), ([1, 2], 0, 0), ([1, 2], 9, 2), ([], 1, 0)])
-def test_position_in(spark, cuts, value, want):
+def test_positions(spark, cuts, value, want):
     arr = F.array(*[F.lit(c) for c in cuts]).cast("array<int>")
-    assert spark.range(1).select(position_in(arr, F.lit(value)).alias("p")).first()["p"] == want
+    assert with_position(spark.range(1), "p", arr, F.lit(value)).first()["p"] == want
 
 
 def test_salted_join_keeps_every_row_once(skewed, spark):
