@@ -1,6 +1,6 @@
 """All queries of this package; importing the operators fills the registry."""
 
-from sitewise.llm import fingerprints, language, lines, mixing, ngram_join, packing, repetition, secrets  # noqa: F401
+from sitewise.llm import brown, fingerprints, language, lines, mixing, ngram_join, packing, repetition, secrets  # noqa: F401
 from sitewise.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
