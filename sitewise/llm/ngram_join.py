@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.llm.common import documents, query, row_key, slices, stored, text_bytes
+from sitewise.llm.counting import CHUNK, COUNT, answered, chunk_batch
 from sitewise.llm.graph import components
 
 WORDS, PERCENT = 4, 85
-CHUNK_BYTES, RANGE_KEYS, BLOCK, HUBS = 2_000_000, 1_000_000, 1024, 16
+CHUNK_BYTES, BLOCK, HUBS = 2_000_000, 1024, 16
 FILTER_BITS = 1 << 24       # of the filter on keys; a fuller filter lets more documents through, none is lost
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,75 +68,6 @@ def spare(n: int, percent: int) -> int:
     return n + (-percent * n // 100)
 
 
-# --- document frequencies by chunk ----------------------------------------------------
-
-def frequencies(chunks: DataFrame, total: int) -> DataFrame:
-    """(chunk, df) for (chunk, keys): for each of the chunk's sorted distinct keys, in how many rows it occurs.
-
-    ``keys`` and ``df`` are packed arrays (8 and 1 bytes an entry); ``times`` has the occurrences inside the
-    chunk; counts stop at 255. ``total`` keys in all decide into how many ranges the hash space is cut, so
-    that a range holds about RANGE_KEYS of them.
-    """
-    ranges = max(8, -(-total // RANGE_KEYS))
-    width = np.uint64((1 << 64) // ranges + 1)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, raw, times in zip(*(batch.column(c).to_pylist() for c in ("chunk", "keys", "times")), strict=True):
-                keys, counts = np.frombuffer(raw, np.uint64), np.frombuffer(times, np.uint8)
-                cuts = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) * width)
-                parts = [(r, a, b) for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)])) if b > a]
-                yield pa.RecordBatch.from_pydict({
-                    "range": pa.array([r for r, _, _ in parts], pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int64()),
-                    "keys": pa.array([keys[a:b].tobytes() for _, a, b in parts], pa.binary()),
-                    "times": pa.array([counts[a:b].tobytes() for _, a, b in parts], pa.binary())})
-
-    def answer(group: pa.Table) -> pa.Table:
-        raws = group.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(raws), np.uint64)
-        times = np.frombuffer(b"".join(group.column("times").to_pylist()), np.uint8)
-        order = np.argsort(keys, kind="stable")
-        fresh = np.r_[True, keys[order][1:] != keys[order][:-1]]
-        sums = np.minimum(np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(fresh)), 255).astype(np.uint8)
-        df = np.empty(len(keys), np.uint8)
-        df[order] = sums[np.cumsum(fresh) - 1]
-        ends = np.cumsum([len(r) // 8 for r in raws])
-        return pa.table({"chunk": group.column("chunk"), "range": group.column("range"),
-                         "df": pa.array([df[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)], pa.binary())})
-
-    asked = chunks.select("chunk", "keys", "times").mapInArrow(ask, "range int, chunk long, keys binary, times binary")
-    answers = asked.groupBy("range").applyInArrow(answer, "chunk long, range int, df binary")
-    # a chunk has as many answers as there are ranges it touches, at most one for each of its keys
-    ordered = F.array_sort(F.collect_list(F.struct("range", "df")))
-    return (answers.groupBy("chunk").agg(ordered.alias("parts"))
-            .select("chunk", F.transform("parts", lambda p: p["df"]).alias("df")))
-
-
-def _chunk(sets: list[np.ndarray]) -> tuple[bytes, bytes, bytes, bytes]:
-    """Sets as (distinct keys, times, sizes, indices): each set is a run of indices into the keys."""
-    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    keys, index, times = np.unique(every, return_inverse=True, return_counts=True)
-    sizes = np.array([len(s) for s in sets], np.int32)
-    return (keys.tobytes(), np.minimum(times, 255).astype(np.uint8).tobytes(), sizes.tobytes(),
-            index.astype(np.int32).tobytes())
-
-
-_CHUNK = "n_keys long, keys binary, times binary, sizes binary, index binary"
-
-
-def _chunk_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    keys, times, sizes, index = _chunk(sets)
-    return pa.RecordBatch.from_pydict({
-        "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "n_keys": pa.array([len(keys) // 8], pa.int64()),
-        **{c: pa.array([v], pa.binary()) for c, v in (("keys", keys), ("times", times), ("sizes", sizes), ("index", index))}})
-
-
-def _answered(chunks: DataFrame) -> DataFrame:
-    """Stored chunks with the frequencies of their keys as ``df`` (packed parts)."""
-    total = chunks.agg(F.sum("n_keys")).first()[0] or 0
-    return chunks.drop("times").join(frequencies(chunks, total), "chunk")
-
-
 # --- the three bounds -------------------------------------------------------------------
 
 def _survivors(rows: DataFrame, percent: int, words: int) -> DataFrame:
@@ -149,15 +81,15 @@ def _survivors(rows: DataFrame, percent: int, words: int) -> DataFrame:
                 if len(own):
                     ids.append(key)
                     sets.append(own[:2 * spare(len(own), percent) + 1])
-            yield _chunk_batch(ids, sets)
+            yield chunk_batch(ids, sets)
 
-    chunks = rows.mapInArrow(sample, f"ids binary, {_CHUNK}").withColumn("chunk", F.monotonically_increasing_id())
+    chunks = rows.mapInArrow(sample, f"ids binary, {CHUNK}").withColumn("chunk", F.monotonically_increasing_id())
     chunks = stored(chunks, "join-samples")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                df = np.frombuffer(b"".join(row["df"]), np.uint8)
+                df = np.frombuffer(b"".join(row["df"]), COUNT)
                 n = np.frombuffer(row["sizes"], np.int32)
                 single = (df[np.frombuffer(row["index"], np.int32)] < 2).astype(np.int64)
                 starts = np.r_[0, np.cumsum(n)[:-1]]
@@ -166,7 +98,7 @@ def _survivors(rows: DataFrame, percent: int, words: int) -> DataFrame:
                 fine = alone <= (n - 1) // 2
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(row["ids"], np.int64)[fine])})
 
-    return _answered(chunks).select("ids", "sizes", "index", "df").mapInArrow(judge, "key long")
+    return answered(chunks).select("ids", "sizes", "index", "df").mapInArrow(judge, "key long")
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -207,12 +139,12 @@ def _candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set", 2 * CHUNK_BYTES):
-            yield _chunk_batch(batch.column("uid").to_pylist(), [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()])
+            yield chunk_batch(batch.column("uid").to_pylist(), [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()])
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                df, keys = np.frombuffer(b"".join(row["df"]), np.uint8), np.frombuffer(row["keys"], np.uint64)
+                df, keys = np.frombuffer(b"".join(row["df"]), COUNT), np.frombuffer(row["keys"], np.uint64)
                 index, start = np.frombuffer(row["index"], np.int32), 0
                 uids, found, bands = [], [], []
                 for uid, n in zip(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)):
@@ -231,9 +163,9 @@ def _candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
                     "shingle": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()),
                     "band": pa.array(np.concatenate(bands) if bands else [], pa.int64())})
 
-    chunks = classes.select("uid", "set").mapInArrow(gather, f"ids binary, {_CHUNK}")
+    chunks = classes.select("uid", "set").mapInArrow(gather, f"ids binary, {CHUNK}")
     chunks = stored(chunks.withColumn("chunk", F.monotonically_increasing_id()), "join-chunks")
-    postings = stored(_answered(chunks).select("ids", "sizes", "index", "keys", "df")
+    postings = stored(answered(chunks).select("ids", "sizes", "index", "keys", "df")
                       .mapInArrow(rarest, "uid long, shingle long, band long"), "join-postings")
     heads = stored(postings.groupBy("shingle", "band").agg(F.min("uid").alias("head"), F.max("uid").alias("tail"))
                    .where(F.col("head") < F.col("tail")).drop("tail"), "join-heads")
@@ -329,7 +261,7 @@ def _linked(classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     sent = (state.join(sides, ["root", "block"]).select("node", "joined", "block", "root", "i", "j")
             .join(classes.select("uid", "set"), F.col("uid") == F.col("node")))
 
-    def cross(key, table: pa.Table) -> pa.Table:
+    def cross(key, table):
         first_block = key[1].as_py()
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "uid", "set", "joined"))),
                       key=lambda r: (r[0] != first_block, r[1]))
