@@ -216,7 +216,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, text: str = "text
 def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every match of every rule (joined where they overlap) replaced by ``mask`` in ``text``.
 
-    Rows without secrets are unchanged. The columns of ``docs`` stay.
+    Rows without secrets are unchanged; ``n_chars`` follows the text. The columns of ``docs`` stay.
     """
     scanned = scan(docs, rules)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -228,7 +228,10 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, mask: str = "[s
                         F.concat(acc["out"], gap, F.when(fresh, F.lit(mask)).otherwise("")).alias("out"))
 
     clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    return scanned.select(*[F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias(c) if c == "text"
+    new = {"text": clean}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType)
+    return scanned.select(*[F.when(F.size("spans") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new
                             else F.col(f"`{c}`") for c in docs.columns])
 
 
