@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents, query, row_key, stored
+from sitewise.llm.common import documents, packed, query, row_key
 
 _TOO_MANY = 64      # alternatives of one literal run; beyond it the run is cut
 
@@ -189,28 +189,30 @@ def _labelled(spans: Column, rank: int, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array of (start, rank, kind, stop) ordered by start, then rule.
+    """``row`` (a row of ``docs`` as a struct) and ``spans``: (start, rank, kind, stop) by start, then rule.
 
     Offsets are code points, ends exclusive; matches of one rule do not overlap, those of
-    several may. A null or empty text has no spans; repeated rows each get theirs; all columns
-    of ``docs`` stay (the added ones start with an underscore, but for ``spans``).
+    several may. A null or empty text has no spans; repeated rows each get theirs; other columns
+    stay in ``row``, whatever their names; an empty table gives no rows.
     """
-    own = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("_key", "spans", "_rules", "_held")}
-    keyed = docs.select(*own.values(), row_key(*[own[c] for c in own if c in ("doc_id", text)]).alias("_key"))
-    asked = candidates(keyed, rules, "_key", text)
+    keyed = packed(docs, text).withColumnRenamed(text, "_text")
+    keyed = keyed.withColumn("_key", row_key("_text", *(["row.doc_id"] if "doc_id" in docs.columns else [])))
+    asked = candidates(keyed, rules, "_key", "_text")
     indexed = {r.kind for r in rules if trigram_query(r.regex) is not None}
     if asked is not None:
         keyed = keyed.join(asked, "_key", "left")
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    content = F.coalesce("_text", F.lit(""))
     found = []
     for rank, rule in enumerate(rules):
-        # a run of at least n characters of a class is found as such: shorter runs need no match object
-        probe = re.sub(r"\+$", "{%d,}" % rule.least, rule.regex) if rule.group == 0 and rule.least > 1 else rule.regex
+        probe = rule.regex
+        if rule.group == 0 and re.fullmatch(r"\[[^\]]*\]\+", rule.regex):
+            # runs of one class: most texts have no run of the least length
+            probe = f"{rule.regex[:-1]}{{{rule.least},}}"
         hits = F.when(F.rlike(content, F.lit(probe)), _matches(rule, content))
         if rule.kind in indexed:
             hits = F.when(F.array_contains("_rules", rule.kind), hits)
         found.append(_labelled(hits, rank, rule.kind))
-    return keyed.select(*own.values(), F.array_sort(F.concat(*found)).alias("spans"))
+    return keyed.select("row", F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, mask: str = "[secret]") -> DataFrame:
@@ -218,21 +220,22 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, mask: str = "[s
 
     Rows without secrets are unchanged; ``n_chars`` follows the text. The columns of ``docs`` stay.
     """
-    scanned = scan(docs, rules)
+    scanned, text = scan(docs, rules), F.col("row.text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"),
                         F.concat(acc["out"], gap, F.when(fresh, F.lit(mask)).otherwise("")).alias("out"))
 
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
+    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
     new = {"text": clean}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType)
-    return scanned.select(*[F.when(F.size("spans") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new
-                            else F.col(f"`{c}`") for c in docs.columns])
+    row = F.col("row")
+    return scanned.select(*[(F.when(F.size("spans") > 0, new[c]).otherwise(row[c]) if c in new else row[c]).alias(c)
+                            for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -279,5 +282,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
-    return found.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE],
+    return found.select("row.doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE],
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
