@@ -121,9 +121,9 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
     if not above:
         return ranged.withColumn("own", F.lit(True)).limit(0)
-    also = F.create_map(*[F.lit(x) for pair in above.items() for x in pair])[F.col("place")]
+    also = F.create_map(*[F.lit(x).cast("long") for pair in above.items() for x in pair])[F.col("place")]
     places = F.array(F.struct("range", F.lit(True).alias("own")),
-                     F.when(also.isNotNull(), F.struct(also.alias("range"), F.lit(False).alias("own"))))
+                     F.when(also.isNotNull(), F.struct(also.cast("int").alias("range"), F.lit(False).alias("own"))))
     sent = ranged.withColumn("to", F.explode(F.array_compact(places)))
     return (sent.select("doc_id", "text", "place", F.col("to.range").alias("range"), F.col("to.own").alias("own"))
             .repartition(buckets, "range")
