@@ -59,6 +59,11 @@ def row_key(*cols: Column | str) -> Column:
     return F.xxhash64(*cols)
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` as one struct ``row`` beside copies of ``columns``: whatever else it holds clashes with nothing."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has about ``most_bytes`` of the binary ``column`` (one row at least)."""
     for batch in batches:

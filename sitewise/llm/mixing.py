@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_hex
-from sitewise.llm.common import WORD, documents, query, stored, word_count
+from sitewise.llm.common import WORD, documents, packed, query, stored, word_count
 from sitewise.operators.ordered import running_totals
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2.0, 42
@@ -74,15 +74,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` takes them (all columns kept)."""
-    counts = (mix(docs, **options).select("doc_id", "source", "repeats").distinct()
-              .withColumnsRenamed({"doc_id": "_id", "source": "_source"}))
+    """The rows of ``docs`` as often as ``mix`` takes them: all columns stay, whatever their names."""
     # rows of one doc_id and source have one count, but for rows without words, which have 0 or more
-    counts = counts.groupBy("_id", "_source").agg(F.max("repeats").alias("_repeats"))
-    kept = docs.join(counts, docs.doc_id.eqNullSafe(counts["_id"]) & docs.source.eqNullSafe(counts["_source"]))
-    return (kept.where(F.col("_repeats") > 0)
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_repeats").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    counts = (mix(docs.select("doc_id", "source", "text"), **options).groupBy("doc_id", "source")
+              .agg(F.max("repeats").alias("repeats")).withColumnsRenamed({"doc_id": "_id", "source": "_source"}))
+    rows = packed(docs, "doc_id", "source")
+    kept = rows.join(counts, rows.doc_id.eqNullSafe(F.col("_id")) & rows.source.eqNullSafe(F.col("_source")))
+    return (kept.where(F.col("repeats") > 0)
+            .select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))).select("row.*"))
 
 
 SQL = rf"""

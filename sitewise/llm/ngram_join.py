@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents, query, row_key, slices, stored, text_bytes
+from sitewise.llm.common import documents, packed, query, row_key, slices, stored, text_bytes
 from sitewise.llm.counting import CHUNK, COUNT, answered, chunk_batch
 from sitewise.llm.graph import components
 
@@ -310,16 +310,16 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """``docs`` without the documents that are linked with one of smaller doc_id.
 
     Rows equal in doc_id and text are one document. Blank texts are linked with nothing and all stay,
-    as do rows without doc_id, which no smaller id could stand for. The columns of ``docs`` stay.
+    as do rows without doc_id, which no smaller id could stand for. All columns stay, whatever their names.
     """
     found = jaccard_components(docs.select("doc_id", "text"), words, percent)
     gone = (found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    marked = docs.withColumn("_key", F.when(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), row_key("text")))
+    marked = (packed(docs, "doc_id", "text")
+              .withColumn("_key", F.when(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), row_key("text"))))
     kept = marked.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     first = Window.partitionBy("doc_id", "_key").orderBy(F.length("text"))
     return (kept.withColumn("_nth", F.row_number().over(first))
-            .where((F.col("_nth") == 1) | F.col("_key").isNull() | F.col("doc_id").isNull())
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .where((F.col("_nth") == 1) | F.col("_key").isNull() | F.col("doc_id").isNull()).select("row.*"))
 
 
 @query("op4_ngram_jaccard")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sitewise.llm.common import documents, query, text_bytes
+from sitewise.llm.common import documents, packed, query, text_bytes
 
 #: Repeats count from so many words; the limits of the verdict.
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.50, 100
@@ -133,21 +133,22 @@ def repetition(text: Column, min_repeat: int = MIN_REPEAT) -> Column:
 
 def judge(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED,
           max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """``docs`` with a struct ``_quality``: the measures, base_failed and kept.
+    """``row`` (a row of ``docs`` as a struct) and ``quality``: the measures, base_failed and kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. ``n_covered`` counts words inside any repeated sequence of
     ``min_repeat`` words or more (first occurrence included), ``longest_repeat`` the words of the
     longest repeat. A null or empty text has no words and fails the base rule; repeated rows get
-    equal verdicts; a text of any length is measured whole in one task. Other columns are untouched.
+    equal verdicts; a text of any length is measured whole in one task. Other columns stay in ``row``,
+    whatever their names; an empty table gives no rows.
     """
-    q = F.col("_quality")
+    q = F.col("quality")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     fine = (q["n_covered"] <= max_covered * q["n_words"]) & (q["longest_repeat"] <= max_repeat)
-    return (docs.withColumn("_quality", repetition(F.col("text"), min_repeat))
-            .withColumn("_quality", F.struct(*[q[f].alias(f) for f in FIELDS], failed.alias("base_failed"),
-                                             (~failed & fine).alias("kept"))))
+    return (packed(docs, "text").select("row", repetition(F.col("text"), min_repeat).alias("quality"))
+            .select("row", F.struct(*[q[f].alias(f) for f in FIELDS], failed.alias("base_failed"),
+                                    (~failed & fine).alias("kept")).alias("quality")))
 
 
 @query("op3_repetition_rules")
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "_quality.*")
+    return judge(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "quality.*")
