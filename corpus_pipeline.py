@@ -14,7 +14,7 @@ from sitewise.llm.common import documents, stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are too short or repeat themselves go."""
-    return repetition.judge(docs).where("_quality.kept").select(*docs.columns)
+    return repetition.judge(docs).where("quality.kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
