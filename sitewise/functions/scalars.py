@@ -147,18 +147,23 @@ def hash_hex(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[_col(k).cast("string") for k in keys]))
 
 
+def hash_long(seed: int | str, *keys: Column | str) -> Column:
+    """The first 60 bits of ``hash_hex`` as a number."""
+    return F.conv(F.substring(hash_hex(seed, *keys), 1, 15), 16, 10).cast("long")
+
+
 def hash_uniform(seed: int | str, *keys: Column | str) -> Column:
-    """Uniform draw in [0, 1) from the first 32 bits of ``hash_hex``."""
-    head = F.substring(hash_hex(seed, *keys), 1, 8)
-    return F.conv(head, 16, 10).cast("double") / F.lit(float(2 ** 32))
+    """Uniform draw between 0 and 1 from ``hash_long``."""
+    return hash_long(seed, *keys).cast("double") / F.lit(float(2 ** 60))
 
 
-def poisson_cdf(mean: float = 1.0, upto: int = 12) -> list[float]:
+def poisson_cdf(mean: float = 1.0) -> list[float]:
+    """P(draw <= 0), P(draw <= 1), ... until the next step is below the grain of the uniform."""
     out, term, total = [], math.exp(-mean), 0.0
-    for k in range(upto):
+    while term > 2.0 ** -60 and total + term > total:
         total += term
         out.append(total)
-        term *= mean / (k + 1)
+        term *= mean / len(out)
     return out
 
 

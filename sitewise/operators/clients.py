@@ -51,19 +51,20 @@ def shuffled(cohort: DataFrame, column: str, min_size: int = 500, seed: int = 42
     """
     sizes = client_sizes(cohort, column, min_size)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), column)   # one row per client
-    targets = sizes.select(F.col(column).alias("client"), F.col("n"), F.sum("n").over(w).alias("stop"))
-    plan = targets.agg(F.array_sort(F.collect_list(F.struct("stop", "client"))).alias("p")).scalar()
+    targets = sizes.select(F.col(column).alias("client"), (F.sum("n").over(w) - F.col("n")).alias("_at"),
+                           F.sum("n").over(w).alias("_stop"), F.row_number().over(w).cast("long").alias("_i"))
 
     patients = cohort.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_stays"))
     # sort value: 32 hex digits, a dash, the patient's own key
     order = patients.withColumn("_h", F.concat_ws("-", hash_hex(seed, "subject_id"),
                                                   F.col("subject_id").cast("string")))
     laid = running_totals(order, "_h", {"n_stays": F.col("n_stays")})
-    at = (laid.select(F.substr("_h", F.lit(34)).alias("_key"), F.col("n_stays_before").alias("_at"))
-          .withColumn("_plan", plan).withColumn("_stops", F.transform("_plan", lambda t: t["stop"])))
-    placed = (at.withColumn("_i", position_in(F.col("_stops"), F.col("_at"), depth=16))
-              .select("_key", F.get("_plan", F.col("_i"))["client"].alias("client"))
-              .where(F.col("client").isNotNull()))
+    at = laid.select(F.substr("_h", F.lit(34)).alias("_key"), F.col("n_stays_before").alias("_at"))
+    # the client at a place is the last that starts at or before it: their number is a prefix sum along the line
+    line = at.select("_at", F.lit(0).alias("_m")).union(targets.select("_at", F.lit(1)))
+    upto = running_totals(line, "_at", {"_m": F.col("_m")}).select("_at", (F.col("_m_before") + F.col("_m")).alias("_i"))
+    placed = (at.join(upto, "_at").join(targets.select("_i", "_stop", "client"), "_i")
+              .where(F.col("_at") < F.col("_stop")).select("_key", "client"))
     keyed = cohort.withColumn("_key", F.col("subject_id").cast("string"))
     return salted_join(keyed, placed, ["_key"], ["stay_id"], salts=4).drop("_key")
 

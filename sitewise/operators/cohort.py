@@ -9,7 +9,7 @@ from sitewise.functions.scalars import age_at, age_from_text, plus_hours, sex_co
 
 
 def first_per_key(df: DataFrame, key: str, order: str, tie: str) -> DataFrame:
-    """The earliest row of every key, with the key's row count as ``n_in_key``.
+    """The earliest row of every key, with the key's row count as ``n_in_key``; a null ``order`` is last.
 
     A minimum over a struct is combined before the shuffle, so a key with a third
     of all rows costs no more than any other; a row_number window would sort it
@@ -17,9 +17,9 @@ def first_per_key(df: DataFrame, key: str, order: str, tie: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in (key, order, tie)]
     best = df.groupBy(key).agg(
-        F.min(F.struct(order, tie, *rest)).alias("_first"),
+        F.min(F.struct(F.col(order).isNull().alias("_late"), order, tie, *rest)).alias("_first"),
         F.count(F.lit(1)).alias("n_in_key"))
-    return best.select(key, "_first.*", "n_in_key")
+    return best.select(key, "_first.*", "n_in_key").drop("_late")
 
 
 def early_outcome(outcome_time: str, start: str, hours: int) -> Column:

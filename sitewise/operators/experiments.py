@@ -51,16 +51,15 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     # merged to distinct pairs; a value shared by very many pairs is spread by the other one
     pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("c"))
-    rx = midranks(rows, x, by).select(*by, x, F.col("rank").alias("_rx"))
-    ry = midranks(rows, y, by).select(*by, y, F.col("rank").alias("_ry"))
+    # ranks average (n + 1) / 2; centred at once, in floating point, so that no sum grows with the cube of n
+    centred = F.col("rank") - (F.col("n_total") + F.lit(1.0)) / 2.0
+    rx = midranks(rows, x, by).select(*by, x, centred.alias("_rx"))
+    ry = midranks(rows, y, by).select(*by, y, centred.alias("_ry"))
     r = salted_join(salted_join(pairs, rx, [*by, x], [y], salts=4), ry, [*by, y], [x], salts=4)
     c, a, b = F.col("c"), F.col("_rx"), F.col("_ry")
-    # ranks average (n + 1) / 2, so centring needs no second pass over a mean
     n_of = r.groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb"),
                               F.sum(c * a * b).alias("ab"))
-    n = F.col("n")
-    mid = n * (n + 1) * (n + 1) / 4.0
-    rho = F.try_divide(F.col("ab") - mid, F.sqrt((F.col("aa") - mid) * (F.col("bb") - mid)))
+    rho = F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb"))
     out = n_of.select(*by, "n", rho.alias("rho"))
     return out.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2.0),
                                             F.sqrt(1.0 - F.col("rho") * F.col("rho"))))

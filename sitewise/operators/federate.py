@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitewise.functions.scalars import hash_hex, sigmoid
+from sitewise.functions.scalars import hash_long, sigmoid
 from sitewise.operators.joins import lookup_join
 from sitewise.operators.ordered import hash_rank
 
@@ -47,9 +47,9 @@ def balanced_resample(rows: DataFrame, key: str = "stay_id", label: str = "label
     ranked = hash_rank(rows, [key], f"{seed}pos", ["client", label], "_at", "_n")
     classes = ranked.groupBy("client").agg(F.array_sort(F.collect_set(F.struct(label, "_n"))).alias("_c"))
     drawn = lookup_join(rows.select("client", key), classes, ["client"], [key])
-    head = F.conv(F.substring(hash_hex(f"{seed}class", key), 1, 8), 16, 10).cast("long")
+    head = hash_long(f"{seed}class", key)
     chosen = F.get("_c", F.pmod(head, F.size("_c")).cast("int"))
-    place = F.conv(F.substring(hash_hex(f"{seed}row", key), 1, 8), 16, 10).cast("long")
+    place = hash_long(f"{seed}row", key)
     picks = drawn.select("client", chosen.alias("_k"), place.alias("_h")).select(
         "client", F.col(f"_k.{label}").alias(label), F.pmod(F.col("_h"), F.col("_k._n")).alias("_at"))
     times = picks.groupBy("client", label, "_at").agg(F.count(F.lit(1)).alias("times"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.pvalues import p_normal
-from sitewise.functions.scalars import hash_hex, hash_uniform, poisson_weight, ratio
+from sitewise.functions.scalars import hash_long, hash_uniform, poisson_weight, ratio
 from sitewise.operators.joins import salted_join
 from sitewise.operators.metrics import auprc_of, auroc_of, score_curve, threshold_metrics
 from sitewise.operators.ordered import hash_rank, running_totals
@@ -32,9 +32,9 @@ def draw_exact(pred: DataFrame, n_boot: int, seed: int = 0, key: str = "id",
     """
     strata = list(strata)
     ranked = hash_rank(pred, [key], f"{seed}pos", strata, "_at", "_n")
-    head = F.substring(hash_hex(seed, "b", *strata, "_at"), 1, 8)
+    head = hash_long(seed, "b", *strata, "_at")
     draws = ranked.select(*strata, "_n", "_at", _replicates(n_boot).alias("b")).select(
-        *strata, "b", F.pmod(F.conv(head, 16, 10).cast("long"), F.col("_n")).alias("_at"))
+        *strata, "b", F.pmod(head, F.col("_n")).alias("_at"))
     counted = draws.groupBy(*strata, "b", "_at").agg(F.count(F.lit(1)).alias("w"))
     return counted.join(ranked.drop("_n"), [*strata, "_at"]).drop("_at")
 
@@ -86,7 +86,7 @@ def bootstrap_ci(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: in
 
 
 def bootstrap_auprc_diff(pred: DataFrame, n_boot: int = 1000, seed: int = 0, key: str = "id",
-                         p1: str = "p1", p2: str = "p2", y: str = "y", method: str = "exact") -> DataFrame:
+                         p1: str = "p1", p2: str = "p2", y: str = "y", method: str = "poisson") -> DataFrame:
     """Paired bootstrap of AUPRC(p1) - AUPRC(p2): observed, lower 2.5 %, two-sided p.
 
     Both models see the same draws; replicates with one class are skipped.

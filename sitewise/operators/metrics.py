@@ -281,7 +281,7 @@ def fit_logistic(points: DataFrame, z: str = "z", y: str = "y", by: Sequence[str
 
     Rows are first merged to distinct (group, z) counts. Each step is one
     aggregation for all groups together; the driver keeps two numbers per group.
-    Groups with one class get nulls.
+    Groups with one class, and those that still move after ``rounds``, get nulls.
     """
     by = list(by)
     merged = (points.groupBy(*by, F.col(z).alias("_z"))
@@ -319,6 +319,7 @@ def fit_logistic(points: DataFrame, z: str = "z", y: str = "y", by: Sequence[str
                 det = haa * r["hbb"] - r["hab"] ** 2
                 if not det > 0:
                     moving.discard(k)
+                    del at[k]
                     continue
                 da = (r["hbb"] * ga - r["hab"] * r["gb"]) / det
                 dc = (haa * r["gb"] - r["hab"] * ga) / det
@@ -329,6 +330,8 @@ def fit_logistic(points: DataFrame, z: str = "z", y: str = "y", by: Sequence[str
                     moving.discard(k)
     finally:
         merged.unpersist()
+    for k in moving:        # not converged
+        at.pop(k, None)
     rows = [(*key(r), *at.get(key(r), (None, None))) for r in sizes]
     return rule_frame(spark, rows, out_schema)
 
@@ -364,6 +367,7 @@ def metric_report(pred: DataFrame, thresholds: DataFrame | float | None = None,
 
     ``thresholds``: one number, or a frame (scope, threshold) chosen on validation
     rows; None takes the F1-optimal cut of the scored rows themselves and says so.
+    A scope with one class has counts and prevalence only: no metric is defined there.
     """
     rows = site_scopes(pred, client)
     rank = ranking_metrics(rows, p, y, ["scope"])
@@ -374,10 +378,13 @@ def metric_report(pred: DataFrame, thresholds: DataFrame | float | None = None,
     else:
         cut = rank.select("scope", F.lit(float(thresholds)).alias("threshold"))
     at = threshold_metrics(lookup_join(rows, cut, ["scope"], [p]), F.col("threshold"), p, y, ["scope", "threshold"])
-    return (rank.select("scope", "n", "n_pos", "prevalence", "auroc", "auprc", "lift")
-            .join(at, "scope").join(ece(rows, p, y, ["scope"]), "scope")
-            .join(calibration_intercept(rows, p, y, ["scope"]), "scope")
-            .withColumn("threshold_source", F.lit("validation" if thresholds is not None else "same rows (biased)"))
+    report = (rank.select("scope", "n", "n_pos", "prevalence", "auroc", "auprc", "lift")
+              .join(at, "scope").join(ece(rows, p, y, ["scope"]), "scope")
+              .join(calibration_intercept(rows, p, y, ["scope"]), "scope"))
+    both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
+    told = ("scope", "n", "n_pos", "prevalence", "threshold")
+    report = report.select(*[F.col(c) if c in told else F.when(both, F.col(c)).alias(c) for c in report.columns])
+    return (report.withColumn("threshold_source", F.lit("validation" if thresholds is not None else "same rows (biased)"))
             .withColumn("few_events", (F.col("n_pos") < FEW_EVENTS).cast("int")))
 
 

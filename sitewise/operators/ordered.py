@@ -19,18 +19,20 @@ _SAMPLES_PER_BUCKET = 16
 
 
 def bucket_count(df: DataFrame, n_buckets: int | None = None) -> int:
-    """Buckets follow the session's shuffle width, within 32..1024."""
+    """Buckets follow the session's shuffle width, which follows the data; 32 at least."""
     if n_buckets is None:
         n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(32, min(1024, n_buckets))
+    return max(32, n_buckets)
 
 
-def position_in(cuts: Column, value: Column, depth: int = 11) -> Column:
+def position_in(cuts: Column, value: Column) -> Column:
     """Number of entries of the ascending array ``cuts`` that are <= value, as one expression.
 
     Interpreted per row; for results that callers may filter on. See ``with_position``.
     """
-    steps = F.array(*[F.lit(2 ** i) for i in reversed(range(depth))])
+    # as many halving steps as the array needs
+    deepest = F.floor(F.log2(F.greatest(F.size(cuts), F.lit(1)))).cast("int")
+    steps = F.transform(F.sequence(deepest, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
     found = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(
@@ -39,7 +41,7 @@ def position_in(cuts: Column, value: Column, depth: int = 11) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def with_position(df: DataFrame, name: str, cuts: Column, value: Column, depth: int = 11) -> DataFrame:
+def with_position(df: DataFrame, name: str, cuts: Column, value: Column, depth: int) -> DataFrame:
     """Add ``name``: how many entries of the ascending array ``cuts`` are <= value.
 
     A binary search unrolled into ``depth`` projections, enough for 2**depth - 1
@@ -157,14 +159,17 @@ def midranks(df: DataFrame, value: str, by: Sequence[str] = (),
 
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str = 42,
               by: Sequence[str] = (), name: str = "rank", total: str = "n",
-              digits: int = 3) -> DataFrame:
+              digits: int | None = None) -> DataFrame:
     """0-based position of every row in a seeded shuffle of its group.
 
     The order is md5(seed-key...). The leading hex digits of a hash are uniform,
     so they serve as buckets and even one huge group is ranked by 16**digits
-    tasks. ``keys`` must be unique inside a group.
+    tasks; ``digits`` grows with the session's shuffle width. ``keys`` must be unique
+    inside a group.
     """
     by = list(by)
+    if digits is None:
+        digits = max(3, len(f"{4 * bucket_count(df):x}"))
     hashed = (df.withColumn("_h", hash_hex(seed, *keys))
               .withColumn("_p", F.substring("_h", 1, digits)))
     sizes = hashed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))

@@ -243,12 +243,15 @@ def pick_threshold(spark, sf):
                  ln(avg(y) / (1 - avg(y))) - avg(ln(p1 / (1 - p1))) AS ci FROM sc GROUP BY scope),
     eb AS (SELECT scope, (SELECT count(*) FROM range(1, 10) r(i) WHERE p1 > i / 10.0::DOUBLE) AS b, count(*) AS n,
                   abs(avg(y) - avg(p1)) AS gap FROM sc GROUP BY ALL),
-    e AS (SELECT scope, sum(n * gap) / sum(n) AS ece FROM eb GROUP BY scope)
-    SELECT r.scope, CAST(n AS BIGINT) AS n, CAST(np AS BIGINT) AS n_pos, round(np / n, 6) AS prevalence, round(auroc, 6) AS auroc,
+    e AS (SELECT scope, sum(n * gap) / sum(n) AS ece FROM eb GROUP BY scope),
+    f AS (SELECT r.scope, CAST(n AS BIGINT) AS n, CAST(np AS BIGINT) AS n_pos, round(np / n, 6) AS prevalence, round(auroc, 6) AS auroc,
            round(auprc, 6) AS auprc, round(auprc / (np / n), 6) AS lift, 0.45::DOUBLE AS threshold, tp, fp, fn, tn, {_RATES},
            round(ece, 6) AS ece, round(ci, 6) AS calib_intercept, 'validation' AS threshold_source,
            CAST(np < 15 AS INTEGER) AS few_events
-    FROM r JOIN m ON r.scope = m.scope JOIN e ON e.scope = r.scope""")
+    FROM r JOIN m ON r.scope = m.scope JOIN e ON e.scope = r.scope)
+    SELECT scope, n, n_pos, prevalence, threshold, threshold_source, few_events,
+           CASE WHEN n_pos > 0 AND n_pos < n THEN COLUMNS(* EXCLUDE (scope, n, n_pos, prevalence, threshold, threshold_source, few_events)) END
+    FROM f""")
 def metric_report(spark, sf):
     return _rounded(metrics.metric_report(_pred(spark, sf), 0.45))
 
@@ -302,7 +305,7 @@ def delong_p(spark, sf):
 _DRAW = """
     rk AS (SELECT id, y, p1, p2, row_number() OVER (PARTITION BY {s} ORDER BY md5('0pos-' || id), id) - 1 AS ai,
                   count(*) OVER (PARTITION BY {s}) AS n, {s} AS st FROM fx_pred),
-    dr AS (SELECT st, b, ('0x' || substring(md5('0-' || b || '-' || st || '-' || ai), 1, 8))::BIGINT % n AS ai
+    dr AS (SELECT st, b, ('0x' || substring(md5('0-' || b || '-' || st || '-' || ai), 1, 15))::BIGINT % n AS ai
            FROM rk, range({B}) r(b)),
     wt AS (SELECT st, b, ai, count(*) AS w FROM dr GROUP BY ALL),
     bs AS (SELECT b, y, p1, p2, w FROM wt JOIN rk ON wt.st = rk.st AND wt.ai = rk.ai)"""
@@ -332,7 +335,7 @@ def bootstrap_ci(spark, sf):
 
 
 @query("bootstrap_poisson", f"""
-    WITH u AS (SELECT id, y, p1, b, ('0x' || substring(md5('0-' || b || '-' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    WITH u AS (SELECT id, y, p1, b, ('0x' || substring(md5('0-' || b || '-' || id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
                FROM fx_pred, range(10) r(b)),
     bs AS (SELECT b, y, p1, len(list_filter([{", ".join(f"{c!r}::DOUBLE" for c in poisson_cdf())}], lambda q : u >= q)) AS w FROM u),
     {_curve("b, ", "bs", "p1", "w")}
@@ -357,7 +360,7 @@ def bootstrap_poisson(spark, sf):
     SELECT round((SELECT ap FROM o1) - (SELECT ap FROM o2), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS lo,
            round(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 6) AS p_value, count(*) AS n_replicates FROM d""")
 def bootstrap_auprc_diff(spark, sf):
-    return _rounded(inference.bootstrap_auprc_diff(fx.predictions(spark, sf), n_boot=10))
+    return _rounded(inference.bootstrap_auprc_diff(fx.predictions(spark, sf), n_boot=10, method="exact"))
 
 
 @query("paired_predictions", """

@@ -238,7 +238,7 @@ PINNED = {"PROX_MU": ("FL_ALGO", "fedprox", 0.0), "SERVER_LR": ("FL_ALGO", "feda
 
 
 def _u(name):
-    return f"('0x' || substring(md5('42-{name}-' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    return f"('0x' || substring(md5('42-{name}-' || c_custkey), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE"
 
 
 @query("sample_configs", f"""
@@ -283,8 +283,8 @@ def balanced_weights(spark, sf):
     WITH rk AS (SELECT stay_id, client, label, row_number() OVER (PARTITION BY client, label ORDER BY md5('42pos-' || stay_id)) - 1 AS ai,
                        count(*) OVER (PARTITION BY client, label) AS n FROM fx_clients),
     cl AS (SELECT client, list_sort(list(DISTINCT {'label': label, 'n': n})) AS c FROM rk GROUP BY client),
-    dr AS (SELECT f.client, c[1 + ('0x' || substring(md5('42class-' || stay_id), 1, 8))::BIGINT % len(c)] AS k,
-                  ('0x' || substring(md5('42row-' || stay_id), 1, 8))::BIGINT AS h
+    dr AS (SELECT f.client, c[1 + ('0x' || substring(md5('42class-' || stay_id), 1, 15))::BIGINT % len(c)] AS k,
+                  ('0x' || substring(md5('42row-' || stay_id), 1, 15))::BIGINT AS h
            FROM fx_clients f JOIN cl ON cl.client = f.client)
     SELECT rk.client, rk.label, rk.stay_id, count(*) AS times FROM dr JOIN rk ON rk.client = dr.client
      AND rk.label = dr.k.label AND rk.ai = dr.h % dr.k.n GROUP BY ALL""")

@@ -34,6 +34,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .appName("sitewise")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )

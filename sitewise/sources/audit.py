@@ -9,20 +9,26 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.sources.tables import header_of
 
-# a comma outside double quotes
-_FIELD_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# quoted parts; an opening quote without its partner reaches to the end of the line
+_QUOTED = r'"[^"]*("|$)'
+
+
+def _fields(line: Column) -> Column:
+    """Number of comma-separated fields, commas in double quotes left out: one pass over the line."""
+    bare = F.regexp_replace(line, _QUOTED, "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
 def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows whose field count differs from the header: (file, row_text, n_fields, expected)."""
     header = header_of(spark, path)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    n = F.size(F.split("value", _FIELD_BREAK, -1))
+    n = _fields(F.col("value"))
     return (lines.where((F.trim("value") != "") & (n != len(header)))
             .select("file", F.col("value").alias("row_text"), n.alias("n_fields"),
                     F.lit(len(header)).alias("expected")))
@@ -38,11 +44,11 @@ def file_report(spark: SparkSession, path: str, expected_bytes: Mapping[str, int
     header = header_of(spark, path)
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    n = F.size(F.split("value", _FIELD_BREAK, -1))
+    n = _fields(F.col("value"))
     filled = F.trim("value") != ""
     report = lines.groupBy("file").agg(
         F.max("bytes").alias("bytes"),
-        F.count(F.when(filled & (F.col("value") != ",".join(header)), 1)).alias("n_rows"),
+        F.count(F.when(filled & (F.replace("value", F.lit('"'), F.lit("")) != ",".join(header)), 1)).alias("n_rows"),
         F.count(F.when(filled & (n != len(header)), 1)).alias("n_malformed"))
     name = F.element_at(F.split("file", "/"), -1)
     usual = F.lit(None).cast("long")
@@ -65,10 +71,10 @@ def _inflate(path: str) -> tuple[int, bool, str]:
         with store.open_input_stream(inner, compression=None) as f:
             while block := f.read(1 << 20):
                 while block:
-                    text = decoder.decompress(block)
+                    text = decoder.decompress(block, 1 << 20)    # a block may inflate a thousandfold
                     lines += text.count(b"\n")
                     tail = text[-1:] or tail
-                    block = b""
+                    block = decoder.unconsumed_tail
                     if decoder.eof:                       # another member may follow
                         block = decoder.unused_data
                         if block:

@@ -13,9 +13,11 @@ from sitewise.operators.quality import fingerprint
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Parquet, optionally partitioned and sorted inside files so that filters skip row groups.
 
-    Rows of one partition value are not gathered in one task: every task writes the
-    values it holds.
+    Rows are rebalanced by partition value, so a value has few files, and a large one is
+    split over several tasks.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -31,16 +33,16 @@ def write_assignment(split: DataFrame, cohort: DataFrame, path: str) -> None:
 def read_assignment(spark: SparkSession, path: str, cohort: DataFrame) -> DataFrame:
     """The assignment, refused when it belongs to another cohort."""
     rows = spark.read.parquet(path)
-    stored = rows.select("cohort").limit(1).collect()
+    stored = [r["cohort"] for r in rows.select("cohort").distinct().limit(2).collect()]
     found = fingerprint(cohort).first()["fingerprint"]
-    if stored and stored[0]["cohort"] != found:
-        raise ValueError(f"assignment was made for cohort {stored[0]['cohort']}, this is {found}")
+    if any(s != found for s in stored):
+        raise ValueError(f"assignment was made for cohort {', '.join(map(str, stored))}, this is {found}")
     return rows.drop("cohort")
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
     """A summary table as one CSV file. For aggregated results only: one task writes it."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -13,15 +13,15 @@ from pyspark.sql.types import _parse_datatype_string as parse_type
 CORRUPT = "_corrupt_record"
 
 
-def _listing(folder: str) -> tuple[str, list[str]]:
-    """Files below a folder (local, HDFS or object store), relative to it."""
+def _listing(folder: str) -> tuple[str, dict[str, int]]:
+    """Files below a folder (local, HDFS or object store), relative to it, with their times of change."""
     if "://" not in folder:
         import os
         store, base = pafs.LocalFileSystem(), os.path.abspath(folder)
     else:
         store, base = pafs.FileSystem.from_uri(folder)
     found = store.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-    return base, [f.path[len(base):].lstrip("/") for f in found if f.type == pafs.FileType.File]
+    return base, {f.path[len(base):].lstrip("/"): f.mtime_ns or 0 for f in found if f.type == pafs.FileType.File}
 
 
 def find_table(root: str, name: str, module: str | None = None) -> str | None:
@@ -62,7 +62,7 @@ def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = N
     df = (spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
           .option("columnPruning", False)       # otherwise unread columns are not checked
           .schema(csv_schema(spark, path, types or {})).csv(path))
-    if path.endswith(".gz"):
+    if any(f.endswith(".gz") for f in df.inputFiles()):      # one file or a folder of them
         df = df.repartition(spread or spark.sparkContext.defaultParallelism)
     return df
 
@@ -109,13 +109,20 @@ def read_optional(spark: SparkSession, root: str, name: str, schema: str, module
 
 
 def latest_run(spark: SparkSession, root: str, name: str, prefix: str = "run_") -> DataFrame:
-    """Rows of ``name`` from every run folder, with ``run``, ``modified`` and ``is_latest``."""
+    """Rows of ``name`` from every run folder, with ``run``, ``modified`` and ``is_latest``.
+
+    The newest run is found from the files' times alone; filtered by ``is_latest``, only its rows are read.
+    """
     folder, files = _listing(root)
-    if not any(f.startswith(prefix) and f"/{name}" in f for f in files):
+    runs = {f.split("/", 1)[0]: 0 for f in files if f.startswith(prefix) and f"/{name}" in f}
+    if not runs:
         raise FileNotFoundError(f"no {prefix}*/{name} below {root}")
     rows = (spark.read.option("header", True).csv(f"{root.rstrip('/')}/{prefix}*/{name}")
             .select("*", F.col("_metadata.file_path").alias("_file"),
                     F.col("_metadata.file_modification_time").alias("modified")))
     rows = rows.withColumn("run", F.regexp_extract("_file", f"/({prefix}[^/]*)/", 1)).drop("_file")
-    newest = rows.agg(F.max_by("run", F.struct("modified", "run")).alias("r")).scalar()
+    for f, changed in files.items():
+        if (run := f.split("/", 1)[0]) in runs and f"/{name}" in f and not f.rsplit("/", 1)[-1].startswith((".", "_")):
+            runs[run] = max(runs[run], changed // 1_000_000)       # times in Spark have this grain or a finer one
+    newest = max(runs, key=lambda r: (runs[r], r))
     return rows.withColumn("is_latest", F.col("run") == newest)

@@ -72,7 +72,7 @@ def test_hash_rank_is_a_seeded_permutation(skewed):
 @pytest.mark.parametrize("cuts,value,want", [([1, 2, 2, 5], 2, 3), ([1, 2], 0, 0), ([1, 2], 9, 2), ([], 1, 0)])
 def test_positions(spark, cuts, value, want):
     arr = F.array(*[F.lit(c) for c in cuts]).cast("array<int>")
-    assert with_position(spark.range(1), "p", arr, F.lit(value)).first()["p"] == want
+    assert with_position(spark.range(1), "p", arr, F.lit(value), 11).first()["p"] == want
 
 
 def test_salted_join_keeps_every_row_once(skewed, spark):

@@ -47,7 +47,7 @@ def test_size_matched_control(spark):
 
 
 def test_control_takes_text_subjects(spark):
-    c = spark.createDataFrame([(i, f"mimic-{i % 7}", "ab"[i % 2], 0) for i in range(40)],
+    c = spark.createDataFrame([(i, f"person-{i % 7}", "ab"[i % 2], 0) for i in range(40)],
                               "stay_id long, subject_id string, unit string, label int")
     assert clients.shuffled(c, "unit", 1).count() == 40
 
