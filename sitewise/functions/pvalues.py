@@ -1,121 +1,85 @@
-"""Tail probabilities for finished test statistics (a handful of summary rows).
+"""Tail probabilities as column expressions: t, F, chi-square and normal.
 
-Spark has no t, F, chi-square or normal distribution function. These are plain
-numeric helpers behind pandas UDFs; they see one row per test, never data rows.
+Each is a ratio of two integrals of the density over the logarithm of the statistic, where
+it has one peak and tails that fall exponentially, by double-exponential quadrature on a
+finite interval. The nodes are an array literal; everything stays in the JVM.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 
-import pandas as pd
-from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-# tasks get this module's functions by value, so executors need no copy of the package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            c = 1.0 + num / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    log_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                 + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def gamma_q(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x)."""
-    if x <= 0.0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1.0:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1.0
-            term *= x / n
-            total += term
-        return 1.0 - total * front
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c, d = 1.0 / tiny, 1.0 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = b + an / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * h
-
-
-def t_two_sided(t: float, df: float) -> float:
-    return beta_inc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def f_upper(f: float, df1: float, df2: float) -> float:
-    return beta_inc(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f)) if f > 0 else 1.0
-
-
-def chi2_upper(x: float, df: float) -> float:
-    return gamma_q(df / 2.0, x / 2.0)
-
-
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def _apply(fn, *series: pd.Series) -> pd.Series:
-    return pd.Series([None if any(pd.isna(v) for v in row) else fn(*map(float, row))
-                      for row in zip(*series)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _apply(t_two_sided, t, df)
-
-
-@F.pandas_udf(DoubleType())
-def p_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _apply(f_upper, f, df1, df2)
-
-
-@F.pandas_udf(DoubleType())
-def p_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _apply(chi2_upper, x, df)
-
-
-@F.pandas_udf(DoubleType())
-def p_normal(z: pd.Series) -> pd.Series:
-    return _apply(normal_two_sided, z)
+
+_STEP, _REACH = 0.04, 3.2
+
+
+def _nodes() -> list[tuple[float, float]]:
+    """(place, weight) on -1..1 of the tanh-sinh rule."""
+    out = []
+    for i in range(-int(_REACH / _STEP), int(_REACH / _STEP) + 1):
+        t = i * _STEP
+        inner = math.pi / 2 * math.sinh(t)
+        out.append((math.tanh(inner), _STEP * math.pi / 2 * math.cosh(t) / math.cosh(inner) ** 2))
+    return out
+
+
+def _integral(log_density, low: Column, high: Column) -> Column:
+    nodes = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in _nodes()])
+    mid, half = (low + high) / 2.0, (high - low) / 2.0
+    total = F.aggregate(nodes, F.lit(0.0), lambda a, n: a + n["w"] * F.exp(log_density(mid + half * n["x"])))
+    return F.when(high > low, total * half).otherwise(0.0)
+
+
+def _upper(log_density, statistic: Column, sd: Column, left: Column, right: Column) -> Column:
+    """Share of the density (over the log of the statistic, peak at 0) above ``statistic``, clipped to 0..1.
+
+    The peak and the tails of length ``left`` and ``right`` beside it are integrated on their own.
+    """
+    at = F.ln(statistic)
+    cuts = [-6.0 * sd - left, -6.0 * sd, 6.0 * sd, 6.0 * sd + right]
+    parts = list(zip(cuts, cuts[1:]))
+    above = sum(_integral(log_density, F.greatest(at, low), high) for low, high in parts)
+    p = above / sum(_integral(log_density, low, high) for low, high in parts)
+    return (F.when(statistic.isNull() | F.isnan(statistic), None).when(statistic <= 0, 1.0)
+            .otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))))
+
+
+def _col(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+def p_f(f: Column | str, df1: Column | str, df2: Column | str) -> Column:
+    """P(F(df1, df2) > f)."""
+    f, a, b = _col(f), _col(df1), _col(df2)
+    sd = F.sqrt(2.0 / a + 2.0 / b)
+
+    def log_density(v: Column) -> Column:
+        return a / 2.0 * v - (a + b) / 2.0 * (F.log1p(a / b * F.exp(v)) - F.log1p(a / b))
+
+    return _upper(log_density, f, sd, 80.0 / a, 80.0 / b)
+
+
+def p_t(t: Column | str, df: Column | str) -> Column:
+    """Two-sided P(|T(df)| > |t|): the square of T is F(1, df)."""
+    t = _col(t)
+    return p_f(t * t, F.lit(1.0), df)
+
+
+def p_chi2(x: Column | str, df: Column | str) -> Column:
+    """P(chi-square(df) > x)."""
+    x, k = _col(x), _col(df)
+    sd = F.sqrt(2.0 / k)
+
+    def log_density(v: Column) -> Column:
+        # v is the log of x / df
+        return k / 2.0 * (v - F.exp(v) + 1.0)
+
+    return _upper(log_density, x / k, sd, 80.0 / k, F.lit(1.0))
+
+
+def p_normal(z: Column | str) -> Column:
+    """Two-sided P(|Z| > |z|): the square of Z is chi-square with one degree of freedom."""
+    z = _col(z)
+    return p_chi2(z * z, F.lit(1.0))

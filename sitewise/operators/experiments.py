@@ -163,7 +163,7 @@ def mann_whitney(df: DataFrame, first: Column, value: str) -> DataFrame:
 
 
 def mann_whitney_p(test: DataFrame) -> DataFrame:
-    return test.withColumn("p_value", F.least(F.lit(1.0), p_normal("z")))
+    return test.withColumn("p_value", F.when(F.col("z") < 0, 1.0).otherwise(p_normal("z")))
 
 
 def capacity_trend(runs: DataFrame, level: str, size: str, metrics: Sequence[str]) -> DataFrame:

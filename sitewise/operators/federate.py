@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_long, sigmoid
 from sitewise.operators.joins import lookup_join
 from sitewise.operators.ordered import hash_rank
 
-MAX_BROADCAST_CELLS = 5_000_000
 
 
 # --- weights ------------------------------------------------------------------------------
@@ -187,21 +186,6 @@ def early_stop(history: DataFrame, patience: int, metric: str, run: str = "run",
 
 # --- a linear model trained the federated way -------------------------------------------------
 
-def weights_frame(spark: SparkSession, weights: dict, pos_weight: dict | None = None) -> DataFrame:
-    """Client weights held by the driver, broadcast while they are known to be small.
-
-    Keys are clients, or (arm, client) pairs for several models side by side.
-    """
-    pairs = any(isinstance(k, tuple) for k in weights)
-    rows = [((*k,) if pairs else (k,)) + ([float(x) for x in w], (pos_weight or {}).get(k))
-            for k, w in weights.items()]
-    df = spark.createDataFrame(rows, ("arm string, " if pairs else "") + "client string, _w array<double>, _pw double")
-    if pos_weight is None:
-        df = df.drop("_pw")
-    cells = sum(len(w) for w in weights.values())
-    return F.broadcast(df) if cells <= MAX_BROADCAST_CELLS else df
-
-
 def linear_score(features: Sequence[str], w: Column) -> Column:
     """Intercept (entry 0) plus the weighted features; missing features count as 0."""
     z = F.get(w, F.lit(0))
@@ -227,66 +211,9 @@ def client_gradients(rows: DataFrame, weights: DataFrame, features: Sequence[str
     return g.select("client", "n", F.transform("_g", lambda x: x / F.col("n")).alias("grad"))
 
 
-def fit_federated(rows: DataFrame, features: Sequence[str], *, rounds: int = 10, local_steps: int = 2,
-                  lr: float = 0.5, algorithm: str = "fedavg", mu: float = 0.01, server_lr: float = 0.03,
-                  weight: str = "samples", label: str = "label", pos_weight: bool = True) -> dict[str, list[float]]:
-    """Weights per client of a logistic model.
-
-    ``algorithm``: 'fedavg', 'fedprox' (adds mu * (local - global) to the gradient),
-    'fedadam' (adaptive server step), or 'local' (never averaged). A pooled model is
-    the same call on rows whose client is one constant. Every local step is one
-    Spark aggregation over the rows; the driver keeps clients x features numbers, and
-    each step's plan starts from the rows again, so no lineage builds up.
-    """
-    if algorithm not in ("fedavg", "fedprox", "fedadam", "local"):
-        raise ValueError(f"unknown algorithm {algorithm!r}")
-    import numpy as np
-
-    spark = rows.sparkSession
-    rows = rows.select("client", label, *features).persist()
-    try:
-        sizes = client_weights(rows, label).collect()
-        share = {r["client"]: r[f"w_{weight}"] for r in sizes}
-        boost = {r["client"]: r["pos_weight"] for r in sizes} if pos_weight else None
-        total = sum(share.values())
-        dim = len(features) + 1
-        shared = np.zeros(dim)
-        local = {c: np.zeros(dim) for c in share}
-        m, v = np.zeros(dim), np.zeros(dim)
-        for _ in range(rounds):
-            if algorithm != "local":
-                local = {c: shared.copy() for c in share}
-            for _ in range(local_steps):
-                frame = weights_frame(spark, local, boost)
-                for r in client_gradients(rows, frame, features, label).collect():
-                    g = np.array(r["grad"])
-                    if algorithm == "fedprox":
-                        g = g + mu * (local[r["client"]] - shared)
-                    local[r["client"]] = local[r["client"]] - lr * g
-            if algorithm == "local":
-                continue
-            averaged = sum(share[c] / total * w for c, w in local.items())
-            if algorithm == "fedadam":
-                delta = averaged - shared
-                m, v = 0.9 * m + 0.1 * delta, 0.99 * v + 0.01 * delta ** 2
-                shared = shared + server_lr * m / (np.sqrt(v) + 1e-3)
-            else:
-                shared = averaged
-        final = local if algorithm == "local" else {c: shared for c in share}
-        return {c: [float(x) for x in w] for c, w in final.items()}
-    finally:
-        rows.unpersist()
-
-
-def score(rows: DataFrame, weights: DataFrame | dict, features: Sequence[str],
+def score(rows: DataFrame, weights: DataFrame, features: Sequence[str],
           keep: Sequence[str] = ("stay_id", "client", "label")) -> DataFrame:
-    """Every client's rows scored with its own parameters, pooled in one frame: z and p.
-
-    Weights of several arms score all arms in one pass; add 'arm' to ``keep``.
-    """
+    """Every client's rows scored with its own parameters (client, _w), pooled in one frame: z and p."""
     z = linear_score(features, F.col("_w"))
-    if isinstance(weights, dict):
-        joined = rows.join(weights_frame(rows.sparkSession, weights), "client")
-    else:
-        joined = lookup_join(rows, weights, ["client"], list(features))
+    joined = lookup_join(rows, weights, ["client"], list(features))
     return joined.select(*keep, z.alias("z"), sigmoid(z).alias("p"))

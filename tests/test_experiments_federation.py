@@ -142,36 +142,3 @@ def test_weights_and_resampling(spark):
     drawn = {(r["client"], r["label"]): r["t"] for r in K.balanced_resample(rows).groupBy("client", "label").agg(
         F.sum("times").alias("t")).collect()}
     assert drawn["a", 0] + drawn["a", 1] == 100 and abs(drawn["a", 1] - 50) < 20 and drawn["b", 0] == 1
-
-
-def test_federated_fit_equals_numpy(spark):
-    rng = np.random.default_rng(5)
-    n = 400
-    x = rng.normal(size=(n, 2))
-    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 1])))).astype(int)
-    c = np.where(np.arange(n) < 300, "a", "b")
-    df = spark.createDataFrame(pd.DataFrame({"client": c, "label": y, "u": x[:, 0], "v": x[:, 1]}))
-    for algorithm in ("fedavg", "fedprox", "fedadam", "local"):
-        got = K.fit_federated(df, ["u", "v"], rounds=2, local_steps=2, algorithm=algorithm, mu=0.1)
-        shared, m, s = np.zeros(3), np.zeros(3), np.zeros(3)
-        local = {k: np.zeros(3) for k in "ab"}
-        for _ in range(2):
-            if algorithm != "local":
-                local = {k: shared.copy() for k in "ab"}
-            for _ in range(2):
-                for k in "ab":
-                    a, t = np.c_[np.ones((c == k).sum()), x[c == k]], y[c == k]
-                    cw = np.where(t == 1, (t == 0).sum() / t.sum(), 1.0)
-                    g = (a * ((1 / (1 + np.exp(-a @ local[k])) - t) * cw)[:, None]).mean(0)
-                    g = g + 0.1 * (local[k] - shared) if algorithm == "fedprox" else g
-                    local[k] = local[k] - 0.5 * g
-            avg = (300 * local["a"] + 100 * local["b"]) / n
-            if algorithm == "fedadam":
-                m, s = .9 * m + .1 * (avg - shared), .99 * s + .01 * (avg - shared) ** 2
-                shared = shared + 0.03 * m / (np.sqrt(s) + 1e-3)
-            elif algorithm != "local":
-                shared = avg
-        for k in "ab":
-            assert got[k] == pytest.approx(local[k] if algorithm == "local" else shared)
-    with pytest.raises(ValueError):
-        K.fit_federated(df, ["u"], algorithm="other")

@@ -11,8 +11,6 @@ from sitewise.plans import catalog
 # the library's own queries; the training-data operators have tests of their own
 QUERIES = {name: q for name, q in entry.queries().items() if name in catalog.QUERIES}
 ORACLES = {name: q for name, q in entry.oracle_sql().items() if name in catalog.QUERIES}
-# jobs whose statistic has no SQL counterpart (distribution functions, iterative fits, schema reports)
-NO_SQL = {"delong_p", "paired_by_seed_p", "welch_pairs_p", "mann_whitney_p", "fed_logreg", "dq_required_columns"}
 
 
 @pytest.fixture(scope="session")
@@ -44,9 +42,8 @@ def test_plan_has_no_pair_joins(outcomes, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_only_the_named_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == NO_SQL
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry_has_rows(spark):
