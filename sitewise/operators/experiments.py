@@ -186,6 +186,18 @@ def control_comparison(runs: DataFrame, partition: str, size: str, gain: str) ->
     return base.join(ends, partition).join(rho, partition)
 
 
+def control_verdict(runs: DataFrame, partition: str, test: str, control: str, size: str, gain: str) -> DataFrame:
+    """Rank correlation of size and gain in two partition schemes, with p, and whether the control weakens it."""
+    rho = spearman_p(spearman(runs.where(F.col(partition).isin(test, control)), size, gain, [partition]))
+
+    def of(scheme: str, column: str) -> Column:
+        return F.max(F.when(F.col(partition) == scheme, F.col(column)))
+
+    both = rho.agg(of(test, "rho").alias("rho_test"), of(test, "p_value").alias("p_test"),
+                   of(control, "rho").alias("rho_control"), of(control, "p_value").alias("p_control"))
+    return both.withColumn("weakened", weakened(F.col("rho_test"), F.col("rho_control"), F.col("p_control")))
+
+
 def weakened(rho_test: Column, rho_control: Column, p_control: Column) -> Column:
     """The relation is weaker in the control: clearly smaller rho, or no longer detectable."""
     return (F.abs(rho_control) < F.abs(rho_test) * 0.6) | (p_control > 0.05)

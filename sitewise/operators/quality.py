@@ -248,10 +248,15 @@ def composition_chi2(df: DataFrame, kept: Column, category: str) -> DataFrame:
                   F.sum(F.col("b") * F.col("b") / (F.col("a") + F.col("b"))).alias("qb"),
                   F.count(F.lit(1)).alias("k"))
     n = F.col("sa") + F.col("sb")
-    return parts.select((n * (F.col("qa") / F.col("sa") + F.col("qb") / F.col("sb") - 1)).alias("chi2"),
+    return parts.select((n * (F.try_divide("qa", "sa") + F.try_divide("qb", "sb") - 1)).alias("chi2"),
                         (F.col("k") - 1).alias("df"), n.cast("long").alias("n"))
 
 
+def with_material(report: DataFrame, p_value: Column, effect: str) -> DataFrame:
+    """A representativeness report with its p-value and the verdict; both null where nothing can be tested."""
+    return report.withColumn("p_value", p_value).withColumn("material", material(F.col("p_value"), F.col(effect)))
+
+
 def material(p_value: Column, effect: Column) -> Column:
     """A difference that is both detectable and at least 'small'."""
     return (p_value < 0.05) & (F.abs(effect) >= 0.20)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitewise.functions.pvalues import p_chi2, p_t
 from sitewise.operators import clients, quality
 from sitewise.operators.ordered import exact_quantiles
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
-from sitewise.plans.registry import query
+from sitewise.plans.registry import query, sql_p_chi2, sql_p_normal, sql_p_t
 from sitewise.session import cut_lineage
 
 
@@ -368,6 +369,54 @@ def welch_effect(spark, sf):
         F.round("df", 4).alias("df"), r6("cohens_d").alias("cohens_d"), "magnitude")
 
 
+@query("welch_material", f"""
+    WITH l AS (SELECT {_KEPT} AS kept, unnest(['age', 'los_hours']) AS characteristic,
+                      unnest([CAST(age AS DOUBLE), los_hours]) AS x FROM fx_cohort),
+    s AS (SELECT characteristic, count(x) FILTER (kept) AS n1, count(x) FILTER (NOT kept) AS n2,
+                 avg(x) FILTER (kept) AS m1, avg(x) FILTER (NOT kept) AS m2,
+                 var_samp(x) FILTER (kept) AS v1, var_samp(x) FILTER (NOT kept) AS v2 FROM l GROUP BY 1),
+    e AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d,
+                 (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+                 pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM s),
+    p AS (SELECT *, {sql_p_t('t', 'df')} AS p FROM e)
+    SELECT characteristic, round(d, 6) AS cohens_d, round(p, 5) AS p_value, p < 0.05 AND abs(d) >= 0.2 AS material FROM p""")
+def welch_material(spark, sf):
+    w = quality.welch_effect(fx.stored_cohort(spark, sf), F.expr(_KEPT), ["age", "los_hours"])
+    w = quality.with_material(w, p_t("t", "df"), "cohens_d")
+    return w.select("characteristic", r6("cohens_d").alias("cohens_d"), F.round("p_value", 5).alias("p_value"), "material")
+
+
+@query("prop_material", f"""
+    WITH l AS (SELECT CAST({_KEPT} AS INTEGER) AS k, unnest(['died', 'male', 'always']) AS characteristic,
+                      unnest([label, CAST(gender = 'M' AS INTEGER), 1]) AS x FROM fx_cohort),
+    c AS (SELECT characteristic, sum(k)::DOUBLE AS n1, sum(1 - k)::DOUBLE AS n2, sum(k * x)::DOUBLE AS a,
+                 sum((1 - k) * x)::DOUBLE AS b FROM l GROUP BY 1),
+    g AS (SELECT *, a + b AS yes, n1 + n2 AS n,
+                 abs(a - n1 * (a + b) / (n1 + n2)) - least(0.5, abs(a - n1 * (a + b) / (n1 + n2))) AS gap FROM c),
+    h AS (SELECT *, CASE WHEN yes < n AND n1 > 0 AND n2 > 0 THEN gap * gap * (n / (n1 * yes) + n / (n2 * yes) + n / (n1 * (n - yes))
+                         + n / (n2 * (n - yes))) END AS chi2,
+                 CASE WHEN yes < n AND n1 > 0 AND n2 > 0 THEN 2 * asin(sqrt(a / n1)) - 2 * asin(sqrt(b / n2)) END AS h FROM g),
+    p AS (SELECT *, CASE WHEN chi2 > 0 THEN {sql_p_normal('sqrt(chi2)')} WHEN chi2 = 0 THEN 1.0::DOUBLE END AS p FROM h)
+    SELECT characteristic, round(chi2, 6) AS chi2, round(p, 5) AS p_value, p < 0.05 AND abs(h) >= 0.2 AS material FROM p""")
+def prop_material(spark, sf):
+    p = quality.proportion_effect(fx.stored_cohort(spark, sf), F.expr(_KEPT), {
+        "died": F.col("label"), "male": F.col("gender") == "M", "always": F.lit(1)})
+    p = quality.with_material(p, p_chi2("chi2", F.lit(1.0)), "cohens_h")
+    return p.select("characteristic", r6("chi2").alias("chi2"), F.round("p_value", 5).alias("p_value"), "material")
+
+
+@query("composition_p", f"""
+    WITH c AS (SELECT unit, count(*) FILTER ({_KEPT}) AS a, count(*) FILTER (NOT {_KEPT}) AS b
+               FROM fx_cohort GROUP BY 1),
+    t AS (SELECT sum(a) AS sa, sum(b) AS sb, sum(a + b) AS n FROM c),
+    x AS (SELECT sum(pow(a - (a + b) * sa / n, 2) / ((a + b) * sa / n)
+                     + pow(b - (a + b) * sb / n, 2) / ((a + b) * sb / n)) AS chi2, count(*) - 1 AS df FROM c, t)
+    SELECT round(chi2, 6) AS chi2, df, round({sql_p_chi2('chi2', 'df')}, 5) AS p_value FROM x""")
+def composition_p(spark, sf):
+    c = quality.composition_chi2(fx.stored_cohort(spark, sf), F.expr(_KEPT), "unit")
+    return c.select(r6("chi2").alias("chi2"), "df", F.round(p_chi2("chi2", "df"), 5).alias("p_value"))
+
+
 @query("prop_effect", f"""
     WITH l AS (SELECT CAST({_KEPT} AS INTEGER) AS k, unnest(['died', 'male', 'urgent', 'always']) AS characteristic,
                       unnest([label, CAST(gender = 'M' AS INTEGER), CAST(contains(admission_type, 'URGENT') AS INTEGER), 1]) AS x

@@ -9,7 +9,7 @@ from sitewise.operators import federate as K
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.catalog_metrics import _rounded
-from sitewise.plans.registry import query, sql_p_normal, sql_p_t
+from sitewise.plans.registry import query, sql_p_f, sql_p_normal, sql_p_t
 
 # --- experiment tables ------------------------------------------------------------------
 
@@ -172,6 +172,40 @@ def control_comparison(spark, sf):
     return _rounded(X.control_comparison(r, "scheme", "n_param", "fl_gain"))
 
 
+@query("control_verdict", f"""
+    WITH r AS (SELECT CASE WHEN seed % 2 = 0 THEN 'sites' ELSE 'shuffled' END AS scheme, n_param, fl_gain FROM fx_runs),
+    k AS (SELECT scheme, {_rank('n_param', 'scheme')} AS a, {_rank('fl_gain', 'scheme')} AS b FROM r),
+    c AS (SELECT scheme, corr(a, b) AS rho, count(*) AS n FROM k GROUP BY 1),
+    t AS (SELECT *, rho * sqrt(n - 2) / sqrt(1 - rho * rho) AS t FROM c),
+    p AS (SELECT *, {sql_p_t('t', '(n - 2)')} AS p FROM t),
+    v AS (SELECT max(rho) FILTER (scheme = 'sites') AS rt, max(p) FILTER (scheme = 'sites') AS pt,
+                 max(rho) FILTER (scheme = 'shuffled') AS rc, max(p) FILTER (scheme = 'shuffled') AS pc FROM p)
+    SELECT round(rt, 6) AS rho_test, round(pt, 5) AS p_test, round(rc, 6) AS rho_control, round(pc, 5) AS p_control,
+           abs(rc) < abs(rt) * 0.6 OR pc > 0.05 AS weakened FROM v""")
+def control_verdict(spark, sf):
+    r = fx.runs(spark, sf).withColumn("scheme", F.when(F.col("seed") % 2 == 0, "sites").otherwise("shuffled"))
+    v = X.control_verdict(r, "scheme", "sites", "shuffled", "n_param", "fl_gain")
+    return v.select(r6("rho_test").alias("rho_test"), F.round("p_test", 5).alias("p_test"), r6("rho_control").alias("rho_control"),
+                    F.round("p_control", 5).alias("p_control"), "weakened")
+
+
+@query("spearman_p", f"""
+    WITH c AS (SELECT corr(a, b) AS rho, count(*) AS n FROM (
+        SELECT {_rank('c_acctbal')} AS a, {_rank('c_nationkey')} AS b FROM customer)),
+    t AS (SELECT *, rho * sqrt(n - 2) / sqrt(1 - rho * rho) AS t FROM c)
+    SELECT n, round(rho, 6) AS rho, round({sql_p_t('t', '(n - 2)')}, 5) AS p_value FROM t""")
+def spearman_p(spark, sf):
+    c = X.spearman_p(X.spearman(fx.table(spark, sf, "customer"), "c_acctbal", "c_nationkey"))
+    return c.select("n", r6("rho").alias("rho"), F.round("p_value", 5).alias("p_value"))
+
+
+@query("anova_p", f"""WITH {_anova_sql('p_type', 'p_retailprice', 'part')}
+    SELECT 'p_type' AS parameter, round(f, 6) AS f_value, df1, df2, round({sql_p_f('f', 'df1', 'df2')}, 5) AS p_value FROM an""")
+def anova_p(spark, sf):
+    tested = X.anova_p(X.anova(fx.table(spark, sf, "part"), "p_type", "p_retailprice"))
+    return tested.select("parameter", r6("f_value").alias("f_value"), "df1", "df2", F.round("p_value", 5).alias("p_value"))
+
+
 @query("generalisation_gap", """
     WITH m AS (SELECT avg(auroc) FILTER (arm = 'purchase') AS i, avg(auroc) FILTER (arm = 'click') AS o,
                       avg(auroc) FILTER (arm = 'view') AS r FROM fx_runs)

@@ -33,7 +33,7 @@ def with_views(body: str) -> str:
     return head + "\n" + body
 
 
-def sql_p_t(t: str, df: str, n: int = 4000) -> str:
+def sql_p_t(t: str, df: str, n: int = 40000) -> str:
     """Two-sided p of a t value: midpoint sums of cos(angle) ** (df - 1) from atan(|t| / sqrt(df)) and from 0."""
     def area(low):
         return (f"list_sum(list_transform(range({n}), lambda i : pow(cos({low} + (pi() / 2 - {low}) * (i + 0.5) / {n}), {df} - 1)))"
@@ -41,12 +41,29 @@ def sql_p_t(t: str, df: str, n: int = 4000) -> str:
     return f"({area(f'atan(abs({t}) / sqrt({df}))')} / ({area('0.0')}))"
 
 
-def sql_p_normal(z: str, n: int = 4000) -> str:
+def sql_p_normal(z: str, n: int = 20000) -> str:
     """Two-sided p of a z value: midpoint sum of the density over 12 units from |z|."""
     return (f"(list_sum(list_transform(range({n}), lambda i : exp(-pow(abs({z}) + 12.0 * (i + 0.5) / {n}, 2) / 2)))"
             f" * 12.0 / {n} * 2 / sqrt(2 * pi()))")
 
 
+def sql_p_chi2(x: str, k: str, n: int = 8000) -> str:
+    """Upper tail of chi-square by midpoint sums of the chi density from the root of ``x``."""
+    y, width = f"sqrt({x})", f"(greatest(sqrt({k}), sqrt({x})) + 14 - sqrt({x}))"
+    at = f"({y} + {width} * (i + 0.5) / {n})"
+    return (f"(list_sum(list_transform(range({n}), lambda i : exp(({k} - 1) * ln({at}) - pow({at}, 2) / 2"
+            f" - lgamma({k} / 2.0) - ({k} / 2.0 - 1) * ln(2)))) * {width} / {n})")
+
+
+def sql_p_f(f: str, a: str, b: str, n: int = 60000) -> str:
+    """Upper tail of F: the square of a tangent has the density sin ** (a - 1) * cos ** (b - 1) of its angle."""
+    def area(low):
+        at = f"({low} + (pi() / 2 - {low}) * (i + 0.5) / {n})"
+        return (f"list_sum(list_transform(range({n}), lambda i : pow(sin({at}), {a} - 1) * pow(cos({at}), {b} - 1)))"
+                f" * (pi() / 2 - {low})")
+    return f"({area(f'atan(sqrt({f} * {a} / {b}))')} / ({area('0.0')}))"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is its DuckDB counterpart over the same tables."""
     def register(fn):
