@@ -29,7 +29,8 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
     Sources are ordered by code point, null last, and weigh ``weights`` in turn.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # each small table is stored: plans that repeat its whole history in every prefix sum fill the driver
+    sums = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     places = running_totals(sums, "source", {"_n": F.lit(1)}, index="place").select("source", "place")
     named = F.coalesce(F.max("place") + 1, F.lit(0))
     last = places.agg(named.alias("n")).scalar()
@@ -39,12 +40,13 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
                                            (F.col("place") % len(weights)).cast("int")))
               .withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
               .withColumn("_ratio", F.col("_cap") / F.col("_weight")))
+    placed = stored(placed, "mix-places")
     steps = running_totals(placed, "_ratio", {"_caps": F.col("_cap"), "_weights": F.col("_weight")})
     budget = F.col("_caps_total") / F.lit(float(max_epochs)) * F.lit(float(share))
     level = steps.agg(F.max((budget - F.col("_caps_before"))
                             / (F.col("_weights_total") - F.col("_weights_before"))).alias("level")).scalar()
-    return (placed.withColumn("target", F.least("_cap", level * F.col("_weight")))
-            .select("source", "place", "source_size", "target"))
+    found = placed.withColumn("target", F.least("_cap", level * F.col("_weight")))
+    return stored(found.select("source", "place", "source_size", "target"), "mix-targets")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -62,8 +64,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
                                                   F.floor(F.col("target") / F.col("source_size")))
                                  .otherwise(0).cast("long"))
     # the table has one row per source; adaptive execution broadcasts it only if it is small
-    rows = (sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
-            .withColumn("_draw", hash_hex(seed, "doc_id")))
+    rows = stored(sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
+                  .withColumn("_draw", hash_hex(seed, "doc_id")), "mix-draws")
     order = running_totals(rows, "_draw", {"_size": F.col("size")}, by=["place"])
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
     extra = ((F.col("_size_before") + F.col("_size") / 2.0 <= rest) & (F.col("size") > 0)).cast("long")
