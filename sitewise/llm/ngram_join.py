@@ -284,14 +284,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = rows.withColumn("key", row_key("doc_id", "text"))
     bits = _filter(_survivors(rows.select("key", "text"), percent, words))
     sets = stored(_sets(rows, bits, words), "join-sets")
-    heads = sets.groupBy("signature").agg(F.min("uid").alias("uid"))
+    # stored, so that the joins with it can split a signature that very many rows share
+    heads = stored(sets.groupBy("signature").agg(F.min("uid").alias("uid")), "join-signatures")
     classes = stored(sets.select("uid", "n", "set").join(heads.select("uid"), "uid"), "join-classes")
     links = _linked(classes, _candidate_groups(classes, percent), percent)
     label = components(links)
     member = (sets.select("uid", "doc_id", "signature").join(heads.withColumnRenamed("uid", "node"), "signature")
               .join(label, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     member = stored(member, "join-members")
-    named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = stored(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-names")
     found = (member.join(named, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
