@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sitewise.functions.pvalues import p_normal
 from sitewise.functions.scalars import hash_long, hash_uniform, poisson_weight, ratio
 from sitewise.operators.joins import salted_join
-from sitewise.operators.metrics import auprc_of, auroc_of, score_curve, threshold_metrics
+from sitewise.operators.metrics import (auprc_of, auroc_of, calibration_slope, metric_report, score_curve,
+                                        sensitivities, site_scopes, threshold_metrics)
 from sitewise.operators.ordered import hash_rank, running_totals
 from sitewise.session import cut_lineage
 
@@ -58,19 +59,22 @@ def _merge(drawn: DataFrame, *keys: str) -> DataFrame:
     return cut_lineage(merged)
 
 
-def replicate_metrics(drawn: DataFrame, threshold: float, p: str = "p", y: str = "y") -> DataFrame:
-    """All bootstrap metrics, one row per replicate; calibration is left out on purpose."""
-    merged = _merge(drawn, "b", p, y)
-    curve = score_curve(merged, p, y, ["b"], F.col("w"))
-    rank = curve.groupBy("b").agg(auroc_of().alias("auroc"), auprc_of().alias("auprc"))
-    at = threshold_metrics(merged, threshold, p, y, ["b"], F.col("w"))
-    return rank.join(at, "b").select("b", *BOOT_METRICS)
+def replicate_metrics(drawn: DataFrame, threshold: float, p: str = "p", y: str = "y",
+                      by: Sequence[str] = ()) -> DataFrame:
+    """All bootstrap metrics, one row per group and replicate; calibration is left out on purpose."""
+    keys = [*by, "b"]
+    merged = _merge(drawn, *keys, p, y)
+    curve = score_curve(merged, p, y, keys, F.col("w"))
+    rank = curve.groupBy(*keys).agg(auroc_of().alias("auroc"), auprc_of().alias("auprc"))
+    at = threshold_metrics(merged, threshold, p, y, keys, F.col("w"))
+    return rank.join(at, keys).select(*keys, *BOOT_METRICS)
 
 
-def percentile_interval(reps: DataFrame, metrics: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """(metric, lo, hi) from replicate rows; the number of replicates bounds the work."""
-    long = reps.unpivot(["b"], list(metrics), "metric", "v").where(F.col("v").isNotNull())
-    return long.groupBy("metric").agg(
+def percentile_interval(reps: DataFrame, metrics: Sequence[str], alpha: float = 0.05,
+                        by: Sequence[str] = ()) -> DataFrame:
+    """(group, metric, lo, hi) from replicate rows; the number of replicates bounds the work."""
+    long = reps.unpivot([*by, "b"], list(metrics), "metric", "v").where(F.col("v").isNotNull())
+    return long.groupBy(*by, "metric").agg(
         F.percentile("v", F.lit(alpha / 2)).alias("lo"), F.percentile("v", F.lit(1 - alpha / 2)).alias("hi"),
         F.count(F.lit(1)).alias("n_replicates"))
 
@@ -85,6 +89,27 @@ def bootstrap_ci(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: in
     return percentile_interval(replicate_metrics(drawn, threshold, p, y), BOOT_METRICS, alpha)
 
 
+def full_report(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05,
+                key: str = "id", p: str = "p", y: str = "y", client: str = "client") -> DataFrame:
+    """Everything per scope (each site and global): the point metrics of ``metric_report``, calibration slope, F1 at
+    0.5, sensitivity at fixed specificities, and ``<metric>_lo`` / ``<metric>_hi`` for every bootstrapped metric.
+
+    Scopes with one class have counts and prevalence only.
+    """
+    rows = site_scopes(pred.select(key, client, p, y), client).select("scope", key, p, y)
+    reps = replicate_metrics(draw_poisson(rows, n_boot, seed, key), threshold, p, y, ["scope"])
+    ends = percentile_interval(reps, BOOT_METRICS, alpha, ["scope"])
+    ends = ends.groupBy("scope").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{m}_{e}")
+                                       for m in BOOT_METRICS for e in ("lo", "hi")])
+    half = threshold_metrics(rows, 0.5, p, y, ["scope"]).select("scope", F.col("f1").alias("f1_at_half"))
+    more = (half.join(sensitivities(rows, p, y, ["scope"]), "scope").join(ends, "scope", "left")
+            .join(calibration_slope(rows, p, y, ["scope"]), "scope", "left"))
+    report = metric_report(pred, threshold, p, y, client)
+    both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
+    return report.join(more, "scope").select(
+        *report.columns, *[F.when(both, F.col(c)).alias(c) for c in more.columns if c != "scope"])
+
+
 def bootstrap_auprc_diff(pred: DataFrame, n_boot: int = 1000, seed: int = 0, key: str = "id",
                          p1: str = "p1", p2: str = "p2", y: str = "y", method: str = "poisson") -> DataFrame:
     """Paired bootstrap of AUPRC(p1) - AUPRC(p2): observed, lower 2.5 %, two-sided p.

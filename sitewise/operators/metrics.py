@@ -112,6 +112,21 @@ def sensitivity_at_specificity(pred: DataFrame, p: str = "p", y: str = "y",
                  F.col(f"_t{i}.threshold").alias("threshold")) for i, t in enumerate(targets)])))
 
 
+def sensitivities(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (),
+                  targets: Sequence[float] = (0.80, 0.90, 0.95)) -> DataFrame:
+    """Per group one column for each target specificity: sensitivity at the nearest curve point, the first one wins."""
+    by = list(by)
+    spec = 1.0 - F.try_divide("fp", "neg_total")
+    tpr = F.try_divide("tp", "pos_total")
+
+    def at(target: float) -> Column:
+        start = F.struct(F.lit(abs(1.0 - target)).alias("d"), F.lit(-1).cast("long").alias("i"), F.lit(0.0).alias("s"))
+        point = F.min(F.struct(F.abs(spec - target).alias("d"), F.col("idx").cast("long").alias("i"), tpr.alias("s")))
+        return F.least(start, point)["s"].alias(f"sens_at_{round(100 * target)}")
+
+    return score_curve(pred, p, y, by).groupBy(*by).agg(*[at(t) for t in targets])
+
+
 # --- thresholds ---------------------------------------------------------------------
 
 def threshold_metrics(pred: DataFrame, threshold: Column | float, p: str = "p", y: str = "y",

@@ -135,9 +135,9 @@ def calib_intercept(spark, sf):
     return _rounded(metrics.calibration_intercept(_pred(spark, sf), by=["client"]))
 
 
-def _newton_sql(steps=9):
+def _newton_sql(steps=9, src="fx_pred"):
     """Newton steps for sigmoid(a z + c), the same number for every client, spelled out."""
-    out = ["z AS (SELECT client, y, ln(p1 / (1 - p1)) AS z FROM fx_pred)",
+    out = [f"z AS (SELECT client, y, ln(p1 / (1 - p1)) AS z FROM {src})",
            "n0 AS (SELECT client, 1.0::DOUBLE AS a, 0.0::DOUBLE AS c FROM z GROUP BY client)"]
     for i in range(steps):
         out.append(f"""g{i} AS (SELECT client, any_value(a) AS a, any_value(c) AS c, sum((y - q) * z) - 1e-6 * any_value(a) AS ga,
@@ -256,6 +256,40 @@ def metric_report(spark, sf):
     return _rounded(metrics.metric_report(_pred(spark, sf), 0.45))
 
 
+_FULL_B = 100
+_FULL_NEWTON, _FULL_LAST = _newton_sql(src="sc")
+
+
+@query("full_report", f"""{_FULL_NEWTON.replace("WITH ", "WITH sc AS MATERIALIZED (SELECT id, 'global' AS client, y, p1 FROM fx_pred UNION ALL SELECT id, client, y, p1 FROM fx_pred), ", 1)},
+    ho AS (SELECT client, 2.0 * count(*) FILTER (p1 >= 0.5 AND y = 1)
+                  / (2 * count(*) FILTER (p1 >= 0.5 AND y = 1) + count(*) FILTER (p1 >= 0.5 AND y = 0)
+                     + count(*) FILTER (p1 < 0.5 AND y = 1)) AS half FROM sc GROUP BY client),
+    {_curve("client, ", "sc")},
+    pts AS (SELECT DISTINCT client, -1 AS idx, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM sc
+            UNION ALL SELECT client, idx, fp / nn, tp / np FROM c),
+    se AS (SELECT client, arg_min(tpr, (abs(1 - fpr - 0.8::DOUBLE), idx)) AS s80, arg_min(tpr, (abs(1 - fpr - 0.9::DOUBLE), idx)) AS s90,
+                  arg_min(tpr, (abs(1 - fpr - 0.95::DOUBLE), idx)) AS s95 FROM pts GROUP BY client),
+    u AS (SELECT client, y, p1, b, ('0x' || substring(md5('0-' || b || '-' || id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
+          FROM sc, range({_FULL_B}) r(b)),
+    bs AS (SELECT client, b, y, p1, len(list_filter([{", ".join(f"{c!r}::DOUBLE" for c in poisson_cdf())}], lambda q : u >= q)) AS w FROM u),
+    s2 AS (SELECT client, b, p1 AS p, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM bs WHERE w > 0 GROUP BY client, b, p1),
+    c2 AS (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER t AS np, sum(n - pos) OVER t AS nn
+           FROM s2 WINDOW w AS (PARTITION BY client, b ORDER BY p DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY client, b)),
+    rp AS (SELECT client, b, {_AUROC} AS auroc, {_AUPRC} AS auprc FROM c2 GROUP BY client, b),
+    iv AS (SELECT client, quantile_cont(auroc, 0.025) AS rl, quantile_cont(auroc, 0.975) AS rh,
+                  quantile_cont(auprc, 0.025) AS pl, quantile_cont(auprc, 0.975) AS ph FROM rp GROUP BY client),
+    fl AS (SELECT k.client, count(*) AS n, sum(y) AS np FROM sc k GROUP BY k.client)
+    SELECT fl.client AS scope, n, CAST(np AS BIGINT) AS n_pos, round(half, 6) AS f1_at_half, round(s80, 6) AS sens_at_80,
+           round(s90, 6) AS sens_at_90, round(s95, 6) AS sens_at_95, round(a, 5) AS calib_slope, round(rl, 6) AS auroc_lo,
+           round(rh, 6) AS auroc_hi, round(pl, 6) AS auprc_lo, round(ph, 6) AS auprc_hi
+    FROM fl JOIN ho ON ho.client = fl.client JOIN se ON se.client = fl.client JOIN iv ON iv.client = fl.client
+    JOIN {_FULL_LAST} l ON l.client = fl.client""")
+def full_report(spark, sf):
+    r = inference.full_report(_pred(spark, sf), 0.45, n_boot=_FULL_B)
+    cols = ("f1_at_half", "sens_at_80", "sens_at_90", "sens_at_95", "auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")
+    return r.select("scope", "n", "n_pos", *[r6(c).alias(c) for c in cols], F.round("calib_slope", 5).alias("calib_slope"))
+
+
 @query("permuted_auroc", f"""
     WITH a AS (SELECT y, row_number() OVER (ORDER BY md5('0a-' || id), id) AS r FROM fx_pred),
     b AS (SELECT p1, row_number() OVER (ORDER BY md5('0b-' || id), id) AS r FROM fx_pred),
