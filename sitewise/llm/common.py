@@ -38,15 +38,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back.
+def stored_at(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir``; the table read back, and its path.
 
     Cuts the lineage like a checkpoint, survives lost executors, and the columnar files
     let later steps read only the columns they need.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored_at`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(text: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents, query, slices, stored, text_bytes
+from sitewise.llm.common import discard, documents, query, slices, stored_at, text_bytes
 from sitewise.llm.counting import COUNT, frequencies
 
 LENGTH, WINDOW, GRAM = 400, 128, 16         # bytes of a repeat, strings an anchor is the smallest of, their bytes
@@ -103,6 +103,12 @@ class Shard:
         return np.cumsum(edges)[:-1] > 0
 
 
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the runs first..last."""
+    sizes = last - first + 1
+    return np.repeat(first - np.r_[0, np.cumsum(sizes)][:-1], sizes) + np.arange(int(sizes.sum()))
+
+
 def _runs(keys: np.ndarray) -> dict[str, pa.Array]:
     keys, times = np.unique(keys, return_counts=True)
     return {"keys": pa.array([keys.tobytes()], pa.binary()), "n_keys": pa.array([len(keys)], pa.int64()),
@@ -148,7 +154,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 "text": pa.array([b"".join(texts)], pa.binary())})
 
     shards = rows.mapInArrow(gather, "ids array<long>, sizes array<long>, text binary")
-    shards = stored(shards.withColumn("chunk", F.monotonically_increasing_id()), "suffix-shards")
+    shards, path = stored_at(shards.withColumn("chunk", F.monotonically_increasing_id()), "suffix-shards", "zstd")
 
     def opened(row: dict) -> Shard:
         return Shard(row["text"], np.array(row["sizes"], np.int64))
@@ -159,8 +165,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 _, _, core, cover = opened(row).suffixes(length, window, gram)
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]], pa.int64()), **_runs(np.r_[core, cover])})
 
-    lists = stored(shards.mapInArrow(sort, "chunk long, keys binary, n_keys long, times binary"), "suffix-runs")
-    merged = frequencies(lists, lists.agg(F.sum("n_keys")).first()[0] or 0)
+    lists = shards.mapInArrow(sort, "chunk long, keys binary, n_keys long, times binary")
+    # an anchor is the smallest of ``window`` strings on either side, so one in (window + 1) / 2, with two keys each
+    size = shards.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    merged = frequencies(lists, 4 * size // (window + 1))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 whole = in_cover > 1
                 # an interval is split if some of its suffixes have other covers
                 split = (in_core > 1) & ((in_cover < in_core) | (in_core == np.iinfo(COUNT).max))
-                sizes = (last - first + 1)[split]
-                ask = np.repeat(first[split] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+                ask = spread(first[split], last[split])
                 # a text waits for step 3 if one of its own strings does
                 open_ = np.zeros(len(shard.sizes), bool)
                 text_of = np.searchsorted(shard.ends, first[split & ~whole], "right")
@@ -188,19 +195,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                     spots = [(shard.ends[i] - shard.sizes[i], shard.ends[i]) for i in np.flatnonzero(open_)]
                     lengths = [int(b - a) for a, b in spots]
                     texts = b"".join(shard.bytes[a:b].tobytes() for a, b in spots)
-                    moved = np.zeros(len(shard.bytes) + 1, np.int64) - 1
-                    offset = 0
-                    for a, b in spots:
-                        moved[a:b] = np.arange(offset, offset + int(b - a))
-                        offset += int(b - a)
-                    keys = shard.hash(ask, ask + length)
+                    # runs of strings to ask for, in the waiting texts
+                    held = np.where(open_, shard.sizes, 0)
+                    lost = (shard.ends - shard.sizes) - (np.cumsum(held) - held)
+                    mine = split & ~whole
+                    shift = lost[np.searchsorted(shard.ends, first[mine], "right")]
                     yield rows_and([], {
                         "ids": [[row["ids"][i] for i in np.flatnonzero(open_)]], "sizes": [lengths], "text": [texts],
                         "gone": [np.packbits(np.concatenate([gone[a:b] for a, b in spots]) if spots else np.zeros(0, bool)).tobytes()],
-                        "asks": [moved[ask].astype(np.int32).tobytes()], "hashes": [keys.tobytes()], **_runs(keys)})
+                        "asks": [np.r_[first[mine] - shift, last[mine] - shift].astype(np.int64).tobytes()],
+                        **_runs(shard.hash(ask, ask + length))})
 
     open_kind = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("text", pa.binary()),
-                           ("gone", pa.binary()), ("asks", pa.binary()), ("hashes", pa.binary()), ("keys", pa.binary()),
+                           ("gone", pa.binary()), ("asks", pa.binary()), ("keys", pa.binary()),
                            ("n_keys", pa.int64()), ("times", pa.binary())])
     both = pa.schema([*_ROW, *open_kind])
 
@@ -211,10 +218,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                  if waiting else [pa.nulls(n, f.type) for f in open_kind])
         return pa.RecordBatch.from_arrays([*left, *right], schema=both)
 
-    ddl = (f"{_RESULT}, ids array<long>, sizes array<long>, text binary, gone binary, asks binary, hashes binary, "
+    ddl = (f"{_RESULT}, ids array<long>, sizes array<long>, text binary, gone binary, asks binary, "
            "keys binary, n_keys long, times binary")
-    second = stored(shards.join(merged, "chunk", "left").select("ids", "sizes", "text", "df").mapInArrow(refine, ddl)
-                    .withColumn("chunk", F.monotonically_increasing_id()), "suffix-split")
+    refined = shards.join(merged, "chunk", "left").select("ids", "sizes", "text", "df").mapInArrow(refine, ddl)
+    second, _ = stored_at(refined.withColumn("chunk", F.monotonically_increasing_id()), "suffix-split", "zstd")
+    discard(docs.sparkSession, path)
     done = second.where(F.col("sizes").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     waiting = second.where(F.col("sizes").isNotNull())
     counted = frequencies(waiting, waiting.agg(F.sum("n_keys")).first()[0] or 0)
@@ -225,16 +233,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 if not row["sizes"]:
                     continue
                 shard = opened(row)
-                keys, place = np.unique(np.frombuffer(row["hashes"], np.uint64), return_inverse=True)
-                again = np.frombuffer(b"".join(row["df"]), COUNT)[place] > 1
-                start = np.frombuffer(row["asks"], np.int32)[again].astype(np.int64)
-                start = start[start >= 0]
+                start = spread(*np.frombuffer(row["asks"], np.int64).reshape(2, -1))
+                place = np.searchsorted(np.frombuffer(row["keys"], np.uint64), shard.hash(start, start + length))
+                start = start[np.frombuffer(b"".join(row["df"]), COUNT)[place] > 1]
                 gone = np.unpackbits(np.frombuffer(row["gone"], np.uint8), count=len(shard.bytes)).astype(bool)
                 gone |= shard.removed(start, start, length)
                 yield pa.RecordBatch.from_arrays(
                     _columns(_results(row["ids"], shard, gone, np.arange(len(shard.sizes))), _ROW), schema=_ROW)
 
-    rest = (waiting.select("chunk", "ids", "sizes", "text", "gone", "asks", "hashes").join(counted, "chunk")
+    rest = (waiting.select("chunk", "ids", "sizes", "text", "gone", "asks", "keys").join(counted, "chunk")
             .drop("chunk").mapInArrow(finish, _RESULT))
     return done.union(rest)
 
