@@ -5,6 +5,7 @@ Parameter tables are long: (client, pos, value) with pos a parameter index or na
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,24 +108,34 @@ def update_norms(updates: DataFrame) -> DataFrame:
     return updates.groupBy("client").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
 
 
-def pairwise_cosine(updates: DataFrame, by: Sequence[str] = (), block: int = 1024) -> DataFrame:
+def pairwise_cosine(updates: DataFrame, by: Sequence[str] = (), block: int = 1024,
+                    chunks: int | None = None) -> DataFrame:
     """Cosine of every unordered pair of clients: (by, client_a, client_b, cosine).
 
     All clients hold the same parameters, numbered from 0. The vectors are cut into
-    blocks of positions, blocks of equal number meet in an equal join, and a pair's
-    partial dot products are summed. One row per pair of clients is the result asked
-    for; their number is the square of the sites, not of the rows.
+    blocks of positions and the clients into ``chunks`` by hash; every pair of chunks is
+    a key of its own for every block, so that pairs spread over the session's shuffle
+    width even where vectors have one block. A pair's partial dot products are summed.
+    One row per pair of clients is the result asked for; their number is the square of
+    the sites, not of the rows.
     """
     by = list(by)
+    if chunks is None:
+        chunks = max(2, math.isqrt(2 * int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     parts = updates.groupBy(*by, "client", F.floor(F.col("pos") / block).alias("_b")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))
-    a = parts.select(*by, "_b", F.col("client").alias("client_a"), F.col("_v").alias("_va"))
-    b = parts.select(*by, "_b", F.col("client").alias("client_b"), F.col("_v").alias("_vb"))
+    own = F.pmod(F.xxhash64("client"), F.lit(chunks)).cast("int")
+    parts = (parts.withColumn("_c", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+             .withColumn("_i", F.least("_c", "_x")).withColumn("_j", F.greatest("_c", "_x")))
+    keys = [*by, "_b", "_i", "_j"]
+    a = parts.select(*keys, F.col("client").alias("client_a"), F.col("_c").alias("_ca"), F.col("_v").alias("_va"))
+    b = parts.select(*keys, F.col("client").alias("client_b"), F.col("_c").alias("_cb"), F.col("_v").alias("_vb"))
+    here = (F.least("_ca", "_cb") == F.col("_i")) & (F.greatest("_ca", "_cb") == F.col("_j"))
     product = F.aggregate(
         F.zip_with("_va", "_vb", lambda x, y: F.when(x["pos"] == y["pos"], x["value"] * y["value"])
                    .otherwise(F.raise_error(F.lit("clients hold different parameters")).cast("double"))),
         F.lit(0.0), lambda acc, x: acc + x)
-    dots = (a.join(b, [*by, "_b"]).where(F.col("client_a") < F.col("client_b"))
+    dots = (a.join(b, keys).where(here & (F.col("client_a") < F.col("client_b")))
             .groupBy(*by, "client_a", "client_b").agg(F.sum(product).alias("_dot")))
     norms = updates.groupBy(*by, "client").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     na = norms.select(*by, F.col("client").alias("client_a"), F.col("norm").alias("_na"))

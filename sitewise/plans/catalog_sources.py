@@ -60,7 +60,9 @@ def scan_quarantine(spark, sf):
 @query("dq_malformed_rows", """
     SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'P') AS n_malformed, 0 AS small FROM orders""")
 def dq_malformed_rows(spark, sf):
-    return audit.file_report(spark, _damaged(spark, sf)).select("n_rows", "n_malformed", "small")
+    report = audit.file_report(spark, _damaged(spark, sf))      # one row for each file
+    return report.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_malformed").alias("n_malformed"),
+                      F.max("small").alias("small"))
 
 
 @query("dq_gzip_audit", "SELECT true AS ok, count(*) AS n_rows FROM customer")

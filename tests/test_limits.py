@@ -62,3 +62,16 @@ def test_draws_use_sixty_bits(spark):
     assert 2 ** 59 < top < 2 ** 60
     cdf = poisson_cdf()
     assert len(cdf) > 15 and cdf == sorted(cdf) and cdf[-1] == pytest.approx(1.0, abs=1e-15)
+
+
+def test_pairs_of_many_clients_spread_over_tasks(spark):
+    from sitewise.operators import federate
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 4))
+    rows = spark.createDataFrame([(f"c{i:03}", j, float(v)) for i, row in enumerate(vectors) for j, v in enumerate(row)],
+                                 "client string, pos int, value double")
+    got = {(r["client_a"], r["client_b"]): r["cosine"] for r in federate.pairwise_cosine(rows).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = unit @ unit.T
+    assert len(got) == 300 * 299 // 2
+    assert all(v == pytest.approx(want[int(a[1:]), int(b[1:])]) for (a, b), v in got.items())
