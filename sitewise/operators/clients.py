@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import half_even, hash_hex, js_divergence
 from sitewise.operators.joins import lookup_join, salted_join
-from sitewise.operators.ordered import exact_quantiles, hash_rank, position_in, running_totals
+from sitewise.operators.ordered import exact_quantiles, hash_rank, running_totals
 
 SPLITS = ("train", "val", "test")
 
@@ -86,15 +86,19 @@ def dirichlet(cohort: DataFrame, shares: Sequence[tuple[int, int, float]], label
               key: str = "stay_id", seed: int = 42) -> DataFrame:
     """Label-skewed clients: the shuffled rows of each label are cut at given shares."""
     ranked = hash_rank(cohort, [key], seed, [label], "_rank", "_n")
-    cuts: Column = F.lit(None).cast("array<bigint>")
-    for lab in sorted({s[0] for s in shares}):
-        own = sorted((i, c) for y, i, c in shares if y == lab)
-        inner = F.array(*[F.floor(F.lit(c) * F.col("_n")) for _, c in own[:-1]])
-        cuts = F.when(F.col(label) == lab, inner).otherwise(cuts)
-    placed = ranked.withColumn("_i", position_in(cuts, F.col("_rank")))
-    client = F.when(F.col(label).isin([int(y) for y, _, _ in shares]),
+    last = {y: max(i for z, i, _ in shares if z == y) for y, _, _ in shares}
+    inner = [(int(y), float(c)) for y, i, c in shares if i < last[y]]
+    cuts = cohort.sparkSession.createDataFrame(inner, "_y int, _c double")     # labels x clients rows
+    sizes = ranked.groupBy(F.col(label).cast("int").alias("_y")).agg(F.first("_n").alias("_n"))
+    marks = cuts.join(sizes, "_y").select("_y", F.floor(F.col("_c") * F.col("_n")).alias("_at"), F.lit(1).alias("_m"))
+    own = ranked.withColumn("_y", F.col(label).cast("int")).withColumn("_at", F.col("_rank").cast("long"))
+    # the number of cuts at or before a rank is a prefix sum along the ranks of a label
+    line = own.select("_y", "_at", F.lit(0).alias("_m")).union(marks)
+    upto = (running_totals(line, "_at", {"_m": F.col("_m")}, ["_y"])
+            .select("_y", "_at", (F.col("_m_before") + F.col("_m")).alias("_i")))
+    client = F.when(F.col("_y").isin([int(y) for y, _, _ in shares]),
                     F.concat(F.lit("client_"), F.col("_i").cast("string")))
-    return placed.withColumn("client", client).drop("_rank", "_n", "_i")
+    return own.join(upto, ["_y", "_at"], "left").withColumn("client", client).select(*cohort.columns, "client")
 
 
 # --- splits -----------------------------------------------------------------------
