@@ -53,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept to 16 MB: a task holds a few copies of one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of ``stored_at`` that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import documents, packed, query, row_key, slices, stored, text_bytes
+from sitewise.llm.common import documents, packed, query, row_key, slices, small_batches, stored, text_bytes
 from sitewise.llm.counting import CHUNK, COUNT, answered, chunk_batch
 from sitewise.llm.graph import components
 
@@ -280,7 +280,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     reachable. A null, empty or blank text has no n-gram and is linked with nothing; rows with
     equal sets are one class; a null doc_id takes part, and is smallest only where no other id is.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
     rows = rows.withColumn("key", row_key("doc_id", "text"))
     bits = _filter(_survivors(rows.select("key", "text"), percent, words))
     sets = stored(_sets(rows, bits, words), "join-sets")

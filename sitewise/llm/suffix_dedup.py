@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import discard, documents, query, slices, stored_at, text_bytes
+from sitewise.llm.common import discard, documents, query, slices, small_batches, stored_at, text_bytes
 from sitewise.llm.counting import COUNT, frequencies
 
 LENGTH, WINDOW, GRAM = 400, 128, 16         # bytes of a repeat, strings an anchor is the smallest of, their bytes
@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     ``length`` stay whole; of repeated rows every one is a repeat of the other. Strings are compared by
     64-bit hashes. ``window`` (a power of two) + ``gram`` must not exceed ``length``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SHARD_BYTES):
