@@ -1,6 +1,7 @@
 """All queries of this package; importing the operators fills the registry."""
 
-from sitewise.llm import brown, fingerprints, language, lines, mixing, ngram_join, packing, repetition, secrets, suffix_dedup  # noqa: F401
+from sitewise.llm import (brown, fingerprints, language, lines, mixing, ngram_join, packing, repetition, search,  # noqa: F401
+                          secrets, suffix_dedup)
 from sitewise.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
