@@ -13,11 +13,10 @@ from sitewise.operators.joins import salted_join
 from sitewise.operators.metrics import (auprc_of, auroc_of, calibration_slope, metric_report, score_curve,
                                         sensitivities, site_scopes, threshold_metrics)
 from sitewise.operators.ordered import hash_rank, running_totals
+from sitewise.operators.replicates import METRICS as BOOT_METRICS
+from sitewise.operators.replicates import replicate_matrix
 from sitewise.session import cut_lineage
 
-BOOT_METRICS = ("auroc", "auprc", "f1", "sensitivity", "specificity", "ppv", "npv", "brier",
-                "accuracy", "balanced_accuracy")
-
 
 def _replicates(n_boot: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
@@ -41,10 +40,10 @@ def draw_exact(pred: DataFrame, n_boot: int, seed: int = 0, key: str = "id",
 
 
 def draw_poisson(pred: DataFrame, n_boot: int, seed: int = 0, key: str = "id") -> DataFrame:
-    """Poisson(1) resampling weights ``w`` (possibly 0) for rows x replicate ``b``.
+    """Poisson(1) resampling weights ``w`` (possibly 0) for rows x replicate ``b``, as a table.
 
-    Needs no shuffle and no sizes, which is what makes thousands of replicates of a
-    large test set practical; the replicate sizes vary around n.
+    Needs no shuffle and no sizes; the replicate sizes vary around n. ``replicate_matrix``
+    draws thousands of replicates without such a table.
     """
     rows = pred.select("*", _replicates(n_boot).alias("b"))
     # no filter on w here: pushed down, it would compute the hash many times over
@@ -81,12 +80,17 @@ def percentile_interval(reps: DataFrame, metrics: Sequence[str], alpha: float =
 
 def bootstrap_ci(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05,
                  method: str = "poisson", key: str = "id", p: str = "p", y: str = "y") -> DataFrame:
-    """Percentile intervals of all point metrics; ``method`` is 'exact' or 'poisson'."""
+    """Percentile intervals of all point metrics.
+
+    ``method`` 'poisson' stores buckets x replicates (``replicate_matrix``); 'exact' keeps
+    the size of both classes and stores rows x replicates.
+    """
     if method not in ("exact", "poisson"):
         raise ValueError(f"method must be exact or poisson, not {method!r}")
     rows = pred.select(key, p, y)
-    drawn = draw_exact(rows, n_boot, seed, key, [y]) if method == "exact" else draw_poisson(rows, n_boot, seed, key)
-    return percentile_interval(replicate_metrics(drawn, threshold, p, y), BOOT_METRICS, alpha)
+    reps = (replicate_metrics(draw_exact(rows, n_boot, seed, key, [y]), threshold, p, y) if method == "exact"
+            else replicate_matrix(rows, threshold, n_boot, seed, key, p, y))
+    return percentile_interval(reps, BOOT_METRICS, alpha)
 
 
 def full_report(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: int = 0, alpha: float = 0.05,
@@ -97,7 +101,7 @@ def full_report(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: int
     Scopes with one class have counts and prevalence only.
     """
     rows = site_scopes(pred.select(key, client, p, y), client).select("scope", key, p, y)
-    reps = replicate_metrics(draw_poisson(rows, n_boot, seed, key), threshold, p, y, ["scope"])
+    reps = replicate_matrix(rows, threshold, n_boot, seed, key, p, y, ["scope"])
     ends = percentile_interval(reps, BOOT_METRICS, alpha, ["scope"])
     ends = ends.groupBy("scope").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{m}_{e}")
                                        for m in BOOT_METRICS for e in ("lo", "hi")])
@@ -110,6 +114,11 @@ def full_report(pred: DataFrame, threshold: float, n_boot: int = 1000, seed: int
         *report.columns, *[F.when(both, F.col(c)).alias(c) for c in more.columns if c != "scope"])
 
 
+def _average_precision(frame: DataFrame, p: str, y: str, by: Sequence[str], name: str, w: Column) -> DataFrame:
+    merged = frame.groupBy(*by, p, y).agg(F.sum(w).alias("_w"))
+    return score_curve(merged, p, y, by, F.col("_w")).groupBy(*by).agg(auprc_of().alias(name))
+
+
 def bootstrap_auprc_diff(pred: DataFrame, n_boot: int = 1000, seed: int = 0, key: str = "id",
                          p1: str = "p1", p2: str = "p2", y: str = "y", method: str = "poisson") -> DataFrame:
     """Paired bootstrap of AUPRC(p1) - AUPRC(p2): observed, lower 2.5 %, two-sided p.
@@ -117,21 +126,23 @@ def bootstrap_auprc_diff(pred: DataFrame, n_boot: int = 1000, seed: int = 0, key
     Both models see the same draws; replicates with one class are skipped.
     """
     rows = pred.select(key, y, p1, p2)
-    drawn = (draw_exact(rows.withColumn("_all", F.lit(0)), n_boot, seed, key, ["_all"]).drop("_all")
-             if method == "exact" else draw_poisson(rows, n_boot, seed, key))
-    drawn = _merge(drawn, "b", p1, p2, y)
-
-    def ap(frame: DataFrame, p: str, by: Sequence[str], name: str, w: Column) -> DataFrame:
-        merged = frame.groupBy(*by, p, y).agg(F.sum(w).alias("_w"))
-        return score_curve(merged, p, y, by, F.col("_w")).groupBy(*by).agg(auprc_of().alias(name))
-
-    a, b = (ap(drawn, p, ["b"], f"ap_{p}", F.col("w")) for p in (p1, p2))
     d = F.col("d")
-    reps = a.join(b, "b").select((F.col(f"ap_{p1}") - F.col(f"ap_{p2}")).alias("d")).where(d.isNotNull())
+    if method == "exact":
+        drawn = draw_exact(rows.withColumn("_all", F.lit(0)), n_boot, seed, key, ["_all"]).drop("_all")
+        drawn = _merge(drawn, "b", p1, p2, y)
+        a, b = (_average_precision(drawn, p, y, ["b"], f"ap_{p}", F.col("w")) for p in (p1, p2))
+        reps = a.join(b, "b").select((F.col(f"ap_{p1}") - F.col(f"ap_{p2}")).alias("d"))
+    else:
+        models = F.explode(F.array(*[F.struct(F.lit(i).alias("model"), F.col(c).alias("p")) for i, c in enumerate((p1, p2))]))
+        long = rows.select(key, y, models.alias("_m")).select(key, y, "_m.model", "_m.p")
+        each = replicate_matrix(long, 0.5, n_boot, seed, key, "p", y, ["model"])
+        sign = F.when(F.col("model") == 0, F.col("auprc")).otherwise(-F.col("auprc"))
+        reps = each.groupBy("b").agg(F.when(F.count("auprc") == 2, F.sum(sign)).alias("d"))
+    reps = reps.where(d.isNotNull())
     tails = reps.agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.avg((d <= 0).cast("double")).alias("le"),
                      F.avg((d >= 0).cast("double")).alias("ge"), F.count(F.lit(1)).alias("n_replicates"))
     one = F.lit(1)
-    observed = [ap(rows, p, [], "v", one).select("v").scalar() for p in (p1, p2)]
+    observed = [_average_precision(rows, p, y, [], "v", one).select("v").scalar() for p in (p1, p2)]
     return tails.select((observed[0] - observed[1]).alias("diff"), "lo",
                         (2 * F.least("le", "ge")).alias("p_value"), "n_replicates")
 

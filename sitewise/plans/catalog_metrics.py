@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.scalars import logit, poisson_cdf
 from sitewise.operators import experiments, inference, metrics
 from sitewise.operators.ordered import midranks
+from sitewise.operators.replicates import METRICS, draw_sql
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.registry import query, sql_p_normal
@@ -256,7 +257,26 @@ def metric_report(spark, sf):
     return _rounded(metrics.metric_report(_pred(spark, sf), 0.45))
 
 
-_FULL_B = 100
+def _replicate_sql(by=""):
+    """Every bootstrapped metric (``rp``) of weighted rows ``bs`` ({by}b, y, p1, w)."""
+    group = f"{by}b"
+    return f"""
+    s2 AS (SELECT {group}, p1 AS p, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM bs WHERE w > 0 GROUP BY {group}, p1),
+    c2 AS (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER t AS np, sum(n - pos) OVER t AS nn
+           FROM s2 WINDOW w AS (PARTITION BY {group} ORDER BY p DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY {group})),
+    rk AS (SELECT {group}, CASE WHEN max(np) * max(nn) > 0 THEN {_AUROC} END AS auroc,
+                  CASE WHEN max(np) > 0 AND max(nn) > 0 THEN {_AUPRC} END AS auprc FROM c2 GROUP BY {group}),
+    ct AS (SELECT {group}, sum(w * (p1 >= 0.45 AND y = 1)::INT)::DOUBLE AS tp, sum(w * (p1 >= 0.45 AND y = 0)::INT)::DOUBLE AS fp,
+                  sum(w * (p1 < 0.45 AND y = 1)::INT)::DOUBLE AS fn, sum(w * (p1 < 0.45 AND y = 0)::INT)::DOUBLE AS tn,
+                  sum(w * (p1 - y) * (p1 - y)) / sum(w) AS brier FROM bs GROUP BY {group} HAVING sum(w) > 0),
+    rp AS (SELECT {by}b, auroc, auprc, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, tp / nullif(tp + fn, 0) AS sensitivity,
+                  tn / nullif(tn + fp, 0) AS specificity, tp / nullif(tp + fp, 0) AS ppv, tn / nullif(tn + fn, 0) AS npv, brier,
+                  (tp + tn) / (tp + fp + fn + tn) AS accuracy,
+                  coalesce((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)) AS balanced_accuracy
+           FROM rk JOIN ct USING ({group}))"""
+
+
+_FULL_B = 200
 _FULL_NEWTON, _FULL_LAST = _newton_sql(src="sc")
 
 
@@ -269,24 +289,19 @@ _FULL_NEWTON, _FULL_LAST = _newton_sql(src="sc")
             UNION ALL SELECT client, idx, fp / nn, tp / np FROM c),
     se AS (SELECT client, arg_min(tpr, (abs(1 - fpr - 0.8::DOUBLE), idx)) AS s80, arg_min(tpr, (abs(1 - fpr - 0.9::DOUBLE), idx)) AS s90,
                   arg_min(tpr, (abs(1 - fpr - 0.95::DOUBLE), idx)) AS s95 FROM pts GROUP BY client),
-    u AS (SELECT client, y, p1, b, ('0x' || substring(md5('0-' || b || '-' || id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u
-          FROM sc, range({_FULL_B}) r(b)),
-    bs AS (SELECT client, b, y, p1, len(list_filter([{", ".join(f"{c!r}::DOUBLE" for c in poisson_cdf())}], lambda q : u >= q)) AS w FROM u),
-    s2 AS (SELECT client, b, p1 AS p, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM bs WHERE w > 0 GROUP BY client, b, p1),
-    c2 AS (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER t AS np, sum(n - pos) OVER t AS nn
-           FROM s2 WINDOW w AS (PARTITION BY client, b ORDER BY p DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY client, b)),
-    rp AS (SELECT client, b, {_AUROC} AS auroc, {_AUPRC} AS auprc FROM c2 GROUP BY client, b),
-    iv AS (SELECT client, quantile_cont(auroc, 0.025) AS rl, quantile_cont(auroc, 0.975) AS rh,
-                  quantile_cont(auprc, 0.025) AS pl, quantile_cont(auprc, 0.975) AS ph FROM rp GROUP BY client),
+    {draw_sql("sc", _FULL_B, columns=("client", "y", "p1"))},
+    {_replicate_sql("client, ")},
+    iv AS (SELECT client, {", ".join(f"quantile_cont({m}, 0.025) AS {m}_lo, quantile_cont({m}, 0.975) AS {m}_hi" for m in METRICS)}
+           FROM rp GROUP BY client),
     fl AS (SELECT k.client, count(*) AS n, sum(y) AS np FROM sc k GROUP BY k.client)
     SELECT fl.client AS scope, n, CAST(np AS BIGINT) AS n_pos, round(half, 6) AS f1_at_half, round(s80, 6) AS sens_at_80,
-           round(s90, 6) AS sens_at_90, round(s95, 6) AS sens_at_95, round(a, 5) AS calib_slope, round(rl, 6) AS auroc_lo,
-           round(rh, 6) AS auroc_hi, round(pl, 6) AS auprc_lo, round(ph, 6) AS auprc_hi
+           round(s90, 6) AS sens_at_90, round(s95, 6) AS sens_at_95, round(a, 5) AS calib_slope,
+           {", ".join(f"round({m}_{e}, 6) AS {m}_{e}" for m in METRICS for e in ("lo", "hi"))}
     FROM fl JOIN ho ON ho.client = fl.client JOIN se ON se.client = fl.client JOIN iv ON iv.client = fl.client
     JOIN {_FULL_LAST} l ON l.client = fl.client""")
 def full_report(spark, sf):
     r = inference.full_report(_pred(spark, sf), 0.45, n_boot=_FULL_B)
-    cols = ("f1_at_half", "sens_at_80", "sens_at_90", "sens_at_95", "auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")
+    cols = ("f1_at_half", "sens_at_80", "sens_at_90", "sens_at_95", *(f"{m}_{e}" for m in METRICS for e in ("lo", "hi")))
     return r.select("scope", "n", "n_pos", *[r6(c).alias(c) for c in cols], F.round("calib_slope", 5).alias("calib_slope"))
 
 
@@ -387,6 +402,28 @@ def bootstrap_poisson(spark, sf):
     return reps.select(F.col("b").cast("long").alias("b"), r6("auroc").alias("auroc"))
 
 
+@query("bootstrap_intervals", f"""WITH {draw_sql("fx_pred", 2000)}, {_replicate_sql()},
+    k AS (UNPIVOT rp ON {", ".join(METRICS)} INTO NAME metric VALUE v)
+    SELECT metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(*) AS n_replicates
+    FROM k GROUP BY metric""")
+def bootstrap_intervals(spark, sf):
+    return _rounded(inference.bootstrap_ci(_pred(spark, sf), 0.45, n_boot=2000))
+
+
+@query("bootstrap_paired", f"""WITH {draw_sql("fx_pred", 500, columns=("y", "p1", "p2"))},
+    {", ".join(f"""s{i} AS (SELECT b, p{i} AS p, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM bs WHERE w > 0 GROUP BY ALL),
+    a{i} AS (SELECT b, sum(pos * tp / cn) / sum(pos) AS ap FROM (SELECT b, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS cn
+           FROM s{i} WINDOW w AS (PARTITION BY b ORDER BY p DESC)) GROUP BY b),
+    o{i} AS (SELECT sum(pos * tp / cn) / sum(pos) AS ap FROM (SELECT pos, sum(pos) OVER w AS tp, sum(n) OVER w AS cn
+           FROM (SELECT p{i} AS p, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM fx_pred GROUP BY 1) WINDOW w AS (ORDER BY p DESC)))"""
+               for i in (1, 2))},
+    d AS (SELECT a1.ap - a2.ap AS d FROM a1 JOIN a2 ON a1.b = a2.b)
+    SELECT round((SELECT ap FROM o1) - (SELECT ap FROM o2), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS lo,
+           round(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 6) AS p_value, count(*) AS n_replicates FROM d""")
+def bootstrap_paired(spark, sf):
+    return _rounded(inference.bootstrap_auprc_diff(fx.predictions(spark, sf), n_boot=500))
+
+
 @query("bootstrap_auprc_diff", f"""WITH {_DRAW.format(s='0', B=10)},
     s1 AS (SELECT b, p1 AS p, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM bs GROUP BY ALL),
     s2 AS (SELECT b, p2 AS p, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS pos FROM bs GROUP BY ALL),

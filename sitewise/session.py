@@ -69,3 +69,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="sitewise-scratch-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet next to the checkpoints and read back: no history, column pruning kept."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
