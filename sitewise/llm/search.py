@@ -23,7 +23,7 @@ from sitewise.llm.common import discard, query, small_batches, stored, stored_at
 #: Components in a block of candidates (16,384 vectors of 64) and in one of queries.
 BLOCK_CELLS, QUERY_CELLS = 1 << 20, 1 << 17
 #: Pairs whose bounds a task holds at once; share of pairs alive below which they are listed one by one.
-TILE_PAIRS, LISTED_SHARE = 1 << 21, 0.1
+TILE_PAIRS, LISTED_SHARE = 1 << 21, 0.02
 _PAIRS_AT_ONCE = 1 << 16
 _EXACT = 2.0 ** 53
 
@@ -68,10 +68,15 @@ def statistics(matrix: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.hstack([sums / np.sqrt(lengths), np.sqrt(np.add.reduceat(centred * centred, starts, axis=1))])
 
 
+def _fits(queries: np.ndarray, vectors: np.ndarray) -> bool:
+    """Whether floats hold every partial sum of the inner products exactly."""
+    return np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(queries.shape[1], 1) < _EXACT
+
+
 def exact(queries: np.ndarray, vectors: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
     """Whole-numbered inner products of listed pairs; beyond the range of a long, its nearest value."""
     out = np.empty(len(qi), np.int64)
-    fits = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(queries.shape[1], 1) < _EXACT
+    fits = _fits(queries, vectors)
     low, high = -(1 << 63), (1 << 63) - 1
     for at in range(0, len(qi), _PAIRS_AT_ONCE):
         part = slice(at, at + _PAIRS_AT_ONCE)
@@ -127,6 +132,10 @@ def search_tile(queries: np.ndarray, vectors: np.ndarray, floors: np.ndarray, ow
         else:
             keep = bound >= (floors - slack)[qi]
             qi, vi = qi[keep], vi[keep]
+    if alive is not None and _fits(queries, vectors):    # the survivors are not few: a product of whole blocks is cheaper
+        score = np.where(alive, queries @ vectors.T, -np.inf)
+        qi, vi = np.nonzero(score >= np.where(np.isfinite(floors), floors, -_EXACT)[:, None])
+        return qi, vi, score[qi, vi].astype(np.int64)
     if alive is not None:
         qi, vi = np.nonzero(alive)
     return qi, vi, exact(queries, vectors, qi, vi)
