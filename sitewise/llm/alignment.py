@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from sitewise.llm.common import discard, documents, query, slices, small_batches, stored, stored_at, text_bytes
 from sitewise.llm.tokens import ids_of, vocabulary
 
-#: Text in a chunk, bytes of a block of row products, pairs in a range of the count table, units a worker remembers.
-CHUNK_BYTES, BLOCK_BYTES, RANGE_PAIRS, REMEMBERED = 8 << 20, 1 << 20, 50_000, 200_000
+#: Text in a chunk, bytes of a block of row products, pairs in a range of the count table, units of texts counted at once.
+CHUNK_BYTES, BLOCK_BYTES, RANGE_PAIRS, UNITS_AT_ONCE = 8 << 20, 1 << 20, 50_000, 1 << 18
+FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 _CUT = re.compile(r"(?<=\S) ")
 _ODD_SPACE = re.compile(r"\s ")
-_LONG = 64
+_TOGETHER = 256
+#: Between ids of one side, between the sides of a group, between groups, after a unit.
+_MARKS = (",", "|", ";", "\n")
 
 
 def piece_vocabulary() -> str:
@@ -105,62 +109,88 @@ class Aligned:
         self.group_links = product_sizes(tokens, groups)                    # per a token; only counted
 
 
+class Units(NamedTuple):
+    """What is known of some units, one entry each: FIGURES, the text of the groups, and in ``pairs`` a run of id pairs, ``n_links`` long.
+
+    ``sound``: whether both vocabularies give back every byte; if not, the unit has nothing else.
+    """
+
+    sound: np.ndarray
+    figures: np.ndarray
+    texts: list[str]
+    pairs: np.ndarray
+
+
 class Tokens:
-    """Both vocabularies, the bytes of their tokens, and what is known of units met before."""
+    """Both vocabularies and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a = ids_of(a_path).bpe
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes = {self.a.encode_single_token(value): value for value in self.a.token_byte_values()}
+        a_bytes = {self.a.encode_single_token(value): value for value in self.a.token_byte_values()}
+        self.a_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))]
-        self.a_lengths = np.zeros(max(self.a_bytes) + 1, np.int64)
-        self.a_lengths[list(self.a_bytes)] = [len(v) for v in self.a_bytes.values()]
-        self.b_lengths = np.array([len(v) for v in self.b_bytes], np.int64)
-        self.known: dict[str, tuple] = {}
-
-    def learn(self, units: list[str]) -> None:
-        """What to know of units, which all begin with a space not written here: (n_a, n_b, groups, links in groups, text of the groups, id pairs).
-
-        None for a unit that one of the tokenizers does not give back byte by byte.
-        """
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        todo, held = [], 0
-        for at, unit in enumerate(new):
-            todo.append(unit)
-            held += len(unit)
-            if held > BLOCK_BYTES or at + 1 == len(new):
-                self._align(todo)
-                todo, held = [], 0
-
-    def _align(self, units: list[str]) -> None:
-        a_ids = [self.a.encode_ordinary(" " + u) for u in units]
-        b_ids = self.b.encode(units, num_threads=1)
-        b_ids = [b if u else [self.b.piece_to_id("▁")] for u, b in zip(units, b_ids, strict=True)]   # a space at a text's end
-        sound = [b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == (" " + u).encode()
-                 for u, a, b in zip(units, a_ids, b_ids, strict=True)]
-        self.known.update((u, None) for u, ok in zip(units, sound, strict=True) if not ok)
-        kept = [(u, a, b) for u, a, b, ok in zip(units, a_ids, b_ids, sound, strict=True) if ok]
-        if not kept:
-            return
-        a_all, b_all = (np.concatenate([np.array(k[i], np.int64) for k in kept]) for i in (1, 2))
-        both = Aligned(self.a_lengths[a_all], self.b_lengths[b_all])
-        links = both.links
-        pairs = (np.repeat(a_all, links.row_sizes()).astype(np.uint64) << np.uint64(32)) | b_all[links.index].astype(np.uint64)
-        a_end, b_end = (np.cumsum([len(k[i]) for k in kept]) for i in (1, 2))
-        link_end, inner = links.start[a_end], np.r_[0, np.cumsum(both.group_links)][a_end]
-        group_end = both.a_group[a_end - 1] + 1
-        # the text of every group; units end groups, so a unit's text is a run of them
-        a_text, b_text = list(map(str, a_all.tolist())), list(map(str, b_all.tolist()))
-        a_cut, b_cut = (np.searchsorted(g, np.arange(len(both.group_ends) + 1)).tolist() for g in (both.a_group, both.b_group))
-        texts = [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:s])
-                 for p, q, r, s in zip(a_cut, a_cut[1:], b_cut, b_cut[1:], strict=False)]
-        a_from = b_from = g_from = l_from = i_from = 0
-        for (unit, *_), a, b, g, k, i in zip(kept, a_end.tolist(), b_end.tolist(), group_end.tolist(), link_end.tolist(), inner.tolist(), strict=True):
-            self.known[unit] = (a - a_from, b - b_from, g - g_from, i - i_from, ";".join(texts[g_from:g]), pairs[l_from:k])
-            a_from, b_from, g_from, l_from, i_from = a, b, g, k, i
+        self.a_lengths, self.b_lengths = (np.array([len(v) for v in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        # ids as they are written, with what stands between them and the next one
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = [f"{i}{mark}" for mark in _MARKS for i in range(self.width)]
+
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        a = self.a.encode_to_numpy(" " + " ".join(units), disallowed_special=()).astype(np.int64)
+        parts = [" ".join(units[i:i + _TOGETHER]) for i in range(0, len(units), _TOGETHER)]
+        b = [i for ids in self.b.encode(parts, num_threads=1) for i in ids] if units != [""] else [self.b.piece_to_id("▁")]
+        return a, np.array(b, np.int64)
+
+    def align(self, units: list[str]) -> Units:
+        """Align units, which all begin with a space not written here. Together, units must not hold or end in white space."""
+        raw = (" " + " ".join(units)).encode()
+        a, b = self._ids(units)
+        if any(b"".join(map(table.__getitem__, ids.tolist())) != raw for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            if len(units) == 1:
+                return Units(np.zeros(1, bool), np.zeros((1, len(FIGURES)), np.int64), [""], np.zeros(0, np.uint64))
+            half = len(units) // 2                       # find the units that are not sound
+            x, y = self.align(units[:half]), self.align(units[half:])
+            return Units(np.r_[x.sound, y.sound], np.vstack([x.figures, y.figures]), x.texts + y.texts, np.r_[x.pairs, y.pairs])
+        ends = np.r_[np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw)] if len(units) > 1 else np.array([len(raw)])
+        both = Aligned(self.a_lengths[a], self.b_lengths[b])
+        a_end, b_end = (np.searchsorted(np.cumsum(n[ids]), ends) + 1 for n, ids in ((self.a_lengths, a), (self.b_lengths, b)))
+        links, group_end = both.links, both.a_group[a_end - 1] + 1
+        inner = np.r_[0, np.cumsum(both.group_links)][a_end]
+        figures = np.diff(np.vstack([np.zeros(len(FIGURES), np.int64), np.stack([a_end, b_end, group_end, links.start[a_end], inner], axis=1)]), axis=0)
+        pairs = (np.repeat(a, links.row_sizes()).astype(np.uint64) << np.uint64(32)) | b[links.index].astype(np.uint64)
+        # the ids in writing order: by group, a before b; a mark after each
+        place = np.concatenate([2 * both.a_group, 2 * both.b_group + 1])
+        order = np.argsort(place, kind="stable")
+        place, ids = place[order], np.concatenate([a, b])[order]
+        step = np.r_[np.diff(place), 2]
+        last = np.zeros(len(both.group_ends), bool)
+        last[group_end - 1] = True
+        mark = np.where(step == 0, 0, np.where(place % 2 == 0, 1, np.where(last[place // 2], 3, 2)))
+        texts = "".join(map(self.written.__getitem__, (mark * self.width + ids).tolist())).split(_MARKS[3])[:-1]
+        return Units(np.ones(len(units), bool), figures, texts, pairs)
+
+    def learn(self, units: list[str]) -> tuple[np.ndarray, Units]:
+        """(place of each unit in the result, what is known of them); plain units are aligned together, block by block."""
+        odd = [i for i, u in enumerate(units) if not u or u[-1].isspace() or " " in u or len(u) > BLOCK_BYTES]
+        away = set(odd)
+        plain = [i for i in range(len(units)) if i not in away] if odd else range(len(units))
+        parts, run, held = [], [], 0
+        for i in plain:
+            run.append(units[i])
+            held += len(units[i])
+            if held > BLOCK_BYTES // 4:
+                parts.append(self.align(run))
+                run, held = [], 0
+        if run:
+            parts.append(self.align(run))
+        parts += [self.align([units[i]]) for i in odd]
+        rank = np.empty(len(units), np.int64)
+        rank[np.r_[np.array(plain, np.int64), np.array(odd, np.int64)]] = np.arange(len(units))
+        if not parts:
+            return rank, Units(np.zeros(0, bool), np.zeros((0, len(FIGURES)), np.int64), [], np.zeros(0, np.uint64))
+        return rank, Units(np.concatenate([p.sound for p in parts]), np.vstack([p.figures for p in parts]),
+                           [t for p in parts for t in p.texts], np.concatenate([p.pairs for p in parts]))
 
 
 def units(text: str) -> list[str]:
@@ -179,21 +209,12 @@ def tokens_of(a_path: str, b_path: str) -> Tokens:
     return _LOADED[a_path, b_path]
 
 
-FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 #: A chunk of texts. ``keys``: its distinct id pairs, sorted; ``times``: in how many of its texts each is linked;
 #: ``unit_at``: per unit a run of places in ``keys`` (sizes ``unit_sizes``); ``text_at``: per text a run of units.
 CHUNK = ("chunk long, ids array<long>, " + ", ".join(f"{c} array<long>" for c in FIGURES) + ", groups_sha256 array<string>, "
          "keys binary, times binary, unit_sizes binary, unit_at binary, text_sizes binary, text_at binary")
 
 
-def _distinct(sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The index entries that are the first of their value within their run."""
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((index, run))
-    first = np.r_[True, (run[order][1:] != run[order][:-1]) | (index[order][1:] != index[order][:-1])] if len(index) else np.zeros(0, bool)
-    return order[first]
-
-
 def _runs(sizes: np.ndarray, index: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs named by ``of``, one after the other: (their sizes, their entries)."""
     start = np.cumsum(sizes) - sizes
@@ -208,50 +229,44 @@ def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         tokens = tokens_of(a_path, b_path)
         number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", CHUNK_BYTES):
-            split = []
+            place: dict[str, int] = {}
+            at = []
             for raw in batch.column("text").to_pylist():
                 try:
-                    split.append(units(raw.decode()) if raw else [])
+                    each = units(raw.decode()) if raw else []
                 except UnicodeDecodeError:
-                    split.append([])
-            place: dict[str, int] = {}
-            at = [np.array([place.setdefault(u, len(place)) for u in each], np.int32) for each in split]
-            del split
-            names = list(place)
-            tokens.learn(names)
-            found = [tokens.known[u] for u in names]
-            for u in names:
-                if len(u) > _LONG:
-                    del tokens.known[u]                                     # long units do not come back
-            broken = np.array([f is None for f in found], bool)
-            at = [x if not (len(x) and broken[x].any()) else x[:0] for x in at]
-            nothing = (0, 0, 0, 0, "", np.zeros(0, np.uint64))
-            found = [f or nothing for f in found]
-            del names, place
-            per_unit = np.array([(*f[:3], len(f[5]), f[3]) for f in found], np.int64).reshape(-1, 5)
-            unit_sizes = per_unit[:, 3]
-            keys, unit_at = np.unique(np.concatenate([f[5] for f in found] + [nothing[5]]), return_inverse=True)
+                    each = []
+                at.append(np.array([place.setdefault(u, len(place)) for u in each], np.int32))
+            rank, found = tokens.learn(list(place))
+            del place
+            at = [rank[x].astype(np.int32) for x in at]
+            if not found.sound.all():
+                at = [x if found.sound[x].all() else x[:0] for x in at]
+            unit_sizes = found.figures[:, 3]
+            keys, unit_at = np.unique(found.pairs, return_inverse=True)
+            unit_at = unit_at.astype(np.int32)
             text_sizes = np.array([len(x) for x in at], np.int64)
             text_at = np.concatenate([*at, np.zeros(0, np.int32)])
             starts = np.r_[0, np.cumsum(text_sizes)]
-            sums = np.vstack([np.zeros((1, 5), np.int64), np.cumsum(per_unit[text_at], axis=0)])
-            figures = sums[starts[1:]] - sums[starts[:-1]]
+            figures = {}
+            for i, name in enumerate(FIGURES):
+                sums = np.r_[0, np.cumsum(found.figures[:, i][text_at])]
+                figures[name] = sums[starts[1:]] - sums[starts[:-1]]
             # a pair counts once for a text: distinct units of texts first, then the distinct pairs of those
             times = np.zeros(len(keys), np.int64)
             low = 0
-            while low < len(at):                                            # some texts at a time, by their units
-                high = max(low + 1, int(np.searchsorted(starts, starts[low] + (1 << 18), "right")) - 1)
-                own, part = text_sizes[low:high], text_at[starts[low]:starts[high]]
-                kept = np.sort(_distinct(own, part))
-                text_of = np.repeat(np.arange(high - low), own)[kept]
-                n, entries = _runs(unit_sizes, unit_at, part[kept])
-                key_text = np.repeat(text_of, n) * max(len(keys), 1) + entries
-                times += np.bincount(np.unique(key_text) % max(len(keys), 1), minlength=len(keys))[:len(keys)]
+            while low < len(at):
+                high = max(low + 1, int(np.searchsorted(starts, starts[low] + UNITS_AT_ONCE, "right")) - 1)
+                of = np.repeat(np.arange(high - low), text_sizes[low:high])
+                kept = np.unique(of * len(rank) + text_at[starts[low]:starts[high]])
+                n, entries = _runs(unit_sizes, unit_at, kept % max(len(rank), 1))
+                linked = np.unique(np.repeat(kept // max(len(rank), 1), n) * max(len(keys), 1) + entries)
+                times += np.bincount(linked % max(len(keys), 1), minlength=len(keys))[:len(keys)]
                 low = high
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array([number], pa.int64()), "ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                **{c: pa.array([figures[:, i].tolist()], pa.list_(pa.int64())) for i, c in enumerate(FIGURES)},
-                "groups_sha256": pa.array([[hashlib.sha256(";".join([found[u][4] for u in x.tolist()]).encode()).hexdigest() if len(x) else ""
+                **{c: pa.array([v.tolist()], pa.list_(pa.int64())) for c, v in figures.items()},
+                "groups_sha256": pa.array([[hashlib.sha256(";".join([found.texts[u] for u in x.tolist()]).encode()).hexdigest() if len(x) else ""
                                             for x in at]], pa.list_(pa.string())),
                 **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (
                     ("keys", keys), ("times", times.astype("<u4")), ("unit_sizes", unit_sizes.astype("<u4")), ("unit_at", unit_at.astype("<u4")),

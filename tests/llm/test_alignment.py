@@ -70,6 +70,7 @@ def test_equals_brute_force(spark, monkeypatch, size, pairs):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", size)
     monkeypatch.setattr(alignment, "RANGE_PAIRS", pairs)
     monkeypatch.setattr(alignment, "BLOCK_BYTES", size)
+    monkeypatch.setattr(alignment, "UNITS_AT_ONCE", size)
     got = alignment.align_documents(spark.createDataFrame(rows(), small.SCHEMA).repartition(3))
     assert order(tuple(r) for r in got.collect()) == order(brute(rows()))
 
@@ -107,5 +108,8 @@ def test_products_equal_dense():
 def test_a_long_text():
     text = " ".join(small.words(random.Random(1), 400_000, small.LETTERS["en"]))
     both = alignment.tokens_of(tokens.vocabulary(), alignment.piece_vocabulary())
-    both.learn(sorted(set(alignment.units(text))) + ["q" * 300_000])
-    assert both.known["q" * 300_000][2] >= 1
+    cut = [*sorted(set(alignment.units(text))), "q" * 300_000, "x  y"]
+    rank, found = both.learn(cut)
+    assert found.sound.all() and len(found.texts) == len(found.figures) == len(cut) and found.figures[:, 3].sum() == len(found.pairs)
+    alone = both.align(["x  y"])
+    assert found.texts[rank[-1]] == alone.texts[0] and (found.figures[rank[-1]] == alone.figures[0]).all()
