@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import half_even, hash_hex, js_divergence
 from sitewise.operators.joins import lookup_join, salted_join
 from sitewise.operators.ordered import exact_quantiles, hash_rank, running_totals
+from sitewise.session import store
 
 SPLITS = ("train", "val", "test")
 
@@ -49,24 +50,25 @@ def shuffled(cohort: DataFrame, column: str, min_size: int = 500, seed: int = 42
     cumulative client sizes (largest client first). Every client is within one
     patient of its size; patients beyond the last cut belong to no client.
     """
-    sizes = client_sizes(cohort, column, min_size)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), column)   # one row per client
-    targets = sizes.select(F.col(column).alias("client"), (F.sum("n").over(w) - F.col("n")).alias("_at"),
-                           F.sum("n").over(w).alias("_stop"), F.row_number().over(w).cast("long").alias("_i"))
+    # clients from large to small, each from where the ones before it end: a prefix sum, as there may be many
+    sizes = client_sizes(cohort, column, min_size).select(F.struct((-F.col("n")).alias("d"), F.col(column).alias("client")).alias("_o"), "n")
+    targets = store(running_totals(sizes, "_o", {"n": F.col("n")}, index="_p").select(
+        F.col("_o.client").alias("client"), F.col("n_before").alias("_at"), (F.col("n_before") + F.col("n")).alias("_stop"),
+        (F.col("_p") + 1).alias("_i")), "client-targets")
 
     patients = cohort.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_stays"))
     # sort value: 32 hex digits, a dash, the patient's own key
     order = patients.withColumn("_h", F.concat_ws("-", hash_hex(seed, "subject_id"),
                                                   F.col("subject_id").cast("string")))
     laid = running_totals(order, "_h", {"n_stays": F.col("n_stays")})
-    at = laid.select(F.substr("_h", F.lit(34)).alias("_key"), F.col("n_stays_before").alias("_at"))
+    at = store(laid.select(F.substr("_h", F.lit(34)).alias("_subject"), F.col("n_stays_before").alias("_at")), "client-line")
     # the client at a place is the last that starts at or before it: their number is a prefix sum along the line
     line = at.select("_at", F.lit(0).alias("_m")).union(targets.select("_at", F.lit(1)))
     upto = running_totals(line, "_at", {"_m": F.col("_m")}).select("_at", (F.col("_m_before") + F.col("_m")).alias("_i"))
     placed = (at.join(upto, "_at").join(targets.select("_i", "_stop", "client"), "_i")
-              .where(F.col("_at") < F.col("_stop")).select("_key", "client"))
-    keyed = cohort.withColumn("_key", F.col("subject_id").cast("string"))
-    return salted_join(keyed, placed, ["_key"], ["stay_id"], salts=4).drop("_key")
+              .where(F.col("_at") < F.col("_stop")).select("_subject", "client"))
+    keyed = cohort.withColumn("_subject", F.col("subject_id").cast("string"))
+    return salted_join(keyed, placed, ["_subject"], ["stay_id"]).drop("_subject")
 
 
 def dirichlet_shares(labels: Sequence[int], n_clients: int, alpha: float,
@@ -119,7 +121,7 @@ def grouped_split(assigned: DataFrame, test: float = 0.15, val: float = 0.15, se
     n_test = half_even(F.col("_n") * F.lit(test))
     n_val = half_even(F.col("_n") * F.lit(val))
     placed = ranked.select("client", group, _split_at(F.col("_rank"), n_test, n_val).alias("split"))
-    return salted_join(assigned, placed, ["client", group], [key], salts=4)
+    return salted_join(assigned, placed, ["client", group], [key])
 
 
 def row_split(assigned: DataFrame, test: float = 0.15, val: float = 0.15, seed: int = 42,

@@ -55,7 +55,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     centred = F.col("rank") - (F.col("n_total") + F.lit(1.0)) / 2.0
     rx = midranks(rows, x, by).select(*by, x, centred.alias("_rx"))
     ry = midranks(rows, y, by).select(*by, y, centred.alias("_ry"))
-    r = salted_join(salted_join(pairs, rx, [*by, x], [y], salts=4), ry, [*by, y], [x], salts=4)
+    r = salted_join(salted_join(pairs, rx, [*by, x], [y], measure=rows), ry, [*by, y], [x], measure=rows)
     c, a, b = F.col("c"), F.col("_rx"), F.col("_ry")
     n_of = r.groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb"),
                               F.sum(c * a * b).alias("ab"))

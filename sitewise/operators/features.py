@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import contains_flag, equals_flag
-from sitewise.operators.joins import history_totals, prefix_hits, salted_join
+from sitewise.operators.joins import history_totals, rule_frame
+from sitewise.session import store
 
 STATS = ("v_min", "v_max", "v_mean", "v_count")
 
@@ -33,20 +34,26 @@ def wide_features(events: DataFrame, features: Sequence[str]) -> DataFrame:
 def static_features(cohort: DataFrame, extra: DataFrame | None = None,
                     emergency: str = "EMER") -> DataFrame:
     """age, gender_m, admission_emergency, plus optional per-stay scores."""
-    out = cohort.select("stay_id", F.col("age").cast("double").alias("age"),
-                        equals_flag("gender", "M").alias("gender_m"),
-                        contains_flag("admission_type", emergency).alias("admission_emergency"))
+    out = cohort.select("stay_id", *_static(emergency))
     return out if extra is None else out.join(extra, "stay_id", "left")
 
 
+def _static(emergency: str) -> list[Column]:
+    return [F.col("age").cast("double").alias("age"), equals_flag("gender", "M").alias("gender_m"),
+            contains_flag("admission_type", emergency).alias("admission_emergency")]
+
+
 def feature_table(cohort: DataFrame, events: DataFrame, features: Sequence[str],
                   comorbidities: DataFrame | None = None, extra: DataFrame | None = None,
                   emergency: str = "EMER") -> DataFrame:
-    """Cohort, static flags, wide aggregates and code history side by side, raw scale."""
-    out = (cohort.select("stay_id", "subject_id", "label")
-           .join(static_features(cohort, extra, emergency), "stay_id")
-           .join(wide_features(events, features), "stay_id", "left"))
-    return out if comorbidities is None else out.join(comorbidities, "stay_id", "left")
+    """Cohort, static flags, wide aggregates and code history side by side, raw scale.
+
+    Static flags are columns of the cohort's rows; every other part arrives laid out by stay.
+    """
+    out = cohort.select("stay_id", "subject_id", "label", *_static(emergency))
+    for part in (extra, wide_features(events, features), comorbidities):
+        out = out if part is None else out.join(part, "stay_id", "left")
+    return out
 
 
 # --- code history ---------------------------------------------------------------
@@ -58,9 +65,24 @@ def _weights(rules: Rules) -> dict[str, int]:
     return {c: w for c, w, _, _ in rules}
 
 
-def _flags(hits: DataFrame, key: str, rules: Rules) -> DataFrame:
-    return hits.groupBy(key).agg(*[
-        F.max((F.col("condition") == c).cast("int")).alias(c) for c in _weights(rules)])
+def code_counts(dx: DataFrame, rules: Rules, key: str = "hadm_id", code: str = "icd_code",
+                version: str = "icd_version") -> DataFrame:
+    """One row per ``key``: number of codes ``n_dx``, and 0/1 for every condition that one of them stands for.
+
+    A code is cut to the few prefix lengths that occur and looked up in the broadcast table of prefixes. Counts
+    and flags are one aggregation, combined before the shuffle, so a key with very many codes is one row per task.
+    """
+    meant: dict[tuple[int, str], list[str]] = {}
+    for condition, _, v, prefix in rules:
+        meant.setdefault((v, prefix), []).append(condition)
+    table = rule_frame(dx.sparkSession, [(v, p, c) for (v, p), c in meant.items()], "_version int, _prefix string, _means array<string>")
+    lengths = sorted({len(p) for _, p in meant})
+    clean = F.upper(F.trim(F.col(code)))
+    cuts = F.array_distinct(F.array(*[F.substring(clean, 1, n) for n in lengths])) if lengths else F.array(clean)
+    cut = dx.select(key, F.col(version).cast("int").alias("_version"), F.posexplode(cuts).alias("_at", "_prefix"))
+    flag = {c: F.coalesce(F.max(F.array_contains("_means", c).cast("int")), F.lit(0)) for c in _weights(rules)}
+    return (cut.join(table, ["_version", "_prefix"], "left").where(F.col(key).isNotNull())
+            .groupBy(key).agg(F.count_if(F.col("_at") == 0).alias("n_dx"), *[v.alias(c) for c, v in flag.items()]))
 
 
 def _scored(frame: DataFrame, rules: Rules, tag: str) -> DataFrame:
@@ -81,11 +103,7 @@ def current_comorbidities(dx: DataFrame, cohort: DataFrame, rules: Rules, tag: s
     These codes are assigned at discharge: fine for description, a leak for prediction.
     dx: hadm_id, icd_code, icd_version.
     """
-    mine = salted_join(dx, cohort.select("hadm_id", "stay_id"), ["hadm_id"], ["icd_code", "icd_version"])
-    counts = mine.groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_dx"))
-    flags = _flags(prefix_hits(mine, rules), "stay_id", rules)
-    return _scored(cohort.select("stay_id").join(counts, "stay_id", "left")
-                   .join(flags, "stay_id", "left"), rules, tag)
+    return _current(code_counts(dx, rules), cohort, rules, tag)
 
 
 def prior_comorbidities(dx: DataFrame, admissions: DataFrame, cohort: DataFrame, rules: Rules,
@@ -96,24 +114,26 @@ def prior_comorbidities(dx: DataFrame, admissions: DataFrame, cohort: DataFrame,
     then a running total along time, so a patient with very many admissions does
     not produce admission x stay pairs.
     """
-    counts = dx.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("n_dx"))
-    flags = _flags(prefix_hits(dx, rules, keep=("hadm_id",)), "hadm_id", rules)
-    names = ["n_dx", *_weights(rules)]
-    history = (admissions.select("subject_id", "hadm_id", "dischtime")
-               .join(counts, "hadm_id").join(flags, "hadm_id", "left")
-               .where(F.col("dischtime").isNotNull()).fillna(0, subset=names))
-    before = history_totals(history, cohort, "subject_id", "dischtime", "intime",
-                            {k: F.col(k) for k in names}, "hadm_id", "stay_id")
-    seen = before.select("stay_id", "n_dx",
-                         *[(F.col(c) > 0).cast("int").alias(c) for c in _weights(rules)])
-    return _scored(cohort.select("stay_id").join(seen, "stay_id", "left"), rules, tag)
+    return _prior(code_counts(dx, rules), admissions, cohort, rules, tag)
 
 
 def both_comorbidities(dx: DataFrame, admissions: DataFrame, cohort: DataFrame,
                        rules: Rules) -> DataFrame:
-    """Prior and current variants side by side: cci_prior_*, cci_curr_*, ..."""
-    return prior_comorbidities(dx, admissions, cohort, rules, "prior").join(
-        current_comorbidities(dx, cohort, rules, "curr"), "stay_id", "full")
+    """Prior and current variants side by side: cci_prior_*, cci_curr_*, ...; the codes are read once."""
+    counts = store(code_counts(dx, rules), "admission-codes")
+    return _prior(counts, admissions, cohort, rules, "prior").join(_current(counts, cohort, rules, "curr"), "stay_id")
+
+
+def _current(counts: DataFrame, cohort: DataFrame, rules: Rules, tag: str) -> DataFrame:
+    return _scored(cohort.select("stay_id", "hadm_id").join(counts, "hadm_id", "left"), rules, tag)
+
+
+def _prior(counts: DataFrame, admissions: DataFrame, cohort: DataFrame, rules: Rules, tag: str) -> DataFrame:
+    names = ["n_dx", *_weights(rules)]
+    history = admissions.select("subject_id", "hadm_id", "dischtime").join(counts, "hadm_id")
+    before = history_totals(history, cohort, "subject_id", "dischtime", "intime", {k: F.col(k) for k in names}, "hadm_id", "stay_id")
+    seen = before.select("stay_id", "n_dx", *[(F.col(c) > 0).cast("int").alias(c) for c in _weights(rules)])
+    return _scored(seen, rules, tag)
 
 
 # --- columns ----------------------------------------------------------------------

@@ -163,8 +163,8 @@ def delong(pred: DataFrame, p1: str = "p1", p2: str = "p2", y: str = "y") -> Dat
             (1.0 - (F.col("pos_before") + F.col("pos") / 2.0) / F.col("pos_total")).alias(f"_neg_{name}"))
 
     pairs = pred.groupBy(y, p1, p2).agg(F.count(F.lit(1)).alias("c"))
-    both = salted_join(pairs, placements(p1, "a"), [p1], [p2, y], salts=4)
-    both = salted_join(both, placements(p2, "b"), [p2], [p1, y], salts=4)
+    both = salted_join(pairs, placements(p1, "a"), [p1], [p2, y], measure=pred)
+    both = salted_join(both, placements(p2, "b"), [p2], [p1, y], measure=pred)
     v = {k: F.when(F.col(y) == 1, F.col(f"_pos_{k}")).otherwise(F.col(f"_neg_{k}")) for k in "ab"}
     c, a, b = F.col("c"), v["a"], v["b"]
     m = both.groupBy(y).agg(F.sum(c).alias("n"), *[F.sum(c * x).alias(k) for k, x in (

@@ -154,17 +154,12 @@ def event_window_join(spark, sf):
     FROM fx_raw r JOIN fx_sess s ON r.user_id = s.subject_id
     WHERE r.charttime >= s.intime AND r.charttime < s.intime + INTERVAL 6 HOUR GROUP BY ALL""")
 def event_window_join_alt(spark, sf):
-    sess = fx.sessions(spark, sf).withColumnRenamed("subject_id", "user_id")
-    # the key (a user) has many sessions, so the day the window covers joins too
-    ev = fx.raw_events(spark, sf).select("user_id", "charttime", "value",
-                                         F.to_date("charttime").alias("day"))
-    w = sess.withColumn("day", F.explode(F.sequence(
-        F.to_date("intime"), F.to_date(S.plus_hours("intime", 6)))))
-    hit = joins.salted_join(ev, w.select("user_id", "day", "stay_id", "intime"),
-                            ["user_id", "day"], ["charttime"])
-    return (hit.where(S.in_window("charttime", "intime", 6))
-            .groupBy("stay_id", F.col("user_id").alias("subject_id"))
-            .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")))
+    sess = fx.sessions(spark, sf)
+    ev = fx.raw_events(spark, sf).withColumnRenamed("user_id", "subject_id")
+    # a user has many sessions: the join is on a key that is not unique
+    hit = joins.window_join(ev, sess.select("subject_id", "stay_id", "intime"), "subject_id", "charttime", 6,
+                            keep=["subject_id", "value"])
+    return hit.groupBy("stay_id", "subject_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("offset_events", """

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_hex
-from sitewise.operators.joins import history_totals, prefix_hits, salted_join
+from sitewise.operators import joins
+from sitewise.operators.joins import heavy_keys, history_totals, lookup_join, prefix_hits, salted_join, window_join
 from sitewise.operators.ordered import exact_quantiles, hash_rank, midranks, running_totals, with_position
 
 
@@ -84,8 +85,82 @@ def test_salted_join_keeps_every_row_once(skewed, spark):
     assert left.count() == df.count() == left.select("id").distinct().count()
 
 
-def test_history_totals_equal_the_pairs(spark):
+def test_only_heavy_keys_are_copied(spark):
+    """A key with a third of all rows spreads by its share of 64 tasks; every other key is sent once."""
+    df = spark.range(90_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).cast("int").alias("g"))
+    heavy = heavy_keys(df, ["g"], 64).collect()
+    assert len(heavy) == 1 and 21 <= heavy[0]["_shares"] <= 23
+    dim = spark.range(-1, 5000).select(F.col("id").alias("g"), (F.col("id") * 2).alias("d"))      # a key of another type
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(was, ("64", "-1", "false")):
+            spark.conf.set(k, v)
+        joined = salted_join(df, dim, ["g"], ["id"]).withColumn("part", F.spark_partition_id())
+        assert joined.where(F.col("d") == F.col("g") * 2).count() == df.count() == joined.count()
+        tasks = joined.where("g = -1").groupBy("part").count().toPandas()["count"]
+        assert len(tasks) > 12 and tasks.max() < 30_000 / 4
+        assert joined.where("g >= 0").groupBy("g").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_lookup_join_by_size(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 7).alias("g"))
+    dim = spark.range(6).select(F.col("id").alias("g"), (F.col("id") * 10).alias("d"))
+    want = sorted((i, i % 7, i % 7 * 10 if i % 7 < 6 else None) for i in range(2000))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit, broadcast in ((was, True), ("-1", False)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            joined = lookup_join(df, dim, ["g"], ["id"], "left").select("id", "g", "d")
+            assert sorted(tuple(r) for r in joined.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_window_join_meets_only_what_is_near(spark):
+    """One key with 10,000 entities and 10,000 events: the join's rows stay a small multiple of both."""
+    at = F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id") * 3600).cast("timestamp_ntz")
+    cohort = spark.range(10_000).select(F.col("id").alias("stay_id"), F.lit(1).alias("k"), at.alias("intime"))
+    events = spark.range(10_000).select(F.lit(1).alias("k"), (at + F.expr("interval 30 minutes")).alias("charttime"), F.col("id").alias("value"))
+    got = window_join(events, cohort, "k", "charttime", 2, keep=["value"])
+    assert got.count() == 2 * 10_000 - 1
+    assert got.where(~F.col("hours_in").isin(0.5, 1.5)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan()
+    rows = []
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            metric = node.metrics().get("numOutputRows")
+            rows.append(metric.get().value() if metric.isDefined() else 0)
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert rows and max(rows) <= 60_000
+
+
+@pytest.mark.parametrize("hours", [1, 5])
+def test_window_join_equals_pairs(spark, hours):
+    rng = np.random.default_rng(hours)
+    base = pd.Timestamp("1969-12-31 20:00:00")
+    c = pd.DataFrame({"stay_id": range(60), "k": rng.integers(0, 4, 60), "intime": base + pd.to_timedelta(rng.integers(0, 40_000, 60), "s")})
+    e = pd.DataFrame({"k": rng.integers(0, 5, 400), "charttime": base + pd.to_timedelta(rng.integers(0, 60_000_000, 400), "ms"), "value": range(400)})
+    got = window_join(spark.createDataFrame(e), spark.createDataFrame(c), "k", "charttime", hours, keep=["value"]).toPandas()
+    pairs = c.merge(e, on="k")
+    pairs = pairs[(pairs.charttime >= pairs.intime) & (pairs.charttime < pairs.intime + pd.Timedelta(hours=hours))]
+    assert sorted(zip(got.stay_id, got.value)) == sorted(zip(pairs.stay_id, pairs.value)) and len(pairs)
+
+
+@pytest.mark.parametrize("ranges", [64, 2])
+def test_history_totals_equal_the_pairs(spark, monkeypatch, ranges):
     """A patient with most of the history; equal times; own admission ended before the stay."""
+    monkeypatch.setattr(joins, "HEAVY_RANGES", ranges)
     rng = np.random.default_rng(1)
     h = pd.DataFrame({"s": np.where(rng.random(400) < .6, 0, rng.integers(0, 6, 400)), "h": range(400),
                       "t": rng.integers(0, 50, 400), "k": rng.integers(0, 3, 400)})
