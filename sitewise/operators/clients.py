@@ -188,9 +188,13 @@ def table_one(assigned: DataFrame, medians: Mapping[str, int], shares: Mapping[s
         F.count(F.lit(1)).alias("n"),
         *[F.sum(cond.cast("int")).alias(f"_{k}") for k, cond in shares.items()])
     cols = [F.col("grp"), F.col("n")]
+    if medians:
+        # all columns at once: a row for each (column, value), quartiles per group and column in one pass
+        values = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in medians])
+        q = exact_quantiles(groups.select("grp", F.inline(values)), "_x", {"_1": .25, "_2": .5, "_3": .75}, ["grp", "_column"])
+        out = out.join(q.groupBy("grp").agg(*[F.max(F.when(F.col("_column") == c, F.col(f"_{i}"))).alias(f"_{c}{i}")
+                                              for c in medians for i in (1, 2, 3)]), "grp", "left")
     for c, places in medians.items():
-        q = exact_quantiles(groups, c, {f"_{c}1": .25, f"_{c}2": .5, f"_{c}3": .75}, ["grp"])
-        out = out.join(q, "grp", "left")
         f = f"%.{places}f"
         cols.append(F.format_string(f"{f} ({f}-{f})", *[F.bround(f"_{c}{i}", places)
                                                         for i in (2, 1, 3)]).alias(c))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.pvalues import p_f, p_normal, p_t
-from sitewise.functions.scalars import hash_uniform
+from sitewise.functions.scalars import hash_hex, hash_uniform
 from sitewise.operators.joins import salted_join
 from sitewise.operators.ordered import exact_quantiles, midranks, running_totals
 
@@ -69,30 +70,35 @@ def spearman_p(corr: DataFrame) -> DataFrame:
     return corr.withColumn("p_value", p_t(F.col("t"), (F.col("n") - 2).cast("double")))
 
 
-def anova(df: DataFrame, category: str, metric: str) -> DataFrame:
-    """One-way ANOVA F with its degrees of freedom, and eta squared.
+def anova(df: DataFrame, category: str | Sequence[str], metric: str) -> DataFrame:
+    """One-way ANOVA F with its degrees of freedom, and eta squared, for one category column or several at once.
 
-    Groups of fewer than two rows count for the grand mean and total only.
+    Groups of fewer than two rows count for the grand mean and total only. Several columns are unfolded to
+    (parameter, level) and read in one pass; levels are compared as text.
     """
-    g = df.where(F.col(category).isNotNull()).groupBy(category).agg(
-        F.count(metric).alias("n"), F.avg(metric).alias("m"), F.var_pop(metric).alias("v"))
+    categories = [category] if isinstance(category, str) else list(category)
+    levels = F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(c).cast("string").alias("_level")) for c in categories])
+    g = (df.select(metric, F.inline(levels)).where(F.col("_level").isNotNull()).groupBy("parameter", "_level")
+         .agg(F.count(metric).alias("n"), F.avg(metric).alias("m"), F.var_pop(metric).alias("v")))
     total = df.agg(F.struct(F.avg(metric).alias("m"), F.count(metric).alias("n"),
                             F.var_pop(metric).alias("v")).alias("t")).scalar()
     big = F.col("n") >= 2
     n, m, v = F.col("n"), F.col("m"), F.col("v")
-    s = (g.withColumn("_t", total).agg(
+    s = (g.withColumn("_t", total).groupBy("parameter").agg(
         F.sum(F.when(big, n)).alias("nb"), F.sum(F.when(big, n * m)).alias("sm"),
         F.sum(F.when(big, n * m * m)).alias("smm"), F.sum(F.when(big, n * v)).alias("ssw"),
         F.count(F.when(big, 1)).alias("k"),
         F.sum(F.when(big, n * (m - F.col("_t.m")) * (m - F.col("_t.m")))).alias("ssb_grand"),
         F.max(F.col("_t.n") * F.col("_t.v")).alias("sst"), F.max("m").alias("hi"), F.min("m").alias("lo"),
-        F.max_by(F.col(category).cast("string"), F.struct("m", F.col(category).cast("string"))).alias("best_level")))
+        F.max_by("_level", F.struct("m", "_level")).alias("best_level")))
     k, nb = F.col("k"), F.col("nb")
     ssb = F.col("smm") - F.col("sm") * F.col("sm") / nb
     enough = k >= 2
     f = F.try_divide(ssb / (k - 1), F.col("ssw") / (nb - k))
-    return s.select(
-        F.lit(category).alias("parameter"), F.when(enough, f).alias("f_value"),
+    # a column without a level has its row too
+    every = df.sparkSession.createDataFrame([(c,) for c in categories], "parameter string")
+    return F.broadcast(every).join(s, "parameter", "left").select(
+        "parameter", F.when(enough, f).alias("f_value"),
         F.when(enough, k - 1).alias("df1"), F.when(enough, nb - k).alias("df2"),
         F.when(enough, F.try_divide(F.col("ssb_grand"), F.col("sst"))).alias("eta_squared"),
         "best_level", (F.col("hi") - F.col("lo")).alias("spread_of_means"))
@@ -105,25 +111,34 @@ def anova_p(tests: DataFrame) -> DataFrame:
 def parameter_effects(df: DataFrame, categories: Sequence[str], numerics: Sequence[str], metric: str) -> DataFrame:
     """Share of the score's variance each choice explains: eta squared for categories,
     squared rank correlation with the log for positive numbers; largest first."""
-    out = None
-    for c in categories:
-        part = anova(df, c, metric).select("parameter", "eta_squared", "best_level", "spread_of_means")
-        out = part if out is None else out.unionByName(part)
-    for c in numerics:
-        pos = df.where(F.col(c) > 0).withColumn("_log", F.log(c))
-        part = spearman(pos, "_log", metric).select(
-            F.lit(f"{c} (log)").alias("parameter"), (F.col("rho") * F.col("rho")).alias("eta_squared"),
+    out = anova(df, categories, metric).select("parameter", "eta_squared", "best_level", "spread_of_means") if categories else None
+    if numerics:
+        # all numbers in one pass: a row for each (parameter, value)
+        logs = F.array(*[F.struct(F.lit(f"{c} (log)").alias("parameter"), F.when(F.col(c) > 0, F.log(c)).alias("_log")) for c in numerics])
+        every = df.sparkSession.createDataFrame([(f"{c} (log)",) for c in numerics], "parameter string")
+        rho = spearman(df.select(metric, F.inline(logs)), "_log", metric, ["parameter"])
+        part = F.broadcast(every).join(rho, "parameter", "left").select(
+            "parameter", (F.col("rho") * F.col("rho")).alias("eta_squared"),
             F.lit(None).cast("string").alias("best_level"), F.lit(None).cast("double").alias("spread_of_means"))
         out = part if out is None else out.unionByName(part)
     return out.orderBy(F.desc_nulls_last("eta_squared"), "parameter")
 
 
 def _pairs(stats: DataFrame, arm: str, fields: Sequence[str]) -> DataFrame:
-    """All unordered pairs of arm summaries; one array holds the arms, no join is needed."""
+    """All unordered pairs (a, b) of arm summaries, a before b.
+
+    Arms fall into chunks by hash; every pair of chunks is a join key, so the pairs spread over the session's
+    shuffle width and an arm is copied once per chunk.
+    """
+    chunks = max(2, math.isqrt(2 * int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     row = F.struct(F.col(arm).alias("arm"), *fields)
-    arms = stats.agg(F.array_sort(F.collect_list(row)).alias("all"))
-    left = arms.select(F.posexplode("all").alias("i", "a"), "all")
-    return left.select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
+    parts = (stats.select(row.alias("_r"), F.pmod(F.xxhash64(arm), F.lit(chunks)).cast("int").alias("_c"))
+             .withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
+    keys = [F.least("_c", "_x").alias("_i"), F.greatest("_c", "_x").alias("_j")]
+    left = parts.select(*keys, F.col("_c").alias("_ca"), F.col("_r").alias("a"))
+    right = parts.select(*keys, F.col("_c").alias("_cb"), F.col("_r").alias("b"))
+    here = (F.least("_ca", "_cb") == F.col("_i")) & (F.greatest("_ca", "_cb") == F.col("_j"))
+    return left.join(right, ["_i", "_j"]).where(here & (F.col("a.arm") < F.col("b.arm"))).select("a", "b")
 
 
 def welch_pairs(df: DataFrame, arm: str, metric: str) -> DataFrame:
@@ -283,8 +298,6 @@ def sample_configs(ids: DataFrame, key: str, space: Mapping[str, tuple], seed: i
     ``pinned``: name -> (other name, value, default): the knob keeps its draw only
     where the other one has that value. Draws are hashes of (seed, name, id).
     """
-    import math
-
     out = ids.select(key)
     for name, spec in space.items():
         u = hash_uniform(f"{seed}-{name}", key)
@@ -314,20 +327,16 @@ def case_lists(pred: DataFrame, threshold: float, k: int = 40, seed: int = 0, ke
                y: str = "y") -> DataFrame:
     """Named lists of at most ``k`` cases each, highest risk first: (list, key, y, p).
 
-    Each list keeps its best k per task before the k best are taken overall.
+    One scan: a row enters every list it fits, and each task keeps the best k of a list before the shuffle.
     """
-    from sitewise.functions.scalars import hash_hex
-
-    hit, pos = F.col(p) >= threshold, F.col(y) == 1
-    rules = {"highest": (F.lit(True), False), "lowest": (F.lit(True), True), "died": (pos, False),
-             "survived": (~pos, False), "correct": (hit == pos, False), "missed": (~hit & pos, False),
-             "false_alarm": (hit & ~pos, False), "random": (F.lit(True), None)}
-    out = None
-    for name in CASE_LISTS:
-        cond, rising = rules[name]
-        rows = pred.where(cond)
-        order = ([hash_hex(seed, key), F.col(key)] if rising is None
-                 else [F.asc(p) if rising else F.desc(p), F.col(key)])
-        part = rows.orderBy(*order).limit(k).select(F.lit(name).alias("list"), key, y, p)
-        out = part if out is None else out.unionByName(part)
-    return out
+    hit, pos, score = F.col(p) >= threshold, F.col(y) == 1, F.col(p).cast("double")
+    always = F.lit(True)
+    # (which rows, what comes first)
+    rules = {"highest": (always, -score), "lowest": (always, score), "died": (pos, -score), "survived": (~pos, -score),
+             "correct": (hit == pos, -score), "missed": (~hit & pos, -score), "false_alarm": (hit & ~pos, -score), "random": (always, F.lit(0.0))}
+    entries = [F.when(rules[name][0], F.struct(F.lit(name).alias("list"), rules[name][1].alias("_o"))) for name in CASE_LISTS]
+    rows = (pred.select(key, y, p, F.explode(F.array_compact(F.array(*entries))).alias("_e"))
+            .select("_e.list", F.col("_e._o").alias("_o"), key, y, p)
+            .withColumn("_h", F.when(F.col("list") == "random", hash_hex(seed, key))))
+    best = Window.partitionBy("list").orderBy("_o", "_h", key)
+    return rows.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).select("list", key, y, p)

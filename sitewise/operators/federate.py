@@ -6,15 +6,19 @@ Parameter tables are long: (client, pos, value) with pos a parameter index or na
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_long, sigmoid
 from sitewise.operators.joins import lookup_join
+from sitewise.operators.keyed import key_runs, output_schema
 from sitewise.operators.ordered import hash_rank
-
+from sitewise.session import store
 
 
 # --- weights ------------------------------------------------------------------------------
@@ -145,16 +149,110 @@ def pairwise_cosine(updates: DataFrame, by: Sequence[str] = (), block: int = 102
             .select(*by, "client_a", "client_b", (F.col("_dot") / scale).alias("cosine")))
 
 
-def drift(updates: DataFrame, by: Sequence[str] = ("round",)) -> DataFrame:
-    """Per round: update norms (mean, max, ratio) and agreement between clients."""
+def mean_cosine(updates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_clients, mean_pairwise_cosine) without a pair: the squared norm of the sum of n unit vectors is n plus
+    twice the sum of all cosines. A vector of zeros has cosine 0 with every other."""
+    by = list(by)
+    norms = updates.groupBy(*by, "client").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
+    unit = lookup_join(updates, norms, [*by, "client"], ["pos"]).withColumn("_u", F.coalesce(F.try_divide("value", "_norm"), F.lit(0.0)))
+    summed = unit.groupBy(*by, "pos").agg(F.sum("_u").alias("_s")).groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("_ss"))
+    n = norms.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clients"), F.count_if(F.col("_norm") > 0).alias("_some"))
+    both = n.join(summed, by) if by else n.withColumn("_ss", summed.select("_ss").scalar())
+    pairs = F.col("n_clients") * (F.col("n_clients") - 1)
+    return both.select(*by, "n_clients", F.try_divide(F.col("_ss") - F.col("_some"), pairs).alias("mean_pairwise_cosine"))
+
+
+def agreement(updates: DataFrame, by: Sequence[str] = (), block: int = 1024, per_chunk: int = 512) -> DataFrame:
+    """(by, mean_pairwise_cosine, min_pairwise_cosine, frac_negative_cosine) over all pairs of clients.
+
+    Gram matrices by blocks: clients fall into chunks by hash, vectors into blocks of positions, and a task adds up
+    the products of two chunks over the blocks as they stream by. It returns sums of its pairs, not the pairs. All
+    clients hold the same positions.
+    """
+    by = list(by)
+    width = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = store(updates.groupBy(*by, "client", F.floor(F.col("pos") / block).alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value")))).alias("_v")), "client-blocks")
+    most = parts.groupBy(*by).agg(F.approx_count_distinct("client").alias("n")).agg(F.max("n")).first()[0] or 0
+    chunks = max(1, min(math.isqrt(2 * width), most), -(-most // per_chunk))
+    own = F.pmod(F.xxhash64("client"), F.lit(chunks)).cast("int")
+    sent = (parts.withColumn("_c", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+            .select(*by, F.least("_c", "_x").alias("_i"), F.greatest("_c", "_x").alias("_j"), "_b", "_c",
+                    F.col("client").cast("string").alias("_client"), F.transform("_v", lambda v: v["pos"]).alias("_pos"),
+                    F.transform("_v", lambda v: v["value"]).alias("_value")))
+    keys = [*by, "_i", "_j"]
+    schema, text = output_schema(sent, by, [("_n", "long"), ("_sum", "double"), ("_least", "double"), ("_below", "long")])
+
+    def lists(column: pa.ChunkedArray) -> np.ndarray:
+        lengths = {len(v) for v in column}
+        if len(lengths) > 1:
+            raise ValueError("clients hold different parameters")
+        return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(len(column), -1)
+
+    def matrices(rows: pa.Table, chunk: int) -> tuple[list, np.ndarray]:
+        some = rows.filter(pa.compute.equal(rows.column("_c"), chunk)).sort_by("_client")
+        return some.column("_client").to_pylist(), lists(some.column("_value")) if len(some) else np.zeros((0, 0))
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(key: tuple, state: dict) -> Iterator[pa.RecordBatch]:
+            *group, i, j = key
+            if state["dots"] is None:
+                return
+            cosine = state["dots"] / np.maximum(np.sqrt(np.outer(state["left"], state["right"])), 1e-12)
+            values = cosine[np.triu_indices(len(cosine), 1)] if i == j else cosine.ravel()
+            if len(values):
+                found = [*group, len(values), values.sum(), values.min(), int((values < 0).sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(found, schema, strict=True)], schema=schema)
+
+        def add(key: tuple, rows: pa.Table, state: dict) -> None:
+            *_, i, j = key
+            places = lists(rows.column("_pos"))
+            if (places != places[0]).any():
+                raise ValueError("clients hold different parameters")
+            names, left = matrices(rows, i)
+            others, right = (names, left) if i == j else matrices(rows, j)
+            if not names or not others:
+                return
+            if state["dots"] is None:
+                state.update(dots=0.0, left=0.0, right=0.0, names=(names, others))
+            elif state["names"] != (names, others):
+                raise ValueError("clients hold different parameters")
+            state["dots"] = state["dots"] + left @ right.T
+            state["left"], state["right"] = state["left"] + (left ** 2).sum(axis=1), state["right"] + (right ** 2).sum(axis=1)
+
+        now, state, held, at = None, {}, [], None
+        for key, goes_on, rows in key_runs(batches, [*keys, "_b"]):
+            *key, b = key
+            if held and not goes_on:
+                add(now, pa.Table.from_batches(held), state)
+                held = []
+            if tuple(key) != now:
+                if now is not None:
+                    yield from close(now, state)
+                now, state = tuple(key), {"dots": None}
+            held.append(rows)
+        if held:
+            add(now, pa.Table.from_batches(held), state)
+        if now is not None:
+            yield from close(now, state)
+
+    found = sent.repartition(*keys).sortWithinPartitions(*keys, "_b").mapInArrow(gram, text)
+    return found.groupBy(*by).agg((F.sum("_sum") / F.sum("_n")).alias("mean_pairwise_cosine"), F.min("_least").alias("min_pairwise_cosine"),
+                                  (F.sum("_below") / F.sum("_n")).alias("frac_negative_cosine"))
+
+
+def drift(updates: DataFrame, by: Sequence[str] = ("round",), pairs: bool = True) -> DataFrame:
+    """Per round: update norms (mean, max, ratio) and agreement between clients.
+
+    The smallest cosine and the share of negative ones need every pair of clients; without ``pairs`` only the mean
+    cosine is given, at a cost that follows the number of parameters.
+    """
     by = list(by)
     norms = updates.groupBy(*by, "client").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     n = norms.groupBy(*by).agg(
         F.avg("norm").alias("mean_update_norm"), F.max("norm").alias("max_update_norm"),
         (F.max("norm") / F.greatest(F.min("norm"), F.lit(1e-12))).alias("norm_ratio_max_min"))
-    c = pairwise_cosine(updates, by).groupBy(*by).agg(
-        F.avg("cosine").alias("mean_pairwise_cosine"), F.min("cosine").alias("min_pairwise_cosine"),
-        F.avg((F.col("cosine") < 0).cast("double")).alias("frac_negative_cosine"))
+    c = agreement(updates, by) if pairs else mean_cosine(updates, by).drop("n_clients")
     return n.join(c, by, "left")
 
 

@@ -62,20 +62,21 @@ def salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequ
     return f.join(d, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(rows: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "inner") -> DataFrame:
-    """Join rows to an aggregated table (per site, per class) without moving the rows if it is small.
-
-    The table is written once, so that Spark knows its size in bytes: below the session's broadcast limit it is
-    broadcast and a site with most of the rows is never gathered; beyond it the join is salted where measured.
-    """
-    spark = rows.sparkSession
-    known = store(dim, "lookup")
+def join_by_size(rows: DataFrame, known: DataFrame, on: Sequence[str], spread: Sequence[str],
+                 how: str = "inner") -> DataFrame:
+    """Join rows to a stored table. Spark knows its size in bytes: below the session's broadcast limit it is broadcast
+    and a key with most of the rows is never gathered; beyond it the join is salted where measured."""
     size = int(str(known._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    limit = int(rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
     return rows.join(known, list(on), how) if size <= limit else salted_join(rows, known, on, spread, how)
 
 
+def lookup_join(rows: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    """Join rows to an aggregated table (per site, per class), written once so that its size is known."""
+    return join_by_size(rows, store(dim, "lookup"), on, spread, how)
+
+
 def _bucket(ts: Column, hours: int) -> Column:
     """Number of the stretch of ``hours`` that a moment is in."""
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

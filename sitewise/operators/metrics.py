@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import logit, ratio
-from sitewise.operators.joins import lookup_join, rule_frame
+from sitewise.operators.joins import join_by_size, lookup_join
 from sitewise.operators.ordered import exact_quantiles, hash_rank, running_totals, with_position
+from sitewise.session import store
 
 FEW_EVENTS = 15
 
@@ -294,61 +295,43 @@ def fit_logistic(points: DataFrame, z: str = "z", y: str = "y", by: Sequence[str
                  rounds: int = 40, tol: float = 1e-10) -> DataFrame:
     """sigmoid(a * z + b) fitted per group by Newton steps: (by, slope, intercept).
 
-    Rows are first merged to distinct (group, z) counts. Each step is one
-    aggregation for all groups together; the driver keeps two numbers per group.
-    Groups with one class, and those that still move after ``rounds``, get nulls.
+    Rows are first merged to distinct (group, z) counts. The groups' states are a table: each step joins it to the
+    counts, sums once for all groups together and writes the next states; converged groups leave. The driver sees
+    one number per step, how many groups still move. Groups with one class or one score, and those that still
+    move after ``rounds``, get nulls.
     """
-    by = list(by)
-    merged = (points.groupBy(*by, F.col(z).alias("_z"))
-              .agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_y")).persist())
-    spark = points.sparkSession
-    kinds = dict(points.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["_a double", "_c double"])
-    out_schema = schema.replace("_a double, _c double", "slope double, intercept double")
-    try:
-        sizes = merged.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_y").alias("k"),
-                                        F.max("_z").alias("hi"), F.min("_z").alias("lo")).collect()
-        key = (lambda r: tuple(r[c] for c in by))
-        usable = {key(r) for r in sizes if r["n"] and 0 < r["k"] < r["n"] and r["hi"] > r["lo"]}
-        at = {k: (1.0, 0.0) for k in usable}
-        moving = set(usable)
-        for _ in range(rounds):
-            if not moving:
-                break
-            if by:
-                now = rule_frame(spark, [(*k, *at[k]) for k in moving], schema)
-                step = merged.join(now, by)
-            else:
-                a, c = at[()]
-                step = merged.withColumn("_a", F.lit(a)).withColumn("_c", F.lit(c))
-            zc = F.col("_z")
-            prob = 1.0 / (1.0 + F.exp(-(F.col("_a") * zc + F.col("_c"))))
-            err, curv = F.col("_y") - F.col("_n") * prob, F.col("_n") * prob * (1.0 - prob)
-            sums = step.groupBy(*by).agg(
-                F.sum(err * zc).alias("ga"), F.sum(err).alias("gb"), F.sum(curv * zc * zc).alias("haa"),
-                F.sum(curv * zc).alias("hab"), F.sum(curv).alias("hbb")).collect()
-            for r in sums:
-                k = key(r)
-                a, c = at[k]
-                ga, haa = r["ga"] - ridge * a, r["haa"] + ridge
-                det = haa * r["hbb"] - r["hab"] ** 2
-                if not det > 0:
-                    moving.discard(k)
-                    del at[k]
-                    continue
-                da = (r["hbb"] * ga - r["hab"] * r["gb"]) / det
-                dc = (haa * r["gb"] - r["hab"] * ga) / det
-                size = max(abs(da), abs(dc))
-                scale = min(1.0, 5.0 / size) if size > 0 else 1.0   # long steps are shortened
-                at[k] = (a + scale * da, c + scale * dc)
-                if size < tol:
-                    moving.discard(k)
-    finally:
-        merged.unpersist()
-    for k in moving:        # not converged
-        at.pop(k, None)
-    rows = [(*key(r), *at.get(key(r), (None, None))) for r in sizes]
-    return rule_frame(spark, rows, out_schema)
+    whole = not by
+    by = ["_all"] if whole else list(by)
+    if whole:
+        points = points.withColumn("_all", F.lit(0))
+    merged = store(points.where(F.col(z).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(z).alias("_z"))
+                   .agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_y")), "logistic-counts")
+    sizes = merged.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_y").alias("k"), F.max("_z").alias("hi"), F.min("_z").alias("lo"))
+    usable = (F.col("k") > 0) & (F.col("k") < F.col("n")) & (F.col("hi") > F.col("lo"))
+    moving = store(sizes.where(usable).select(*by, F.lit(1.0).alias("_a"), F.lit(0.0).alias("_b")), "logistic-states")
+    settled = moving.limit(0)
+    a, b, zc = F.col("_a"), F.col("_b"), F.col("_z")
+    prob = 1.0 / (1.0 + F.exp(-(a * zc + b)))
+    err, curv = F.col("_y") - F.col("_n") * prob, F.col("_n") * prob * (1.0 - prob)
+    for _ in range(rounds):
+        if moving.isEmpty():
+            break
+        sums = join_by_size(merged, moving, by, ["_z"]).groupBy(*by, "_a", "_b").agg(
+            (F.sum(err * zc) - ridge * a).alias("ga"), F.sum(err).alias("gb"), (F.sum(curv * zc * zc) + ridge).alias("haa"),
+            F.sum(curv * zc).alias("hab"), F.sum(curv).alias("hbb"))
+        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
+        solved = sums.withColumn("_det", det).where(F.col("_det") > 0).select(
+            *by, "_a", "_b", ((F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / F.col("_det")).alias("_da"),
+            ((F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / F.col("_det")).alias("_db"))
+        size = F.greatest(F.abs("_da"), F.abs("_db"))
+        scale = F.when(size > 5.0, 5.0 / size).otherwise(1.0)           # long steps are shortened
+        after = store(solved.select(*by, (a + scale * F.col("_da")).alias("_a"), (b + scale * F.col("_db")).alias("_b"),
+                                    (size >= tol).alias("_moves")), "logistic-states")
+        settled = settled.unionByName(after.where(~F.col("_moves")).drop("_moves"))
+        moving = after.where("_moves").drop("_moves")
+    fitted = settled.select(*by, a.alias("slope"), b.alias("intercept"))
+    out = sizes.select(*by).join(fitted, by, "left")
+    return out.drop("_all") if whole else out
 
 
 def calibration_slope(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = ()) -> DataFrame:

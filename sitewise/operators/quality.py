@@ -48,7 +48,7 @@ def domain_diff(df: DataFrame, column: str, expected: Sequence[str]) -> DataFram
 def group_sizes(df: DataFrame, column: str, min_size: int) -> DataFrame:
     """Category sizes, whether each is large enough, and the total row count."""
     sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = sizes.agg(F.sum("n").alias("t")).scalar()       # from the same shuffle
     return sizes.select(column, "n", (F.col("n") < min_size).cast("int").alias("below_min"),
                         total.alias("n_total"))
 
@@ -93,11 +93,11 @@ def prefix_stats(df: DataFrame, key: str) -> DataFrame:
     The last key of a file cut off mid-write is incomplete, so the cutoff is the
     largest key below it.
     """
-    top = df.agg(F.max(key).alias("m")).scalar()
-    flagged = df.select(F.col(key).alias("_k")).withColumn("_top", top)
-    return flagged.agg(
+    keys = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    top = keys.agg(F.max("_k").alias("m")).scalar()         # from the same shuffle
+    return keys.withColumn("_top", top).agg(
         F.min("_k").alias("min_key"), F.max("_k").alias("max_key"),
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("_k").alias("n_keys"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count("_k").alias("n_keys"),
         F.max(F.when(F.col("_k") < F.col("_top"), F.col("_k"))).alias("cutoff"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hash_long, poisson_cdf
+from sitewise.operators.keyed import key_runs, output_schema
 from sitewise.operators.ordered import balanced_cuts, bucket_count, with_position
 from sitewise.session import store
 
@@ -26,6 +27,7 @@ from sitewise.session import store
 BUCKET_ROWS, HOT_ROWS, DRAWS = 50_000, 1 << 18, 1 << 22
 METRICS = ("auroc", "auprc", "f1", "sensitivity", "specificity", "ppv", "npv", "brier", "accuracy", "balanced_accuracy")
 _SUMS = ("pos", "neg", "auc", "ap", "tp", "fp", "brier")
+_PAIR = (("_pos", "binary"), ("_neg", "binary"))
 #: The odd step between replicates and the multipliers of a 32-bit finaliser.
 STEP, MIX_1, MIX_2 = 2654435769, 2246822507, 3266489909
 #: Words from which on a draw is at least 1, 2, ...
@@ -112,25 +114,6 @@ def _weigh(score: np.ndarray, y: np.ndarray, h: np.ndarray, n_boot: int, block:
         yield s[run][fresh], pos, neg
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
-    """Runs of rows with equal keys: (key, whether it goes on from the run before, rows)."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        change[0] = True
-        for k in keys:
-            codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            change[1:] |= codes[1:] != codes[:-1]
-        cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(low, high - low)
-            key = tuple(part.column(k)[0].as_py() for k in keys)
-            yield key, key == last, part
-            last = key
-
-
 def _vector(raw: bytes | None) -> np.ndarray | None:
     return None if raw is None else np.frombuffer(raw, float)
 
@@ -152,7 +135,7 @@ def _swept(n_boot: int, threshold: float, keys: Sequence[str], schema: pa.Schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sweep = None, None
-        for key, goes_on, rows in _groups(batches, keys):
+        for key, goes_on, rows in key_runs(batches, keys):
             if not goes_on:
                 if sweep is not None:
                     yield done(now, sweep)
@@ -179,17 +162,6 @@ def _swept(n_boot: int, threshold: float, keys: Sequence[str], schema: pa.Schema
     return run
 
 
-def _arrow(df: DataFrame, columns: Sequence[str], binary: Sequence[str]) -> tuple[pa.Schema, str]:
-    """Arrow schema and Spark schema of some columns of ``df`` followed by binary ones."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    kept = df.select(*columns).schema
-    arrow = to_arrow_schema(kept)
-    for name in binary:
-        arrow = arrow.append(pa.field(name, pa.binary()))
-    spark = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{b}` binary" for b in binary])
-    return arrow, spark
-
-
 def _bucketed(pred: DataFrame, by: Sequence[str], p: str, y: str, key: str, seed: int) -> DataFrame:
     """Stored rows (by, _p, _y, _h, _b, _parts): score buckets from high (small _b) to low, few for a small group."""
     n = bucket_count(pred)
@@ -221,12 +193,12 @@ def _items(rows: DataFrame, by: Sequence[str], n_boot: int) -> DataFrame:
     share = F.pmod(F.xxhash64("_h"), F.ceil(hot["_n"] / HOT_ROWS))
     many = rows.join(hot, same).select(*[rows[c] for c in [*by, "_b", "_parts", "_p", "_y", "_h"]], share.alias("_share"))
     keys = [*by, "_b", "_parts", "_p", "_share"]
-    schema, text = _arrow(many, keys, ["_pos", "_neg"])
+    schema, text = output_schema(many, keys, _PAIR)
     block = max(1, DRAWS // n_boot)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, None
-        for key, goes_on, part in _groups(batches, keys):
+        for key, goes_on, part in key_runs(batches, keys):
             if not goes_on:
                 if sums is not None:
                     yield _emit(schema, keys, now, sums)
@@ -282,15 +254,15 @@ def replicate_matrix(pred: DataFrame, threshold: float, n_boot: int, seed: int =
     rows = _bucketed(pred, by, p, y, key, seed)
     items = _items(rows, by, n_boot)
     bucket = [*by, "_b"]
-    schema, text = _arrow(rows, bucket, _SUMS)
+    schema, text = output_schema(rows, bucket, [(k, "binary") for k in _SUMS])
     first = store(_in_order(items, bucket).mapInArrow(_swept(n_boot, threshold, bucket, schema, _SUMS, False), text), "replicate-sums")
 
-    off_schema, off_text = _arrow(rows, bucket, ("_pos", "_neg"))
+    off_schema, off_text = output_schema(rows, bucket, _PAIR)
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For every bucket but a group's first: the positives and negatives above it."""
         total: dict[str, np.ndarray] = {}
-        for key, goes_on, part in _groups(batches, by):
+        for key, goes_on, part in key_runs(batches, by):
             if not goes_on:
                 total = {}
             for row in part.to_pylist():
@@ -301,16 +273,13 @@ def replicate_matrix(pred: DataFrame, threshold: float, n_boot: int, seed: int =
     offsets = first.select(*bucket, "pos", "neg").repartition(*by).sortWithinPartitions(*bucket).mapInArrow(above, off_text)
     heads = offsets.select(*bucket, F.lit(0).alias("_parts"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_p"),
                            F.lit(None).cast("int").alias("_y"), F.lit(None).cast("long").alias("_h"), "_pos", "_neg")
-    ap_schema, ap_text = _arrow(rows, bucket, ("ap",))
+    ap_schema, ap_text = output_schema(rows, bucket, [("ap", "binary")])
     second = (_in_order(items.where(F.col("_parts") > 1).unionByName(heads), bucket)
               .mapInArrow(_swept(n_boot, threshold, bucket, ap_schema, ("ap",), True), ap_text)
               .select(*[F.col(c).alias(f"_{c}") for c in bucket], F.col("ap").alias("_ap")))
     whole_sums = first.join(second, [F.col(c) == F.col(f"_{c}") for c in bucket], "left").select(*bucket, *_SUMS, "_ap")
 
-    out_schema, out_text = _arrow(rows, by, ())
-    for name, kind in [("b", pa.int32()), *((m, pa.float64()) for m in METRICS)]:
-        out_schema = out_schema.append(pa.field(name, kind))
-    out_text += ", b int, " + ", ".join(f"{m} double" for m in METRICS)
+    out_schema, out_text = output_schema(rows, by, [("b", "int"), *((m, "double") for m in METRICS)])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(key: tuple, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -321,7 +290,7 @@ def replicate_matrix(pred: DataFrame, threshold: float, n_boot: int, seed: int =
                  for f in out_schema], schema=out_schema)
 
         now, sums = None, None
-        for key, goes_on, part in _groups(batches, by):
+        for key, goes_on, part in key_runs(batches, by):
             if not goes_on:
                 if sums is not None:
                     yield rows_of(now, sums)

@@ -24,20 +24,30 @@ def _listing(folder: str) -> tuple[str, dict[str, int]]:
     return base, {f.path[len(base):].lstrip("/"): f.mtime_ns or 0 for f in found if f.type == pafs.FileType.File}
 
 
-def find_table(root: str, name: str, module: str | None = None) -> str | None:
+def _any_case(text: str) -> str:
+    """A glob that matches a name whatever its case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and c.lower() != c.upper() else f"\\{c}" if c in "*?[]{}\\" else c for c in text)
+
+
+def find_table(spark: SparkSession, root: str, name: str, module: str | None = None, depth: int = 6) -> str | None:
     """Path of ``name``.csv or ``name``.csv.gz below root[/module], or None.
 
-    The file may lie flat or in folders of its own name. The shallowest wins, a
-    compressed file before a plain one at the same depth; names compare without case.
+    The file may lie flat or in folders of its own name, ``depth`` folders down at most. The shallowest wins, a
+    compressed file before a plain one at the same depth; names compare without case. The store itself matches
+    the pattern, one level after the other, and the search ends at the first level with a match: what lies
+    deeper, or has another name, is not listed in the driver.
     """
     folder = f"{root.rstrip('/')}/{module}" if module else root.rstrip("/")
-    wanted = {f"{name}.csv.gz".lower(): 0, f"{name}.csv".lower(): 1}
-    _, files = _listing(folder)
-    hits = [f for f in files if f.rsplit("/", 1)[-1].lower() in wanted]
-    if not hits:
-        return None
-    best = min(hits, key=lambda f: (f.count("/"), wanted[f.rsplit("/", 1)[-1].lower()], f))
-    return f"{folder}/{best}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for level in range(depth + 1):
+        for ending in (".csv.gz", ".csv"):
+            found = files.globStatus(path(folder + "/*" * level + "/" + _any_case(name + ending)))
+            hits = [s.getPath().toString() for s in found or [] if s.isFile()]
+            if hits:
+                best = min(hits)
+                return best.removeprefix("file:") if "://" not in folder else best
+    return None
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -90,7 +100,7 @@ def read_csv_tolerant(spark: SparkSession, path: str,
 
 def read_table(spark: SparkSession, root: str, name: str, module: str | None = None,
                types: Mapping[str, str] | None = None) -> DataFrame:
-    path = find_table(root, name, module)
+    path = find_table(spark, root, name, module)
     if path is None:
         raise FileNotFoundError(f"no {name}.csv or {name}.csv.gz below {root}" + (f"/{module}" if module else ""))
     return read_csv(spark, path, types)
@@ -101,7 +111,7 @@ def read_optional(spark: SparkSession, root: str, name: str, schema: str, module
 
     Only a missing table is forgiven; an unreadable one still fails.
     """
-    path = find_table(root, name, module)
+    path = find_table(spark, root, name, module)
     if path is None:
         return spark.createDataFrame([], schema)
     types = {f.name: f.dataType.simpleString() for f in parse_type(schema).fields}

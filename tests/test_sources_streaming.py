@@ -15,17 +15,31 @@ def put(path, text, zipped=False):
     return str(path)
 
 
-def test_locating_tables(tmp_path):
+def test_locating_tables_ends_at_the_first_level_with_a_match(spark, tmp_path, monkeypatch):
+    """A store with very many files elsewhere: the driver is never given their names."""
     root = tmp_path / "data"
-    assert tables.find_table(str(root), "a", "icu") is None
+    for i in range(300):
+        put(root / "icu" / f"old{i % 3}" / f"part{i}" / "b.csv", "k\n1\n")
+    near = put(root / "icu" / "b.csv.gz", "k\n1\n", True)
+    monkeypatch.setattr(tables, "_listing", None)
+    assert tables.find_table(spark, str(root), "b", "icu") == near
+    assert tables.find_table(spark, str(root), "B", "icu/old1") is not None
+    assert tables.find_table(spark, str(root), "b", "icu/old1", depth=0) is None
+    put(root / "odd" / "a[1].csv", "k\n1\n")
+    assert tables.find_table(spark, str(root), "a[1]", "odd").endswith("a[1].csv")
+
+
+def test_locating_tables(spark, tmp_path):
+    root = tmp_path / "data"
+    assert tables.find_table(spark, str(root), "a", "icu") is None
     deep = put(root / "icu" / "x" / "a.csv", "k\n1\n")
-    assert tables.find_table(str(root), "a", "icu") == deep
+    assert tables.find_table(spark, str(root), "a", "icu") == deep
     own = put(root / "icu" / "a.csv" / "a.csv.gz", "k\n1\n", True)
-    assert tables.find_table(str(root), "a", "icu") == own               # same depth: compressed first
+    assert tables.find_table(spark, str(root), "a", "icu") == own               # same depth: compressed first
     flat = put(root / "icu" / "A.csv2", "k\n1\n")
-    assert flat and tables.find_table(str(root), "a", "icu") == own      # other names do not count
+    assert flat and tables.find_table(spark, str(root), "a", "icu") == own      # other names do not count
     put(root / "hosp" / "Patient.csv", "k\n1\n")
-    assert tables.find_table(str(root), "patient", "hosp").endswith("Patient.csv")
+    assert tables.find_table(spark, str(root), "patient", "hosp").endswith("Patient.csv")
 
 
 def test_pinned_types(spark, tmp_path):
