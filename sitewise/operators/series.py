@@ -146,6 +146,39 @@ def dense_grid(hourly: DataFrame, cohort: DataFrame, features: Sequence[str], st
     return rows.select("stay_id", "feature", "hr", value.alias("raw"), seen.cast("int").alias("observed"))
 
 
+def binned_grid(events: DataFrame, cohort: DataFrame, features: Sequence[str], hours: int, sums: Sequence[str] = (),
+                maxima: Sequence[str] = (), width_h: int = 1, always_observed: Sequence[str] = ()) -> DataFrame:
+    """``hourly_bins`` and ``dense_grid`` in one shuffle: every stay x feature x step with the binned value or null.
+
+    Events and one empty row per stay and feature of the cohort meet in a single aggregation by (stay, feature)
+    that holds a sum, a count and, for ``maxima``, a maximum per step. It is combined before the shuffle, so a stay
+    with very many events is one row per task and feature; the steps unfold after it, where ``fill_grid`` finds
+    them laid out by stay and feature.
+    """
+    steps = hours // width_h
+    slot = F.floor(F.col("hours_in") / width_h).cast("int")
+    found = events.where((F.col("hours_in") >= 0) & (F.col("hours_in") < hours) & F.col("feature").isin(*features)).select(
+        "stay_id", "feature", slot.alias("_at"), F.col("value").cast("double").alias("_x"), F.lit(False).alias("_seed"))
+    seeds = cohort.select("stay_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"), F.lit(None).cast("int").alias("_at"),
+                          F.lit(None).cast("double").alias("_x"), F.lit(True).alias("_seed"))
+    here = [F.when(F.col("_at") == h, F.col("_x")) for h in range(steps)]
+    packed = found.unionByName(seeds).groupBy("stay_id", "feature").agg(
+        F.max("_seed").alias("_seed"), *[F.sum(x).alias(f"_s{h}") for h, x in enumerate(here)], *[F.count(x).alias(f"_n{h}") for h, x in enumerate(here)],
+        *([F.max(x).alias(f"_m{h}") for h, x in enumerate(here)] if maxima else []))
+
+    def value(h: int) -> Column:
+        out = F.try_divide(F.col(f"_s{h}"), F.col(f"_n{h}"))
+        if maxima:
+            out = F.when(F.col("feature").isin(*maxima), F.col(f"_m{h}")).otherwise(out)
+        return F.when(F.col("feature").isin(*sums), F.col(f"_s{h}")).otherwise(out) if sums else out
+
+    rows = packed.where("_seed").select("stay_id", "feature", F.posexplode(F.array(*[value(h) for h in range(steps)])).alias("hr", "raw"))
+    seen = F.col("raw").isNotNull()
+    if always_observed:
+        seen = seen | F.col("feature").isin(*always_observed)
+    return rows.select("stay_id", "feature", "hr", "raw", seen.cast("int").alias("observed"))
+
+
 def fill_grid(grid: DataFrame, running_max: Sequence[str] = (), cap: int | None = None,
               steps: int = 24) -> DataFrame:
     """Causal fill of a dense grid.

@@ -77,8 +77,8 @@ def extract_offset_events(tables: Tables, cohort: DataFrame, window_h: int = 24,
 def build_timeseries(events: DataFrame, cohort: DataFrame, features_: Sequence[str] = C.SERIES, steps: int = 24,
                      sums: Sequence[str] = C.SUMMED, switches: Sequence[str] = C.SWITCHES) -> DataFrame:
     """Hourly grid of every stay: raw, causally filled value, observed flag, time since measured."""
-    bins = series.hourly_bins(events, steps, sums, switches)
-    return series.fill_grid(series.dense_grid(bins, cohort, features_, steps, switches), switches, steps=steps)
+    grid = series.binned_grid(events, cohort, features_, steps, sums, switches, always_observed=switches)
+    return series.fill_grid(grid, switches, steps=steps)
 
 
 def build_features(events: DataFrame, cohort: DataFrame, dx: DataFrame | None = None,
