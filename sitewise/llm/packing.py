@@ -3,18 +3,22 @@
 Only the histogram of lengths matters: at most ``capacity`` numbers, whatever the corpus.
 A configuration is a multiset of lengths that fits a sequence. The configuration linear
 program (cover every length as often as it occurs with the fewest configurations) is solved
-by multiplicative weights: the most valuable configuration under the current weights is
-found by knapsack dynamic programming, taken until one of its lengths is used up once more,
-and the weights of its lengths shrink. The fractional solution is rounded down; what is left
-is packed best-fit, by count, and also only as deep as the histogram. Then every piece finds
-its place from its rank among the pieces of its length.
+by multiplicative weights. Each round prices the lengths, finds by knapsack dynamic
+programming the most valuable configuration that holds each length, takes those that fill a
+sequence in whole multiples of a share of what is left, and lets the weights of covered
+lengths shrink. Sequences filled to the end meet the program's lower bound, the total length
+over the capacity, so what the rounds take is optimal; the rounded rest (a twentieth, more
+where the histogram is thin) is packed best-fit, by count. Then every piece finds its place
+from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,9 @@ from sitewise.llm.tokens import ids_of, vocabulary
 from sitewise.operators.ordered import hash_rank
 
 CAPACITY, END = 1024, 2
-ROUNDS, SHRINK = 1500, 0.5      # steps of the linear program, loss of weight of a used-up length
+#: Share of the total length the program leaves for rounding, power of a length in its first weight, loss of (log) weight
+#: by covering a length once, share of the scarcest length's rest taken in a step.
+REST, POWER, SHRINK, STEP = 0.05, 1.5, 0.2, 0.2
 
 _BYTES_AT_ONCE = 2_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +43,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and ``end``, cut only where longer than ``capacity``.
 
-    All pieces but the first have ``capacity`` ids. A null text is empty: one piece with the end id.
+    All pieces but the first have ``capacity`` ids. A null text is empty: one piece with the end id. Texts are encoded
+    whole at any length; repeated rows give repeated pieces; an empty table none.
     """
     path = vocab or vocabulary()
     schema = to_arrow_schema(StructType.fromDDL(_PIECES))
@@ -66,8 +73,17 @@ def token_pieces(docs: DataFrame, vocab: str | None = None, capacity: int = CAPA
 Configuration = tuple[tuple[int, int], ...]     # (length, copies), longest first
 
 
-def knapsack(value: np.ndarray, capacity: int) -> Configuration:
-    """The most valuable multiset of lengths within ``capacity``; value[l] <= 0 bars a length."""
+class Plan(NamedTuple):
+    """How often to use each configuration; how many sequences come from the linear program; the lower bound of all."""
+
+    used: dict[Configuration, int]
+    from_program: int
+    least: int
+
+
+def knapsack(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(highest value, length to take first) for every room; value[l] <= 0 bars a length."""
+    capacity = len(value) - 1
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
         gain = value[1:room + 1] + best[room - 1::-1]
@@ -76,8 +92,14 @@ def knapsack(value: np.ndarray, capacity: int) -> Configuration:
             best[room], pick[room] = gain[at], at + 1
         else:
             best[room] = best[room - 1]
+    return best, pick
+
+
+def holding(length: int, pick: np.ndarray) -> Configuration:
+    """The most valuable configuration that has a piece of ``length``."""
     copies: dict[int, int] = defaultdict(int)
-    room = capacity
+    copies[length] += 1
+    room = len(pick) - 1 - length
     while room:
         if pick[room]:
             copies[int(pick[room])] += 1
@@ -85,28 +107,37 @@ def knapsack(value: np.ndarray, capacity: int) -> Configuration:
     return tuple(sorted(copies.items(), reverse=True))
 
 
-def fractional_cover(counts: np.ndarray, rounds: int = ROUNDS, shrink: float = SHRINK) -> dict[Configuration, float]:
-    """Configurations and how often to use them, covering ``counts`` (by length) about once."""
+def program(counts: np.ndarray, rest: float = REST) -> tuple[dict[Configuration, int], np.ndarray]:
+    """(configurations that fill a sequence and how often to use them, counts that are left).
+
+    Stops when ``rest`` of the total length is left, or when no priced configuration fills a sequence any more.
+    """
     capacity = len(counts) - 1
-    there = counts > 0
-    weight = np.where(there, np.arange(capacity + 1) / capacity, 0.0)
-    used, covered = defaultdict(float), np.zeros(capacity + 1)
-    for _ in range(rounds):
-        config = knapsack(weight, capacity)
-        if not config:
+    size = np.arange(capacity + 1)
+    left, total = counts.astype(np.int64).copy(), int((counts * size).sum())
+    used: dict[Configuration, int] = defaultdict(int)
+    while (left * size).sum() > rest * total:
+        covered = 1 - left / np.maximum(counts, 1)
+        weight = np.where(left > 0, (size / capacity) ** POWER * np.exp(-SHRINK * covered), 0.0)
+        _, pick = knapsack(weight)
+        taken = 0
+        # the least covered lengths first, of these the longest
+        for length in sorted(np.flatnonzero(left).tolist(), key=lambda n: (covered[n], -n)):
+            if not left[length]:
+                continue
+            config = holding(length, pick)
+            if sum(n * copies for n, copies in config) < capacity:
+                continue
+            most = min(int(left[n]) // copies for n, copies in config)
+            if most:
+                step = max(1, int(STEP * most))
+                used[config] += step
+                taken += step
+                for n, copies in config:
+                    left[n] -= step * copies
+        if not taken:
             break
-        step = min(counts[length] / copies for length, copies in config)
-        used[config] += step
-        for length, copies in config:
-            share = step * copies / counts[length]
-            covered[length] += share
-            weight[length] *= (1 - shrink) ** share
-        weight /= weight.max()
-    if not used:
-        return {}
-    # scaled so that no length is covered more than once
-    most = covered.max()
-    return {config: x / most for config, x in used.items()}
+    return used, left
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> dict[Configuration, int]:
@@ -132,26 +163,32 @@ def best_fit(counts: dict[int, int], capacity: int) -> dict[Configuration, int]:
     return filled
 
 
-def plan(counts: np.ndarray, rounds: int = ROUNDS) -> dict[Configuration, int]:
-    """Whole numbers of configurations that hold exactly ``counts`` pieces of each length."""
+def plan(counts: np.ndarray) -> Plan:
+    """Whole numbers of configurations that hold exactly ``counts`` pieces of each length.
+
+    Where rounding costs more than the program saves (a thin histogram), best-fit alone is used.
+    """
     capacity = len(counts) - 1
-    left, chosen = counts.astype(np.int64).copy(), defaultdict(int)
-    if left[capacity]:
-        chosen[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
-    solution = fractional_cover(left.astype(float), rounds)
-    for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
-        many = min(int(x), *(int(left[length]) // copies for length, copies in config))
-        if many:
+    counts = counts.astype(np.int64)
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    whole, rest = {((capacity, 1),): int(counts[capacity])} if counts[capacity] else {}, counts.copy()
+    rest[capacity] = 0
+    used, left = program(rest)
+    filled = best_fit({int(n): int(left[n]) for n in np.flatnonzero(left)}, capacity)
+    alone = best_fit({int(n): int(rest[n]) for n in np.flatnonzero(rest)}, capacity)
+    from_program = sum(used.values())
+    if from_program + sum(filled.values()) > sum(alone.values()):
+        used, filled, from_program = {}, alone, 0
+    chosen: dict[Configuration, int] = defaultdict(int)
+    for part in (whole, used, filled):
+        for config, many in part.items():
             chosen[config] += many
-            for length, copies in config:
-                left[length] -= many * copies
-    for config, many in best_fit({int(n): int(left[n]) for n in np.flatnonzero(left)}, capacity).items():
-        chosen[config] += many
-    return chosen
+    found = Plan(chosen, from_program + sum(whole.values()), least)
+    logging.getLogger(__name__).info("%d sequences, %d at least; %d from the linear program", sum(chosen.values()), least, found.from_program)
+    return found
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
     ``pieces`` has doc_id, piece, start, length (1 to ``capacity``) and ids_crc32; equal rows are
@@ -163,14 +200,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
         counts[row["length"]] = row["count"]
     runs: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     ranked, sequences = np.zeros(capacity + 1, np.int64), 0
-    for config, many in plan(counts, rounds).items():
+    for config, many in plan(counts).used.items():
         offset = 0
         for length, copies in config:
             runs[length].append((int(ranked[length]), sequences, copies, offset))
             ranked[length] += many * copies
             offset += copies * length
         sequences += many
-    table = {length: np.array(r, np.int64) for length, r in runs.items()}   # bounded by rounds and capacity
+    table = {length: np.array(r, np.int64) for length, r in runs.items()}   # bounded by the configurations, which follow the capacity
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
