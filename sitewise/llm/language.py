@@ -19,7 +19,9 @@ from pyspark.sql.functions import arrow_udf
 from sitewise.llm.common import documents, query, slices, text_bytes
 
 DIMENSIONS, UNKNOWN = 1024, "und"
-_BYTES_AT_ONCE = 1_000_000
+_BYTES_AT_ONCE, _ROWS_AT_ONCE = 1_000_000, 4096
+#: Characters, different windows, and counts (groups x windows) handled at once.
+_PIECE, _WINDOWS_AT_ONCE, _CELLS = 1 << 20, 1 << 13, 1 << 22
 _DENSE = 1 << 22        # windows over so few possible values are counted in a table
 _alpha: list[np.ndarray] = []
 
@@ -43,14 +45,20 @@ def letter_vectors(letters: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndar
     return bits.astype(np.float32) * 2 - 1
 
 
-def windows(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, window index) of every letter, and the windows as rows of three code points."""
-    low = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    text_of = np.repeat(np.arange(len(low)), [len(t) for t in low])
-    codes = np.where(_is_letter()[codes], codes, 0)
-    at = np.flatnonzero(codes[1:-1]) + 1 if len(codes) > 2 else np.zeros(0, np.int64)
-    present = np.unique(np.r_[0, np.flatnonzero(np.bincount(codes[at], minlength=1))])
+def windows(framed: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, window index) of every letter, and the windows as rows of three code points.
+
+    The first and the last character of a text are its frame: neighbours of letters, in the middle of no window.
+    """
+    codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([len(t) for t in framed])
+    text_of = np.repeat(np.arange(len(framed)), np.diff(np.r_[0, ends]))
+    codes = np.where(_is_letter()[codes], codes, 0).astype(np.int64)
+    inner = codes > 0
+    inner[ends - 1] = False
+    inner[np.r_[0, ends[:-1]]] = False
+    at = np.flatnonzero(inner)
+    present = np.unique(np.concatenate([[0], codes[at - 1], codes[at], codes[at + 1]]))
     place = np.zeros(int(present[-1]) + 1, np.int64)
     place[present] = np.arange(len(present))
     n = len(present)
@@ -76,13 +84,39 @@ def bind(rows: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return first[index[:, 0]] * second[index[:, 1]] * vectors[index[:, 2]]
 
 
+def _add_bundles(out: np.ndarray, framed: list[str], owner: list[int]) -> None:
+    """Add the window vectors of some framed texts to their groups' rows, a block of different windows at a time."""
+    text_of, which, rows = windows(framed)
+    group = np.array(owner, np.int64)[text_of]
+    order = np.argsort(which, kind="stable")
+    which, group = which[order], group[order]
+    step = max(64, min(_WINDOWS_AT_ONCE, _CELLS // len(out)))
+    cuts = np.searchsorted(which, np.arange(0, len(rows) + step, step))
+    for at, (low, high) in zip(range(0, len(rows), step), zip(cuts, cuts[1:])):
+        many = min(step, len(rows) - at)
+        counts = np.bincount(group[low:high] * many + which[low:high] - at, minlength=len(out) * many)
+        out += counts.reshape(len(out), many).astype(np.float32) @ bind(rows[at:at + many], out.shape[1])
+
+
 def bundles(texts: Sequence[str], group: np.ndarray, n_groups: int, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Sum of the window vectors of the texts in each group; a row of zeros for no letters."""
-    text_of, which, rows = windows(texts)
-    if not len(rows):
-        return np.zeros((n_groups, dimensions), np.float32)
-    counts = np.bincount(group[text_of] * len(rows) + which, minlength=n_groups * len(rows))
-    return counts.reshape(n_groups, -1).astype(np.float32) @ bind(rows, dimensions)
+    """Sum of the window vectors of the texts in each group; a row of zeros for no letters.
+
+    Long texts are cut into pieces that share a character on either side, so memory does not follow their length.
+    """
+    out = np.zeros((n_groups, dimensions), np.float32)
+    framed, owner, held = [], [], 0
+    for text, g in zip(texts, group, strict=True):
+        low = f" {text.lower()} "
+        for start in range(1, len(low) - 1, _PIECE):
+            framed.append(low[start - 1:min(start + _PIECE, len(low) - 1) + 1])
+            owner.append(int(g))
+            held += len(framed[-1])
+            if held > _PIECE:
+                _add_bundles(out, framed, owner)
+                framed, owner, held = [], [], 0
+    if framed:
+        _add_bundles(out, framed, owner)
+    return out
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -132,7 +166,8 @@ def predict(text: Column, profiles: dict[str, np.ndarray], dimensions: int = DIM
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             found, points = [], []
-            for part in slices([pa.RecordBatch.from_arrays([array], names=["t"])], "t", _BYTES_AT_ONCE):
+            some = [pa.RecordBatch.from_arrays([array.slice(i, _ROWS_AT_ONCE)], names=["t"]) for i in range(0, len(array), _ROWS_AT_ONCE)]
+            for part in slices(some, "t", _BYTES_AT_ONCE):
                 a, b = score([t.decode() if t else "" for t in part.column("t").to_pylist()])
                 found += a
                 points.append(b)
