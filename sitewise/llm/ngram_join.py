@@ -193,6 +193,7 @@ def block_links(uids: np.ndarray, sets: list[np.ndarray], split: int, percent: i
         dense = np.zeros((len(sets), min(4096, wide - start)), np.float32)
         dense[at[inside], columns[inside] - start] = 1
         overlap += dense[:split] @ dense.T
+    overlap = overlap.astype(np.int64)      # so that 100 times a count stays exact
     union = n[:split, None] + n[None, :] - overlap
     linked = 100 * overlap >= percent * union
     parent = np.arange(len(sets))
