@@ -1,19 +1,20 @@
-"""Removal of repeated byte strings by merging the sorted suffixes of shards.
+"""Removal of repeated byte strings by counting the strings at anchors, shard by shard.
 
 Merging the Burrows-Wheeler transforms of shards byte by byte refines the interleave once for
-every byte of context: 400 passes over all suffixes for a threshold of 400 bytes. Here the
-suffixes that enter the merge are those at anchors (a suffix starts at the position of the
-smallest hash among the next M short strings, so equal strings have equal anchors), and the
-interleave is refined by whole contexts instead of single bytes:
-
-1. by the bytes that every string with this anchor shares (its core): where the merged order
-   has no interval of two or more, nothing repeats, and these suffixes leave the merge;
-2. by all bytes that the strings of the anchor cover together: an interval that stays whole
-   here is repeated with every string in it, in one step;
-3. by the single strings, only for intervals that step 2 splits.
-
-Shards sort their own suffixes once; the task of a range merges sorted runs, and answers carry
-the interval sizes back. An interval over many shards costs one entry for each shard.
+every byte of context: 400 passes over all suffixes for a threshold of 400 bytes. This is
+another way (see the README): no transform is built. A string start is an anchor if the
+smallest hash among the next M short strings is there, so equal strings have equal anchors,
+and 64-bit hashes of what lies at the anchors are counted over all shards, in hash order:
+
+1. of the bytes that every string with this anchor shares (its core): where a core occurs
+   once, nothing repeats, and its anchor is done;
+2. of all bytes that the strings of the anchor cover together: if the cover occurs as often
+   as the core, every string in it is repeated, in one step;
+3. of the single strings, only for anchors whose cores have different covers.
+
+Shards send their sorted hashes once for each step; the task of a hash range merges the sorted
+runs, and answers carry the counts back. A string that is in many shards costs one entry for
+each shard.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                     count = np.zeros(0, np.int64)
                 in_core, in_cover = count[place[:len(core)]], count[place[len(core):]]
                 whole = in_cover > 1
-                # an interval is split if some of its suffixes have other covers
+                # a core is split if some of its anchors have other covers
                 split = (in_core > 1) & ((in_cover < in_core) | (in_core == np.iinfo(COUNT).max))
                 ask = spread(first[split], last[split])
                 # a text waits for step 3 if one of its own strings does
