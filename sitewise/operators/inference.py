@@ -15,7 +15,7 @@ from sitewise.operators.metrics import (auprc_of, auroc_of, calibration_slope, m
 from sitewise.operators.ordered import hash_rank, running_totals
 from sitewise.operators.replicates import METRICS as BOOT_METRICS
 from sitewise.operators.replicates import replicate_matrix
-from sitewise.session import cut_lineage
+from sitewise.session import store
 
 
 def _replicates(n_boot: int) -> Column:
@@ -55,7 +55,7 @@ def _merge(drawn: DataFrame, *keys: str) -> DataFrame:
     """Counts per replicate, score(s) and outcome, stored once: the draws are the costly
     part and everything after them reads this much smaller table several times."""
     merged = drawn.groupBy(*keys).agg(F.sum("w").cast("long").alias("w")).where(F.col("w") > 0)
-    return cut_lineage(merged)
+    return store(merged, "replicate-counts")
 
 
 def replicate_metrics(drawn: DataFrame, threshold: float, p: str = "p", y: str = "y",

@@ -10,7 +10,6 @@ from sitewise.operators.ordered import exact_quantiles
 from sitewise.plans import fixtures as fx
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.registry import query, sql_p_chi2, sql_p_normal, sql_p_t
-from sitewise.session import cut_lineage
 
 
 # --- assignment -------------------------------------------------------------------------
@@ -154,10 +153,13 @@ def cohort_quartiles(spark, sf):
 # --- normalising ------------------------------------------------------------------------
 
 def _site_grid(spark, sf):
-    """Filled grid with a site per entity: the user's number modulo 3."""
-    return cut_lineage(fx.grid(spark, sf).withColumn(
-        "client", F.concat(F.lit("s"), (F.floor(F.col("stay_id") / 100) % 3).cast("string")))
-        .withColumn("train", (F.col("stay_id") % 7) < 5))
+    """Filled grid with a site per entity: the user's number modulo 3.
+
+    The dense rows are stored nowhere: what reads them again starts from the same shuffle of packed bins.
+    """
+    return (fx.grid(spark, sf)
+            .withColumn("client", F.concat(F.lit("s"), (F.floor(F.col("stay_id") / 100) % 3).cast("string")))
+            .withColumn("train", (F.col("stay_id") % 7) < 5))
 
 
 _NORM = """

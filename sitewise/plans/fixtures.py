@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.scalars import hours_between, plus_hours
 from sitewise.operators import clients, cohort, series
-from sitewise.session import cut_lineage
+from sitewise.session import store
 
 FEATURES = ("click", "view", "purchase", "error", "signup")
 SUMS = ("purchase",)
@@ -66,7 +66,7 @@ def visit_cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_cohort(spark: SparkSession, sf: str) -> DataFrame:
     """The cohort as a stored table, for jobs that read it several times."""
-    return cut_lineage(visit_cohort(spark, sf))
+    return store(visit_cohort(spark, sf), "cohort")
 
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
