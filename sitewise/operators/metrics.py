@@ -249,19 +249,29 @@ def brier(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = ()) -
                                  F.avg(y).alias("prevalence"), F.avg(d * d).alias("brier"))
 
 
-def ece(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (), n_bins: int = 10) -> DataFrame:
+def _weighted_mean(x: Column, weight: Column | None) -> Column:
+    """Mean of the rows that have a value, each counted ``weight`` times."""
+    if weight is None:
+        return F.avg(x)
+    return F.try_divide(F.sum(weight * x), F.sum(F.when(x.isNotNull(), weight)))
+
+
+def ece(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (), n_bins: int = 10,
+        weight: Column | None = None) -> DataFrame:
     """Expected calibration error over equal-width, right-closed bins."""
     by = list(by)
     edges = [i / n_bins for i in range(1, n_bins)]
     slot = sum((F.when(F.col(p) > e, 1).otherwise(0) for e in edges), F.lit(0))
     bins = pred.groupBy(*by, slot.alias("_b")).agg(
-        F.count(F.lit(1)).alias("n"), F.abs(F.avg(y) - F.avg(p)).alias("gap"))
+        F.sum(F.lit(1) if weight is None else weight).alias("n"),
+        F.abs(_weighted_mean(F.col(y), weight) - _weighted_mean(F.col(p), weight)).alias("gap"))
     return bins.groupBy(*by).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
 
-def calibration_intercept(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+def calibration_intercept(pred: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = (),
+                          weight: Column | None = None) -> DataFrame:
     """logit(prevalence) minus the mean logit of the scores."""
-    g = pred.groupBy(*by).agg(F.avg(y).alias("_r"), F.avg(logit(p)).alias("_z"))
+    g = pred.groupBy(*by).agg(_weighted_mean(F.col(y), weight).alias("_r"), _weighted_mean(logit(p), weight).alias("_z"))
     return g.select(*by, F.when((F.col("_r") > 0) & (F.col("_r") < 1), logit("_r") - F.col("_z"))
                     .alias("calib_intercept"))
 
@@ -365,20 +375,22 @@ def metric_report(pred: DataFrame, thresholds: DataFrame | float | None = None,
 
     ``thresholds``: one number, or a frame (scope, threshold) chosen on validation
     rows; None takes the F1-optimal cut of the scored rows themselves and says so.
-    A scope with one class has counts and prevalence only: no metric is defined there.
+    A scope with one class has counts and prevalence only: no metric is defined there. Rows are merged to distinct
+    (site, score, outcome) with their number once; the global scope copies that table, and every part reads it.
     """
-    rows = site_scopes(pred, client)
-    rank = ranking_metrics(rows, p, y, ["scope"])
+    merged = store(pred.groupBy(client, p, y).agg(F.count(F.lit(1)).alias("_w")), "scored-counts")
+    rows, w = site_scopes(merged, client), F.col("_w")
+    rank = ranking_metrics(rows, p, y, ["scope"], w)
     if thresholds is None:
         cut = rank.select("scope", F.col("best_threshold").alias("threshold"))
     elif isinstance(thresholds, DataFrame):
         cut = thresholds.select("scope", "threshold")
     else:
         cut = rank.select("scope", F.lit(float(thresholds)).alias("threshold"))
-    at = threshold_metrics(lookup_join(rows, cut, ["scope"], [p]), F.col("threshold"), p, y, ["scope", "threshold"])
+    at = threshold_metrics(lookup_join(rows, cut, ["scope"], [p]), F.col("threshold"), p, y, ["scope", "threshold"], w)
     report = (rank.select("scope", "n", "n_pos", "prevalence", "auroc", "auprc", "lift")
-              .join(at, "scope").join(ece(rows, p, y, ["scope"]), "scope")
-              .join(calibration_intercept(rows, p, y, ["scope"]), "scope"))
+              .join(at, "scope").join(ece(rows, p, y, ["scope"], weight=w), "scope")
+              .join(calibration_intercept(rows, p, y, ["scope"], w), "scope"))
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
     told = ("scope", "n", "n_pos", "prevalence", "threshold")
     report = report.select(*[F.col(c) if c in told else F.when(both, F.col(c)).alias(c) for c in report.columns])
