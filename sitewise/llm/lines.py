@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sitewise.llm.common import LOWER, UPPER, documents, query, row_key, stored, text_bytes
+from sitewise.llm.common import LOWER, UPPER, discard, documents, query, row_key, stored, stored_at, text_bytes
 
 #: Lines of fewer words are too common to tell a copy from chance; they always stay.
 MIN_WORDS = 5
@@ -78,18 +78,25 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Columns: doc_id, n_units (lines), n_removed, n_chars, n_removed_chars, removed, text. ``removed`` lists
     start:end:first for every removed line, in code points of the original text, with the doc_id that holds
     its first occurrence. Occurrences rank by doc_id (null last), then content, then place in the text. Of
-    rows equal in doc_id and text one ranks first. A null text is empty: one empty line, nothing removed.
+    rows equal in doc_id and text one ranks first. A null text is empty: one empty line, nothing removed. An
+    empty table gives no rows. Lines of a text of any length are hashed one by one; the text is held whole only
+    where it is cut. ``docs`` must give its rows in the same order each time it is read, as files do.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", row_key("doc_id", "text"))
-    digests = line_digests(rows, min_words)
+    digests, path = stored_at(line_digests(rows, min_words), "line-digests", "zstd")
     first = stored(earliest(digests), "line-first")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "at")
     lost = (digests.join(first, "digest").where(own != F.col("first"))
             .groupBy("key").agg(F.collect_set(F.struct("at", F.col("first.doc_id").alias("keeper"))).alias("_lost")))
-    # rows of one key are equal, but for 64-bit collisions of different documents, told apart by id and size
-    twin = Window.partitionBy("key", "doc_id").orderBy(F.length("text"))
-    marked = (rows.join(lost, "key", "left").withColumn("_again", F.row_number().over(twin) > 1))
+    # repeated rows, counted before the shuffle; those of one key are equal, but for 64-bit collisions told apart by id and size
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.length("text"))
+    twins = (numbered.groupBy("key", "doc_id", "size").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+             .groupBy("key").agg(F.collect_list(F.struct("doc_id", "size", "first")).alias("_twins")))
+    known = stored(lost.join(twins, "key", "full"), "line-lost")
+    discard(docs.sparkSession, path)
+    marked = numbered.join(known, "key", "left").withColumn("_again", F.coalesce(F.exists("_twins", lambda t: (
+        t["doc_id"].eqNullSafe(F.col("doc_id"))) & (t["size"] == F.col("size")) & (t["first"] != F.col("row"))), F.lit(False)))
     done = marked.select("doc_id", _cut(min_words)(text_bytes(F.col("text")), F.col("_lost.at"), F.col("_lost.keeper"),
                                                    "_again", "doc_id").alias("_r"))
     return done.select("doc_id", "_r.*")
