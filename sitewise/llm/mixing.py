@@ -55,7 +55,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     ``docs`` has doc_id, source and text. A null text has size 0; a null source is a source of
     its own; rows that share a doc_id (or have none) within a source are drawn together. A source
-    of size 0 has target 0 and its documents are not repeated. An empty table gives no rows.
+    of size 0 has target 0 and its documents are not repeated. An empty table gives no rows. Texts are
+    counted whole at any length and not kept; other columns are not read.
     The sum taken from a source misses its target by at most half a draw.
     """
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")

@@ -280,6 +280,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     (A-Z in lower case; shorter texts are one n-gram). ``component_id`` is the smallest doc_id
     reachable. A null, empty or blank text has no n-gram and is linked with nothing; rows with
     equal sets are one class; a null doc_id takes part, and is smallest only where no other id is.
+    Texts are read whole at any length (8 bytes for each distinct n-gram in a task); other columns are
+    not read; an empty table gives no rows.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
     rows = rows.withColumn("key", row_key("doc_id", "text"))

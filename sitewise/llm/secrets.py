@@ -193,7 +193,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, text: str = "text
 
     Offsets are code points, ends exclusive; matches of one rule do not overlap, those of
     several may. A null or empty text has no spans; repeated rows each get theirs; other columns
-    stay in ``row``, whatever their names; an empty table gives no rows.
+    stay in ``row``, whatever their names; an empty table gives no rows. Texts are searched whole,
+    whatever their length.
     """
     keyed = packed(docs, text).withColumnRenamed(text, "_text")
     keyed = keyed.withColumn("_key", row_key("_text", *(["row.doc_id"] if "doc_id" in docs.columns else [])))
@@ -218,7 +219,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, text: str = "text
 def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every match of every rule (joined where they overlap) replaced by ``mask`` in ``text``.
 
-    Rows without secrets are unchanged; ``n_chars`` follows the text. The columns of ``docs`` stay.
+    Rows without secrets, null and empty texts are unchanged; ``n_chars`` follows the text. The columns of
+    ``docs`` stay, whatever their names; repeated rows stay repeated.
     """
     scanned, text = scan(docs, rules), F.col("row.text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
