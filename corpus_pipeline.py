@@ -13,27 +13,27 @@ from sitewise.llm.common import documents, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are too short or repeat themselves go."""
+    """Documents that are too short or repeat themselves go, null and empty texts with them; whole texts are measured."""
     return repetition.judge(docs).where("quality.kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays; rows without doc_id and blank texts all do."""
     return ngram_join.representatives(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask; all documents stay."""
+    """Secrets are replaced by a mask in texts of any length; all documents stay, null texts as they are."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their target weights."""
+    """Documents are repeated or left out so that sources meet their target weights; a null source is one of its own."""
     return mixing.mixed_rows(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 1024 ids."""
+    """Token pieces with their place in sequences of 1024 ids; a null text is one end id, an empty table no rows."""
     return packing.pack(packing.token_pieces(docs))
 
 
