@@ -147,36 +147,68 @@ def dense_grid(hourly: DataFrame, cohort: DataFrame, features: Sequence[str], st
 
 
 def binned_grid(events: DataFrame, cohort: DataFrame, features: Sequence[str], hours: int, sums: Sequence[str] = (),
-                maxima: Sequence[str] = (), width_h: int = 1, always_observed: Sequence[str] = ()) -> DataFrame:
-    """``hourly_bins`` and ``dense_grid`` in one shuffle: every stay x feature x step with the binned value or null.
+                maxima: Sequence[str] = (), width_h: int = 1, always_observed: Sequence[str] = (), packed: bool = False) -> DataFrame:
+    """``hourly_bins`` and ``dense_grid`` in one: every stay x feature x step with the binned value or null.
 
-    Events and one empty row per stay and feature of the cohort meet in a single aggregation by (stay, feature)
-    that holds a sum, a count and, for ``maxima``, a maximum per step. It is combined before the shuffle, so a stay
-    with very many events is one row per task and feature; the steps unfold after it, where ``fill_grid`` finds
-    them laid out by stay and feature.
+    Only what was measured is shuffled: bins, combined before the shuffle, so a stay with very many events is at most
+    features x steps rows per task, and one row per stay of the cohort. Features that a stay lacks appear after it.
+    ``packed`` gives a row per stay and feature instead, (stay_id, feature, bins, always) with the measured bins
+    (hr, raw) in order, which ``fill_grid`` fills and unfolds without a window.
     """
     steps = hours // width_h
+    f = F.col("feature")
     slot = F.floor(F.col("hours_in") / width_h).cast("int")
-    found = events.where((F.col("hours_in") >= 0) & (F.col("hours_in") < hours) & F.col("feature").isin(*features)).select(
-        "stay_id", "feature", slot.alias("_at"), F.col("value").cast("double").alias("_x"), F.lit(False).alias("_seed"))
-    seeds = cohort.select("stay_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"), F.lit(None).cast("int").alias("_at"),
-                          F.lit(None).cast("double").alias("_x"), F.lit(True).alias("_seed"))
-    here = [F.when(F.col("_at") == h, F.col("_x")) for h in range(steps)]
-    packed = found.unionByName(seeds).groupBy("stay_id", "feature").agg(
-        F.max("_seed").alias("_seed"), *[F.sum(x).alias(f"_s{h}") for h, x in enumerate(here)], *[F.count(x).alias(f"_n{h}") for h, x in enumerate(here)],
-        *([F.max(x).alias(f"_m{h}") for h, x in enumerate(here)] if maxima else []))
-
-    def value(h: int) -> Column:
-        out = F.try_divide(F.col(f"_s{h}"), F.col(f"_n{h}"))
-        if maxima:
-            out = F.when(F.col("feature").isin(*maxima), F.col(f"_m{h}")).otherwise(out)
-        return F.when(F.col("feature").isin(*sums), F.col(f"_s{h}")).otherwise(out) if sums else out
-
-    rows = packed.where("_seed").select("stay_id", "feature", F.posexplode(F.array(*[value(h) for h in range(steps)])).alias("hr", "raw"))
-    seen = F.col("raw").isNotNull()
-    if always_observed:
-        seen = seen | F.col("feature").isin(*always_observed)
-    return rows.select("stay_id", "feature", "hr", "raw", seen.cast("int").alias("observed"))
+    found = events.where((F.col("hours_in") >= 0) & (F.col("hours_in") < hours) & f.isin(*features)).select(
+        "stay_id", "feature", slot.alias("hr"), F.col("value").cast("double").alias("_x")).where(F.col("hr") < steps)
+    value = F.avg("_x")
+    if maxima:
+        value = F.when(f.isin(*maxima), F.max("_x")).otherwise(value)
+    if sums:
+        value = F.when(f.isin(*sums), F.sum("_x")).otherwise(value)
+    bins = found.groupBy("stay_id", "feature", "hr").agg(value.alias("raw")).where(F.col("raw").isNotNull())
+    seeds = cohort.select("stay_id", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("hr"),
+                          F.lit(None).cast("double").alias("raw"), F.lit(True).alias("_seed"))
+    # laid out by stay once, for both aggregations
+    rows = bins.withColumn("_seed", F.lit(False)).unionByName(seeds).repartition("stay_id")
+    by_feature = rows.groupBy("stay_id", "feature").agg(
+        F.max("_seed").alias("_seed"), F.array_sort(F.collect_list(F.when(F.col("hr").isNotNull(), F.struct("hr", "raw")))).alias("bins"))
+    by_stay = by_feature.groupBy("stay_id").agg(
+        F.max("_seed").alias("_seed"), F.collect_list(F.when(f.isNotNull(), F.struct("feature", "bins"))).alias("_packs")).where("_seed")
+    absent = F.transform(
+        F.array_except(F.array(*[F.lit(x) for x in features]), F.transform("_packs", lambda p: p["feature"])),
+        lambda x: F.struct(x.alias("feature"), F.array().cast("array<struct<hr:int,raw:double>>").alias("bins")))
+    always = f.isin(*always_observed) if always_observed else F.lit(False)
+    grid = by_stay.select("stay_id", F.inline(F.concat("_packs", absent))).withColumn("always", always)
+    return grid if packed else _unfold(grid, (), steps).select("stay_id", "feature", "hr", "raw", "observed")
+
+
+def _unfold(packed: DataFrame, running_max: Sequence[str], steps: int) -> DataFrame:
+    """(stay_id, feature, hr, raw, value, observed, _since) of a packed grid.
+
+    A measured bin holds until the next one, so a row's steps are a few stretches; each carries what its steps share.
+    """
+    on = F.col("feature").isin(*running_max) if running_max else F.lit(False)
+
+    def stretch(b: Column, i: Column) -> Column:
+        highest = F.array_max(F.transform(F.slice("bins", 1, i + 1), lambda c: c["raw"]))
+        return F.struct(i.alias("_i"), b["hr"].alias("_from"), F.coalesce(F.get("bins", i + 1)["hr"], F.lit(steps)).alias("_to"),
+                        F.coalesce(F.get("bins", i - 1)["hr"], F.lit(0)).alias("_before"), b["raw"].alias("_x"),
+                        F.when(F.col("_on"), highest).alias("_m"))
+
+    none = F.lit(None).cast("double")
+    start = F.coalesce(F.get("bins", F.lit(0))["hr"], F.lit(steps))
+    head = F.struct(F.lit(-1).alias("_i"), F.lit(0).alias("_from"), start.alias("_to"), F.lit(0).alias("_before"), none.alias("_x"), none.alias("_m"))
+    measured = F.transform("bins", stretch)
+    parts = F.when(start > 0, F.concat(F.array(head), measured)).otherwise(measured)
+    rows = (packed.withColumn("_on", on).select("stay_id", "feature", "always", "_on", F.inline(parts))
+            .select("*", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("hr")))
+    hr, i, from_, m = (F.col(c) for c in ("hr", "_i", "_from", "_m"))
+    here = (hr == from_) & (i >= 0)
+    # a step without a measurement counts as 0 from there on
+    top = F.when(i < 0, F.lit(0.0)).when((hr > from_) | (from_ > i), F.greatest(m, F.lit(0.0))).otherwise(m)
+    since = F.when(F.col("always"), F.least(hr, F.lit(1))).when(here, hr - F.col("_before")).otherwise(hr - from_)
+    return rows.select("stay_id", "feature", "hr", F.when(here, F.col("_x")).alias("raw"), F.when(F.col("_on"), top).otherwise(F.col("_x")).alias("value"),
+                       (here | F.col("always")).cast("int").alias("observed"), since.alias("_since"))
 
 
 def fill_grid(grid: DataFrame, running_max: Sequence[str] = (), cap: int | None = None,
@@ -186,9 +218,13 @@ def fill_grid(grid: DataFrame, running_max: Sequence[str] = (), cap: int | None
     ``value``: the last value seen so far (leading gaps stay null); for
     ``running_max`` features, nulls count as 0 and the maximum so far holds.
     ``since``: steps since the last real measurement, capped and scaled to [0, 1].
-    All windows share one sort and never exceed ``steps`` rows.
+    A packed grid (``binned_grid``) is filled row by row. Else all windows share one sort
+    and never exceed ``steps`` rows.
     """
     cap = float(cap if cap is not None else steps)
+    if "bins" in grid.columns:
+        return _unfold(grid, running_max, steps).select(
+            "stay_id", "feature", "hr", "raw", "value", "observed", (F.least(F.col("_since").cast("double"), F.lit(cap)) / cap).alias("since"))
     w = Window.partitionBy("stay_id", "feature").orderBy("hr")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)

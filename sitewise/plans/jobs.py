@@ -77,7 +77,7 @@ def extract_offset_events(tables: Tables, cohort: DataFrame, window_h: int = 24,
 def build_timeseries(events: DataFrame, cohort: DataFrame, features_: Sequence[str] = C.SERIES, steps: int = 24,
                      sums: Sequence[str] = C.SUMMED, switches: Sequence[str] = C.SWITCHES) -> DataFrame:
     """Hourly grid of every stay: raw, causally filled value, observed flag, time since measured."""
-    grid = series.binned_grid(events, cohort, features_, steps, sums, switches, always_observed=switches)
+    grid = series.binned_grid(events, cohort, features_, steps, sums, switches, always_observed=switches, packed=True)
     return series.fill_grid(grid, switches, steps=steps)
 
 

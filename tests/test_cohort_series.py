@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,40 @@ def test_grid_fill_rules(spark):
     assert back.exceptAll(g.select("stay_id", "feature", "hr", "value")).count() == 0
 
 
+def test_packed_grid_equals_window_fill(spark):
+    rng = np.random.default_rng(5)
+    n = 900
+    pdf = pd.DataFrame({"stay_id": rng.integers(0, 40, n), "feature": rng.choice(["m", "s", "u", "x", "odd"], n), "value": rng.normal(0, 2, n).round(2),
+                        "hours_in": rng.uniform(-1, 27, n).round(2)})
+    ev = spark.createDataFrame(pdf).withColumn("value", F.when(F.col("value") < 2.5, F.col("value")))
+    ev = ev.unionByName(spark.createDataFrame([(None, "m", 1.0, 3.0), (3, "s", -4.0, 0.5), (3, "s", -5.0, 1.5)], ev.schema))
+    stays = spark.createDataFrame([(i,) for i in [*range(30), 77, 77, None]], "stay_id long")
+    args = (ev, stays, ["m", "s", "u", "x"], 25, ["u"], ["s", "x"], 2, ["x"])
+    packed = series.binned_grid(*args, packed=True)
+    filled = series.fill_grid(packed, ["s", "x"], steps=12)
+    flat = series.binned_grid(*args)
+    windowed = series.fill_grid(flat, ["s", "x"], steps=12)
+    assert filled.count() == windowed.count() == 32 * 4 * 12
+    assert filled.exceptAll(windowed).count() == 0 and windowed.exceptAll(filled).count() == 0
+    # against bins and cells made separately, for stays that are known
+    dense = series.dense_grid(series.hourly_bins(ev, 24, ["u"], ["s", "x"], 2), stays.distinct().where("stay_id is not null"),
+                              ["m", "s", "u", "x"], 12, ["x"])
+    raw = [F.round("raw", 9).alias("raw")]
+    known = flat.where("stay_id is not null").select("stay_id", "feature", "hr", *raw, "observed")
+    assert known.exceptAll(dense.select("stay_id", "feature", "hr", *raw, "observed")).count() == 0
+
+
+def test_series_fill_without_windows_and_shuffle_what_was_measured(spark):
+    ev = spark.createDataFrame([(i, "heart_rate", 80.0, 1.5) for i in range(20)], "stay_id long, feature string, value double, hours_in double")
+    stays = spark.range(500).select(F.col("id").alias("stay_id"))
+    g = jobs.build_timeseries(ev, stays)
+    assert "Window" not in g._jdf.queryExecution().optimizedPlan().toString()
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    # nothing is unfolded below an exchange: all rows of steps come after the last one
+    assert plan.index("Generate") < plan.index("Exchange") and "Generate" not in plan[plan.index("Exchange"):]
+    assert g.count() == 500 * len(clinical.SERIES) * 24
+
+
 def test_binning_by_feature(spark):
     ev = spark.createDataFrame([(1, "u", 2.0, 0.1), (1, "u", 3.0, 0.9), (1, "x", 2.0, 0.0), (1, "x", 5.0, 0.5),
                                 (1, "m", 2.0, 0.0), (1, "m", 4.0, 0.5), (1, "m", 9.0, 24.0), (1, "m", 9.0, -0.1)],
