@@ -60,6 +60,18 @@ def test_equals_row_by_row(scored, monkeypatch, rows, hot, draws):
         assert np.allclose(got.sort_values("b")[columns].astype(float), brute(pdf[pdf.site == site]), equal_nan=True)
 
 
+def test_weights_of_a_score_are_made_once(scored, monkeypatch):
+    monkeypatch.setattr(replicates, "SUMMED_ROWS", 20)
+    df, pdf = scored
+    rows = replicates._bucketed(df.withColumn("_all", F.lit(0)), ["_all"], "p", "y", "id", 0)
+    kinds = {r["_kind"]: r["n"] for r in replicates._items(rows, ["_all"], B).groupBy("_kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = pdf.dropna(subset=["p"]).p.value_counts()
+    often = often[often > B]
+    assert kinds[2] == len(often) > 1 and kinds[1] == pdf.p.notna().sum() - often.sum()
+    got = replicates.replicate_matrix(df, 0.45, B).orderBy("b").toPandas()
+    assert np.allclose(got[["auroc", "auprc", "sensitivity", "ppv", "brier"]], brute(pdf), equal_nan=True)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id long, y int, p double")
     assert replicates.replicate_matrix(empty, 0.5, 5).count() == 0
