@@ -11,6 +11,7 @@ from sitewise.plans import fixtures as fx
 from sitewise.plans import jobs
 from sitewise.plans.catalog_cohort import r6
 from sitewise.plans.registry import query
+from sitewise.session import store
 
 # item ids of the example source tables: every line of an order is a measurement, result or treatment of its stay
 _CHART = [i for _, i in C.codes(C.CHART)] + [1]                     # 1: an id without a feature
@@ -30,12 +31,13 @@ def _nth_sql(items, n: str) -> str:
 
 
 def _lines(spark, sf):
+    """Order lines as a stored table: several source tables are made of them."""
     o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return store(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("stay_id"), (F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("hadm_id"), "l_partkey",
         plus_hours("o_orderdate", (F.col("l_linenumber") * 5 + F.col("l_suppkey") % 7 - 6).cast("int")).alias("charttime"),
-        (F.col("l_quantity") * 4 + F.col("l_partkey") % 50).alias("v"), F.col("l_extendedprice").alias("price"), "l_returnflag")
+        (F.col("l_quantity") * 4 + F.col("l_partkey") % 50).alias("v"), F.col("l_extendedprice").alias("price"), "l_returnflag"), "lines")
 
 
 _LINES = """
@@ -45,8 +47,7 @@ _LINES = """
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def _tables(spark, sf):
-    ln = _lines(spark, sf)
+def _tables(ln):
     k = F.col("l_partkey")
     return {
         "chartevents": ln.select("stay_id", "charttime", _nth(_CHART, k).alias("itemid"), F.col("v").alias("valuenum")),
@@ -81,14 +82,14 @@ _EXTRACTED = f"""
         WHERE e.itemid IN {C.VASOPRESSOR} AND e.charttime >= c.intime AND e.charttime < c.intime + INTERVAL 24 HOUR)"""
 
 
-def _extracted(spark, sf):
-    return jobs.extract_events(_tables(spark, sf), fx.stored_cohort(spark, sf))
+def _extracted(lines, cohort):
+    return jobs.extract_events(_tables(lines), cohort)
 
 
 @query("job_extract_events", f"""WITH {_EXTRACTED}
     SELECT stay_id, feature, round(value, 6) AS value, round(hours_in, 6) AS hours_in FROM ex""")
 def job_extract_events(spark, sf):
-    return _extracted(spark, sf).select("stay_id", "feature", r6("value").alias("value"), r6("hours_in").alias("hours_in"))
+    return _extracted(_lines(spark, sf), fx.stored_cohort(spark, sf)).select("stay_id", "feature", r6("value").alias("value"), r6("hours_in").alias("hours_in"))
 
 
 _GRID_24 = """
@@ -133,11 +134,11 @@ def _totals(grid):
 @query("job_clinical_grid", f"""WITH {_EXTRACTED}, {_grid_sql('ex', 'fx_cohort', C.SERIES, C.SUMMED, C.SWITCHES)} {_TOTAL.format(src='fl')}""")
 def job_clinical_grid(spark, sf):
     """Source tables to the regular series of all features, 24 steps, summed by feature and step."""
-    return _totals(jobs.build_timeseries(_extracted(spark, sf), fx.stored_cohort(spark, sf)))
+    cohort = fx.stored_cohort(spark, sf)
+    return _totals(jobs.build_timeseries(_extracted(_lines(spark, sf), cohort), cohort))
 
 
-def _coded_diagnoses(spark, sf):
-    ln = _lines(spark, sf)
+def _coded_diagnoses(ln):
     return ln.select("hadm_id", _nth([c for c, _ in _CODES], F.col("l_partkey")).alias("icd_code"), _nth([v for _, v in _CODES], F.col("l_partkey")).alias("icd_version"))
 
 
@@ -182,8 +183,8 @@ _SHOWN = ("heart_rate", "temp_c", "creatinine", "urine")
     FROM fx_cohort c LEFT JOIN w ON w.stay_id = c.stay_id JOIN hs ON hs.stay_id = c.stay_id""")
 def job_features(spark, sf):
     """Source tables to the wide feature table with the code history before and of the stay."""
-    cohort = fx.stored_cohort(spark, sf)
-    t = jobs.build_features(_extracted(spark, sf), cohort, _coded_diagnoses(spark, sf), fx.admissions(spark, sf), "both", _SHOWN)
+    cohort, lines = fx.stored_cohort(spark, sf), _lines(spark, sf)
+    t = jobs.build_features(_extracted(lines, cohort), cohort, _coded_diagnoses(lines), fx.admissions(spark, sf), "both", _SHOWN)
     return t.select(*[r6(c).alias(c) if c.endswith(("_v_min", "_v_max", "_v_mean")) else c for c in t.columns])
 
 

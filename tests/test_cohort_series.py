@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sitewise import session
 from sitewise.operators import cohort, features, series
-from sitewise.plans import clinical, jobs
+from sitewise.plans import catalog, catalog_jobs, clinical, jobs
 
 TS = "cast('2020-01-01 {}' as timestamp_ntz)"
 
@@ -220,3 +221,12 @@ def test_diagnosis_rules_expand_in_order():
     rules = clinical.diagnosis_rules()
     assert len({r[0] for r in rules}) == 17 and {len(r[3]) for r in rules} == {2, 3, 4, 5}
     assert len(clinical.SERIES) == len(set(clinical.SERIES)) == 43
+
+
+@pytest.mark.parametrize("name", ["job_extract_events", "job_features", "job_clinical_grid"])
+def test_source_lines_are_joined_once(spark, sf, name, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog_jobs, "store", lambda df, tag: made.append(tag) or session.store(df, tag))
+    df = catalog.QUERIES[name](spark, sf)
+    assert made == ["lines"]
+    assert "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
