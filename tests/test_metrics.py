@@ -169,3 +169,17 @@ def test_paired_bootstrap(scored):
     assert r["lo"] < r["diff"] and r["p_value"] < 0.1
     same = inference.bootstrap_auprc_diff(df.withColumn("q", F.col("p")), 10, p1="p", p2="q").first()
     assert same["diff"] == 0 and same["p_value"] == 2.0
+
+
+def test_exact_draws_are_shuffled_once(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 100 / 100.0).alias("p"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        drawn = inference.draw_exact(df, 4)
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        # ranks spread over the tasks, their draws, and the rows at the drawn positions
+        assert plan.count("Exchange hashpartitioning") == 3
+        assert drawn.agg(F.sum("w")).first()[0] == 4 * 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
