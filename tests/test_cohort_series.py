@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sitewise import session
 from sitewise.operators import cohort, features, series
-from sitewise.plans import catalog, catalog_jobs, clinical, jobs
+from sitewise.plans import catalog, clinical, fixtures, jobs
 
 TS = "cast('2020-01-01 {}' as timestamp_ntz)"
 
@@ -223,10 +223,9 @@ def test_diagnosis_rules_expand_in_order():
     assert len(clinical.SERIES) == len(set(clinical.SERIES)) == 43
 
 
-@pytest.mark.parametrize("name", ["job_extract_events", "job_features", "job_clinical_grid"])
-def test_source_lines_are_joined_once(spark, sf, name, monkeypatch):
+@pytest.mark.parametrize("name", ["job_features", "job_clinical_grid"])
+def test_cohort_is_built_once(spark, sf, name, monkeypatch):
     made = []
-    monkeypatch.setattr(catalog_jobs, "store", lambda df, tag: made.append(tag) or session.store(df, tag))
-    df = catalog.QUERIES[name](spark, sf)
-    assert made == ["lines"]
-    assert "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(fixtures, "store", lambda df, tag: made.append(tag) or session.store(df, tag))
+    catalog.QUERIES[name](spark, sf)
+    assert made == ["cohort"]
