@@ -6,7 +6,9 @@ distinct unit once. Of a batch of units, two incidence matrices in compressed ro
 bytes a token covers; the row products A x B^T, summed row by row over the visited rows of
 B^T, are the overlap links. Tokens by groups (cut where tokens of both kinds end) give the
 links within groups in the same way. Chunks of texts then ask for the counts of their distinct
-id pairs, and get them back by range.
+id pairs, several chunks at once, and get them back by range.
+
+What a task holds is bounded by the bytes of a chunk, of an Arrow batch and of a row group, not by its share of the corpus.
 """
 
 from __future__ import annotations
@@ -28,7 +30,12 @@ from sitewise.llm.common import discard, documents, query, slices, small_batches
 from sitewise.llm.tokens import ids_of, vocabulary
 
 #: Text in a chunk, bytes of a block of row products, pairs in a range of the count table, units of texts counted at once.
-CHUNK_BYTES, BLOCK_BYTES, RANGE_PAIRS, UNITS_AT_ONCE = 8 << 20, 1 << 20, 50_000, 1 << 18
+CHUNK_BYTES, BLOCK_BYTES, RANGE_PAIRS, UNITS_AT_ONCE = 1 << 20, 1 << 20, 50_000, 1 << 16
+#: Bytes of pairs asked for together: each such row meets a copy of its range of the count table. Bytes of an Arrow batch.
+ASKED_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+#: Rows of chunks are large: Parquet looks at the size of a page and of a row group after every one, not after 100.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+              "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
 _CUT = re.compile(r"(?<=\S) ")
 _ODD_SPACE = re.compile(r"\s ")
@@ -210,11 +217,21 @@ def tokens_of(a_path: str, b_path: str) -> Tokens:
 
 
 #: A chunk of texts. ``keys``: its distinct id pairs, sorted; ``times``: in how many of its texts each is linked;
-#: ``unit_at``: per unit a run of places in ``keys`` (sizes ``unit_sizes``); ``text_at``: per text a run of units.
+#: ``unit_at``: per unit a run of places in ``keys`` (sizes ``unit_sizes``); ``text_at``: per text a run of units; all ``narrow``.
 CHUNK = ("chunk long, ids array<long>, " + ", ".join(f"{c} array<long>" for c in FIGURES) + ", groups_sha256 array<string>, "
          "keys binary, times binary, unit_sizes binary, unit_at binary, text_sizes binary, text_at binary")
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes that hold the largest; how many bytes each takes comes first."""
+    kind = np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<")
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _runs(sizes: np.ndarray, index: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs named by ``of``, one after the other: (their sizes, their entries)."""
     start = np.cumsum(sizes) - sizes
@@ -269,11 +286,12 @@ def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 "groups_sha256": pa.array([[hashlib.sha256(";".join([found.texts[u] for u in x.tolist()]).encode()).hexdigest() if len(x) else ""
                                             for x in at]], pa.list_(pa.string())),
                 **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (
-                    ("keys", keys), ("times", times.astype("<u4")), ("unit_sizes", unit_sizes.astype("<u4")), ("unit_at", unit_at.astype("<u4")),
-                    ("text_sizes", text_sizes.astype("<u4")), ("text_at", text_at.astype("<u4")))}})
+                    ("keys", keys), ("times", times.astype("<u4")))},
+                **{c: pa.array([narrow(v)], pa.binary()) for c, v in (
+                    ("unit_sizes", unit_sizes), ("unit_at", unit_at), ("text_sizes", text_sizes), ("text_at", text_at))}})
             number += 1
 
-    return small_batches(docs.select("doc_id", text_bytes(F.col("text")).alias("text"))).mapInArrow(align, CHUNK)
+    return small_batches(docs.select("doc_id", text_bytes(F.col("text")).alias("text")), BATCH_BYTES).mapInArrow(align, CHUNK)
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -292,6 +310,13 @@ def pair_counts(made: DataFrame) -> DataFrame:
     return sums.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("a")))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _range_of(keys: np.ndarray, n: int) -> np.ndarray:
     """A range of the count table for every pair, by a multiplicative hash."""
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
@@ -301,16 +326,32 @@ def answered(made: DataFrame, pairs: DataFrame) -> DataFrame:
     """(chunk, parts): the counts of a chunk's pairs, and which are best, packed by range of the count table."""
     n = max(1, -(-pairs.count() // RANGE_PAIRS))
 
+    def together(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([k for _, k in held])
+        of = np.repeat(np.arange(len(held)), [len(k) for _, k in held])
+        numbers = np.array([chunk for chunk, _ in held], np.int64)
+        where = _range_of(keys, n)
+        order = np.argsort(where, kind="stable")            # within a range by chunk, its pairs in their order
+        cuts = np.searchsorted(where[order], np.arange(n + 1))
+        parts = []
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            here = order[cuts[r]:cuts[r + 1]]
+            which, sizes = np.unique(of[here], return_counts=True)
+            parts.append({"range": r, "chunks": numbers[which].tolist(), "sizes": sizes.tolist(), "asked": keys[here].tobytes()})
+        return pa.RecordBatch.from_pylist(parts, pa.schema([("chunks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
+                                                            ("range", pa.int64()), ("asked", pa.binary())]))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                keys = np.frombuffer(raw, np.uint64)
-                where = _range_of(keys, n)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(n + 1))
-                parts = [(r, keys[order[s:e]].tobytes()) for r, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int64()),
-                                                  pa.array([k for _, k in parts], pa.binary())], names=["chunk", "range", "asked"])
+                if held and size + len(raw) > ASKED_BYTES:
+                    yield together(held)
+                    held, size = [], 0
+                held.append((chunk, np.frombuffer(raw, np.uint64)))
+                size += len(raw)
+        if held:
+            yield together(held)
 
     def with_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,15 +367,15 @@ def answered(made: DataFrame, pairs: DataFrame) -> DataFrame:
             ("keys", keys), ("counts", count.astype("<i8")), ("bests", best.astype(bool)))}})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                at = np.searchsorted(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["asked"], np.uint64))
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array([row["chunk"]], pa.int64()), "range": pa.array([row["range"]], pa.int64()),
-                    "counts": pa.array([np.frombuffer(row["counts"], "<i8")[at].tobytes()], pa.binary()),
-                    "bests": pa.array([np.frombuffer(row["bests"], bool)[at].tobytes()], pa.binary())})
-
-    asked = made.select("chunk", "keys").mapInArrow(ask, "chunk long, range long, asked binary")
+        for row in _rows(batches):
+            at = np.searchsorted(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["asked"], np.uint64))
+            cuts = np.cumsum(row["sizes"])[:-1]
+            counts, bests = (np.split(np.frombuffer(row[c], kind)[at], cuts) for c, kind in (("counts", "<i8"), ("bests", bool)))
+            yield pa.RecordBatch.from_pydict({
+                "chunk": pa.array(row["chunks"], pa.int64()), "range": pa.array([row["range"]] * len(counts), pa.int64()),
+                "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "bests": pa.array([x.tobytes() for x in bests], pa.binary())})
+
+    asked = made.select("chunk", "keys").mapInArrow(ask, "chunks array<long>, sizes array<long>, range long, asked binary")
     table = (pairs.mapInArrow(with_range, "range long, a int, b int, count long, best boolean")
              .groupBy("range").applyInArrow(pack, "range long, keys binary, counts binary, bests binary"))
     answers = asked.join(table, "range").mapInArrow(answer, "chunk long, range long, counts binary, bests binary")
@@ -354,33 +395,33 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
     a space) is handled at once. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    made, path = stored_at(chunks(docs, a_path or vocabulary(), b_path or piece_vocabulary()), "alignment-chunks", "zstd")
+    made, path = stored_at(chunks(docs, a_path or vocabulary(), b_path or piece_vocabulary()), "alignment-chunks", "zstd", LARGE_ROWS)
     pairs, pairs_path = stored_at(pair_counts(made), "alignment-pairs", "zstd")
     answers, n = answered(made, pairs)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], np.uint64)
-                order = np.argsort(_range_of(keys, n), kind="stable")
-                counts, bests = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-                counts[order] = np.frombuffer(b"".join(p["counts"] for p in row["parts"] or ()), "<i8")
-                bests[order] = np.frombuffer(b"".join(p["bests"] for p in row["parts"] or ()), bool)
-                sizes, at, text_sizes, text_at = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("unit_sizes", "unit_at", "text_sizes", "text_at"))
-                unit_ends, text_ends = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(text_sizes)]
-                out = {}
-                for name, value in (("n_best", bests), ("count_sum", counts)):
-                    of_unit = np.diff(np.r_[0, np.cumsum(value[at])][unit_ends])
-                    out[name] = pa.array(np.diff(np.r_[0, np.cumsum(of_unit[text_at])][text_ends]))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(row["ids"], pa.int64()), **{c: pa.array(row[c], pa.int64()) for c in FIGURES[:4]}, **out,
-                    "groups_sha256": pa.array(row["groups_sha256"], pa.string()), "n_group_links": pa.array(row["n_group_links"], pa.int64())})
+        for row in _rows(batches):
+            keys = np.frombuffer(row["keys"], np.uint64)
+            order = np.argsort(_range_of(keys, n), kind="stable")
+            counts, bests = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            counts[order] = np.frombuffer(b"".join(p["counts"] for p in row["parts"] or ()), "<i8")
+            bests[order] = np.frombuffer(b"".join(p["bests"] for p in row["parts"] or ()), bool)
+            sizes, at, text_sizes, text_at = (widened(row[c]) for c in ("unit_sizes", "unit_at", "text_sizes", "text_at"))
+            unit_ends, text_ends = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(text_sizes)]
+            out = {}
+            for name, value in (("n_best", bests), ("count_sum", counts)):
+                of_unit = np.diff(np.r_[0, np.cumsum(value[at])][unit_ends])
+                out[name] = pa.array(np.diff(np.r_[0, np.cumsum(of_unit[text_at])][text_ends]))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(row["ids"], pa.int64()), **{c: pa.array(row[c], pa.int64()) for c in FIGURES[:4]}, **out,
+                "groups_sha256": pa.array(row["groups_sha256"], pa.string()), "n_group_links": pa.array(row["n_group_links"], pa.int64())})
 
     whole = made.drop("times").join(answers, "chunk", "left").mapInArrow(
         finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_group_links long")
     done = stored(whole, "alignment-found")
     for used in (path, pairs_path):
         discard(spark, used)
+    small_batches(docs)                                  # as other queries leave it
     return done
 
 

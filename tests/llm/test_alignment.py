@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.dataset
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -113,3 +114,38 @@ def test_a_long_text():
     assert found.sound.all() and len(found.texts) == len(found.figures) == len(cut) and found.figures[:, 3].sum() == len(found.pairs)
     alone = both.align(["x  y"])
     assert found.texts[rank[-1]] == alone.texts[0] and (found.figures[rank[-1]] == alone.figures[0]).all()
+
+
+def test_rows_and_row_groups_of_chunks_stay_small(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(small.words(rng, 1500, small.LETTERS["en"])) for _ in range(400)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert sum(map(len, texts)) > 3 << 20
+    kept = []
+    monkeypatch.setattr(alignment, "discard", lambda _, path: kept.append(path))
+    monkeypatch.setitem(alignment.LARGE_ROWS, "parquet.block.size", str(1 << 20))
+    assert alignment.align_documents(table).count() == len(texts)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(16 << 20)
+    stored = pyarrow.dataset.dataset(next(p for p in kept if "alignment-chunks" in p).removeprefix("file:"), format="parquet")
+    rows = stored.to_table()
+    # what a task holds: rows of a chunk, and the rows of a row group, which are read at once
+    sizes = [sum(len(rows.column(c)[i].as_py()) for c in ("keys", "times", "unit_sizes", "unit_at", "text_sizes", "text_at")) for i in range(rows.num_rows)]
+    assert rows.num_rows >= 3 and max(sizes) < 2 << 20
+    groups = [f.metadata.row_group(i) for f in stored.get_fragments() for i in range(f.metadata.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) < 3 << 20 and len(groups) > 1
+
+
+def test_chunks_ask_together(spark, monkeypatch):
+    table = spark.createDataFrame(rows(), small.SCHEMA).coalesce(1)
+    expected = order(brute(rows()))
+    for chunk, asked, pairs in ((500, 300, 60), (500, 1 << 20, 60), (3000, 4000, 50_000)):
+        for name, value in (("CHUNK_BYTES", chunk), ("ASKED_BYTES", asked), ("RANGE_PAIRS", pairs), ("BATCH_BYTES", 5000)):
+            monkeypatch.setattr(alignment, name, value)
+        assert order(tuple(r) for r in alignment.align_documents(table).collect()) == expected
+
+
+def test_narrow_numbers():
+    for top, size in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4), (1 << 32, 8)):
+        raw = alignment.narrow(np.array([0, top, 3], np.int64))
+        assert raw[0] == size and len(raw) == 1 + 3 * size and alignment.widened(raw).tolist() == [0, top, 3]
+    assert alignment.widened(alignment.narrow(np.zeros(0, np.int64))).tolist() == []
